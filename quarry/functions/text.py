@@ -78,7 +78,7 @@ def single_ans_em(pred, gold, decompose: bool = True) -> Column:
     npred = normalize_answer(pred, decompose)
     g = nfd_array(_c(gold)) if decompose else _c(gold)
     normed = F.transform(g, lambda x: normalize_answer(x, decompose=False))
-    return F.coalesce(F.exists(normed, lambda x: x == npred).cast("int"), F.lit(0))
+    return F.coalesce(F.array_contains(normed, npred).cast("int"), F.lit(0))
 
 
 @F.pandas_udf("array<string>")
@@ -91,6 +91,18 @@ def nfd_array(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def with_nfd(df, cols: dict):
+    """Add NFD versions of columns ({out: in}); array columns are decomposed element-wise.
+
+    The decomposed values are materialised as plain columns of the DataFrame so later
+    higher-order expressions can reference them.
+    """
+    for out, src in cols.items():
+        dt = df.schema[src].dataType.simpleString()
+        df = df.withColumn(out, nfd_array(F.col(src)) if dt.startswith("array") else nfd(F.col(src)))
+    return df
+
+
 def token_string(tokens) -> Column:
     """Tokens joined by one space and padded with a space at both ends.
 
@@ -100,13 +112,14 @@ def token_string(tokens) -> Column:
     return F.concat(F.lit(" "), F.array_join(_c(tokens), " "), F.lit(" "))
 
 
-def has_correct_answer(doc, answers, decompose: bool = True) -> Column:
+def has_correct_answer(doc, answers) -> Column:
     """M10 row form: 1 when any answer's uncased token list is a contiguous run of the doc's.
 
-    An answer with no tokens always matches (the reference compares two empty lists).
+    An answer with no tokens always matches (the reference compares two empty lists). Inputs
+    must already be NFD (``with_nfd``): a Python UDF cannot sit inside the lambda.
     """
-    d = nfd(_c(doc)) if decompose else _c(doc)
-    a = nfd_array(_c(answers)) if decompose else _c(answers)
+    d = _c(doc)
+    a = _c(answers)
     dstr = token_string(tokenize(d, uncased=True))
     hit = F.exists(a, lambda x: (F.size(tokenize(x, True)) == 0) | F.contains(dstr, token_string(tokenize(x, True))))
     return F.coalesce(hit.cast("int"), F.lit(0))
