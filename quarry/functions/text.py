@@ -26,18 +26,47 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
-def nfd(s: pd.Series) -> pd.Series:
-    """M1: Unicode canonical decomposition. ASCII strings pass through untouched."""
+_UDFS: dict = {}
+
+
+def _lazy_udf(name, fn, rtype):
+    """pandas UDFs are created on first use (creation needs an active session)."""
+    if name not in _UDFS:
+        _UDFS[name] = F.pandas_udf(fn, rtype)
+    return _UDFS[name]
+
+
+def _nfd_series(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFD", v))
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; used to present decomposed results in a comparable form."""
+def _nfc_series(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
+def _nfd_array_series(s: pd.Series) -> pd.Series:
+    def one(v):
+        if v is None:
+            return None
+        return [x if x is None or x.isascii() else unicodedata.normalize("NFD", x) for x in v]
+    return s.map(one)
+
+
+def nfd(c) -> Column:
+    """M1: Unicode canonical decomposition (Arrow-batched). ASCII strings pass through."""
+    return _lazy_udf("nfd", _nfd_series, "string")(_c(c))
+
+
+def nfc(c) -> Column:
+    """Canonical composition; used to present decomposed results in a comparable form."""
+    return _lazy_udf("nfc", _nfc_series, "string")(_c(c))
+
+
+def nfd_array(c) -> Column:
+    """M1 applied to every element of an array column."""
+    return _lazy_udf("nfd_array", _nfd_array_series, "array<string>")(_c(c))
+
+
 def tokenize(s, uncased: bool = False) -> Column:
     """M9: array of tokens; lower-cased when ``uncased``."""
     t = F.regexp_extract_all(_c(s), F.lit(TOKEN_PATTERN), 0)
@@ -81,16 +110,6 @@ def single_ans_em(pred, gold, decompose: bool = True) -> Column:
     return F.coalesce(F.array_contains(normed, npred).cast("int"), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
-def nfd_array(s: pd.Series) -> pd.Series:
-    """M1 applied to every element of an array column."""
-    def one(v):
-        if v is None:
-            return None
-        return [x if x is None or x.isascii() else unicodedata.normalize("NFD", x) for x in v]
-    return s.map(one)
-
-
 def with_nfd(df, cols: dict):
     """Add NFD versions of columns ({out: in}); array columns are decomposed element-wise.
 

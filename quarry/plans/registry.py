@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "evaluation"]
+MODULES = ["retrieval", "evaluation", "corpus"]
 
 
 def _mods():
