@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,3 +13,108 @@ def pair_turns(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -
                             F.lead("role").over(w).alias("_nrole"), F.lead("text").over(w).alias("answer"))
             .filter((F.col("role") == "user") & (F.col("_nrole") == "assistant"))
             .drop("_nrole", "role"))
+
+
+# ---- fixed values (reference limits) -----------------------------------------------------------
+MEMORY_TOKEN_LIMIT = 1500
+MAX_SESSIONS_PER_USER = 50
+ANONYMOUS = "anonymous"
+# -----------------------------------------------------------------------------------------------
+
+
+def chat_key(email: Column, session: Column, stype: Column) -> Column:
+    """P3: '{email}:{session}:{type}', 'anonymous:{session}:{type}' without an email."""
+    return F.concat_ws(":", F.coalesce(email, F.lit(ANONYMOUS)), session.cast("string"), stype)
+
+
+def user_keys(email: Column, user_id: Column) -> dict:
+    """Single-table keys for users, tokens, email index and stored queries."""
+    return {"user_pk": F.concat(F.lit("USER#"), user_id.cast("string")),
+            "token_pk": F.concat(F.lit("TOKEN#"), user_id.cast("string")),
+            "email_pk": F.concat(F.lit("EMAIL#"), email),
+            "query_pk": F.concat(F.lit("QUERY#"), user_id.cast("string"))}
+
+
+def create_sessions(existing: DataFrame | None, new: DataFrame, now: Column | None = None) -> DataFrame:
+    """K1: append new sessions with count 0 and created = updated = now (ids from the input)."""
+    now = now if now is not None else F.current_timestamp()
+    rows = new.select("session_id", "user_email", F.coalesce("title", F.lit("")).alias("title"),
+                      "session_type", now.alias("created_at"), now.alias("updated_at"),
+                      F.lit(0).cast("long").alias("message_count"))
+    if existing is None:
+        return rows
+    return existing.unionByName(rows.join(existing.select("session_id"), "session_id", "left_anti"))
+
+
+def list_sessions(sessions: DataFrame, limit: int, offset: int = 0,
+                  cap: int = MAX_SESSIONS_PER_USER) -> DataFrame:
+    """K2/K13/W8 for every user at once: newest first by created_at, the page
+    [offset, offset + limit) of each user's newest ``cap`` sessions, with the user's true total
+    (Q9). Window per user; the window-group limit prunes rows before the shuffle."""
+    w = Window.partitionBy("user_email").orderBy(F.col("created_at").desc(), F.col("session_id").desc())
+    ranked = (sessions.withColumn("position", F.row_number().over(w))
+              .withColumn("total", F.count("*").over(Window.partitionBy("user_email"))))
+    return ranked.filter((F.col("position") > offset) & (F.col("position") <= min(offset + limit, cap)))
+
+
+def owned_by(sessions: DataFrame, email: Column | str) -> DataFrame:
+    """Hide sessions whose owner differs."""
+    e = F.lit(email) if isinstance(email, str) else email
+    return sessions.filter(F.col("user_email") == e)
+
+
+def update_sessions(sessions: DataFrame, updates: DataFrame) -> DataFrame:
+    """K4: updates(session_id, user_email, title, updated_at); applied only when the requester
+    owns the session; the title changes only when non-empty."""
+    u = (updates.withColumnRenamed("user_email", "_req").withColumnRenamed("title", "_title")
+         .withColumnRenamed("updated_at", "_ts").dropDuplicates(["session_id"]))
+    j = sessions.join(u, "session_id", "left")
+    own = F.col("_req").isNotNull() & (F.col("_req") == F.col("user_email"))
+    return (j.withColumn("title", F.when(own, F.coalesce(F.nullif(F.col("_title"), F.lit("")), F.col("title")))
+                         .otherwise(F.col("title")))
+            .withColumn("updated_at", F.when(own, F.col("_ts")).otherwise(F.col("updated_at")))
+            .drop("_req", "_title", "_ts"))
+
+
+def delete_sessions(sessions: DataFrame, messages: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K5: deletes(session_id, user_email); owner-checked, removes the session row and its
+    messages (left_anti on both tables)."""
+    ok = deletes.join(sessions.select("session_id", "user_email"), ["session_id", "user_email"], "left_semi")
+    ids = ok.select("session_id").distinct()
+    return (sessions.join(ids, "session_id", "left_anti"), messages.join(ids, "session_id", "left_anti"))
+
+
+def memory_buffer(messages: DataFrame, limit: int = MEMORY_TOKEN_LIMIT, key: str = "session_id",
+                  turn: str = "turn", tokens: str = "n_tokens") -> DataFrame:
+    """Keep the most recent messages whose running token sum (newest first) stays within
+    ``limit``; the newest message is always kept. Adds ``kept`` (0/1) and ``tokens_from_end``."""
+    w = (Window.partitionBy(key).orderBy(F.col(turn).desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = F.row_number().over(Window.partitionBy(key).orderBy(F.col(turn).desc()))
+    return (messages.withColumn("tokens_from_end", F.sum(tokens).over(w))
+            .withColumn("_r", r)
+            .withColumn("kept", ((F.col("_r") == 1) | (F.col("tokens_from_end") <= limit)).cast("int"))
+            .drop("_r"))
+
+
+def count_messages(messages: DataFrame, key: str = "session_id", ts: str = "ts") -> DataFrame:
+    """Message count and last message time per session."""
+    return messages.groupBy(key).agg(F.count("*").alias("message_count"), F.max(ts).alias("updated_at"))
+
+
+def session_history(messages: DataFrame, key: str = "session_id", stype: str = "session_type",
+                    types: list[str] | None = None) -> DataFrame:
+    """K8: per session, the ordered message list of each session type; missing -> empty list.
+    Pivot on a fixed type list (no distinct-values pass)."""
+    types = types or ["mirag", "longrag"]
+    msg = F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("content"))
+    p = messages.groupBy(key).pivot(stype, types).agg(F.array_sort(F.collect_list(msg)))
+    for t in types:
+        p = p.withColumn(t, F.coalesce(F.col(t), F.array().cast(p.schema[t].dataType)))
+    return p
+
+
+def first_last_seen(events: DataFrame, key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """First login = min(ts) (not overwritten on each login, Q10), last access = max."""
+    return events.groupBy(key).agg(F.min(ts).alias("first_logged_in"), F.max(ts).alias("last_accessed"),
+                                   F.count("*").alias("n_events"))
