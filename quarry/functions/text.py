@@ -110,6 +110,15 @@ def single_ans_em(pred, gold, decompose: bool = True) -> Column:
     return F.coalesce(F.array_contains(normed, npred).cast("int"), F.lit(0))
 
 
+def nfd_rows(df, src: str, out: str):
+    """Add ``out`` = NFD(``src``) sending only non-ASCII rows through Python: ASCII rows are
+    unchanged by NFD, so they take a JVM-only branch and the two branches are unioned."""
+    ascii_ = F.col(src).isNull() | F.col(src).rlike(r"^[\x00-\x7F]*$")
+    a = df.filter(ascii_).withColumn(out, F.col(src))
+    b = df.filter(~ascii_).withColumn(out, nfd(F.col(src)))
+    return a.unionByName(b)
+
+
 def with_nfd(df, cols: dict):
     """Add NFD versions of columns ({out: in}); array columns are decomposed element-wise.
 

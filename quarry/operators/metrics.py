@@ -37,8 +37,10 @@ def answer_join(docs: DataFrame, answers: DataFrame, *, doc_key: str = "doc_id",
     here (they match every document by definition; use ``has_correct_answer`` per row)."""
     d0 = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_t"))
     a0 = answers.select(F.col(ans_key).alias("_a"), F.col(ans_text).alias("_at"))
-    dtext = T.nfd(F.col("_t")) if decompose else F.col("_t")
-    atext = T.nfd(F.col("_at")) if decompose else F.col("_at")
+    if decompose:
+        d0 = T.nfd_rows(d0, "_t", "_tn").select("_d", F.col("_tn").alias("_t"))
+        a0 = T.nfd_rows(a0, "_at", "_an").select("_a", F.col("_an").alias("_at"))
+    dtext, atext = F.col("_t"), F.col("_at")
     a = (a0.withColumn("_atok", T.tokenize(atext, uncased=True))
          .filter(F.size("_atok") > 0)
          .withColumn("_len", F.least(F.size("_atok"), F.lit(shingle)))

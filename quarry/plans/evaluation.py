@@ -74,6 +74,14 @@ def _results(spark, sf, per: DataFrame, error_text: str) -> DataFrame:
         F.when(err, F.lit(error_text)).alias("error"))
 
 
+def first_pass_materialized(spark, sf) -> DataFrame:
+    """The first pass written once to the shared checkpoint folder: every later step (retry,
+    merge, summary) reads it instead of recomputing the answer join, and the lineage is cut."""
+    from quarry.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return first_pass(spark, sf).checkpoint(eager=True)
+
+
 def rerun(spark, sf, first: DataFrame | None = None) -> DataFrame:
     first = first if first is not None else first_pass(spark, sf)
     errs = first.filter(F.col("status") == "error").select("id")
@@ -118,7 +126,7 @@ def results_table(spark, sf):
 
 
 def summary(spark, sf):
-    first = first_pass(spark, sf)
+    first = first_pass_materialized(spark, sf)
     merged = merge_rerun(first, rerun(spark, sf, first))
     n = table(spark, sf, "benchmark").count()
     s = M.summary(merged, n)
@@ -144,7 +152,7 @@ def running_metrics(spark, sf):
 
 
 def error_subset(spark, sf):
-    first = first_pass(spark, sf)
+    first = first_pass_materialized(spark, sf)
     merged = merge_rerun(first, rerun(spark, sf, first))
     errs = first.filter(F.col("status") == "error").select("id")
     rec = retried_ids(first, merged).withColumn("retried", F.lit(1))
@@ -152,18 +160,18 @@ def error_subset(spark, sf):
 
 
 def resume_merge(spark, sf):
-    first = first_pass(spark, sf)
+    first = first_pass_materialized(spark, sf)
     merged = merge_rerun(first, rerun(spark, sf, first))
     return merged.select("id", "status", "is_exact_match", "is_substring_match", "error")
 
 
 def retry_summary(spark, sf):
-    first = first_pass(spark, sf)
+    first = first_pass_materialized(spark, sf)
     return retry_stats(rerun(spark, sf, first))
 
 
 def still_failing_ids(spark, sf):
-    first = first_pass(spark, sf)
+    first = first_pass_materialized(spark, sf)
     merged = merge_rerun(first, rerun(spark, sf, first))
     return still_failing(first, merged)
 
