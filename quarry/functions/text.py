@@ -26,6 +26,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Bind a per-row value once for use inside higher-order lambdas.
+
+    The optimizer inlines projected expressions into the lambdas that reference them, which
+    would re-evaluate a whole-row expression (a token array, a mark string) once per element.
+    Passing it as the argument of a one-element ``transform`` evaluates it once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 _UDFS: dict = {}
 
 
@@ -148,8 +158,8 @@ def has_correct_answer(doc, answers) -> Column:
     """
     d = _c(doc)
     a = _c(answers)
-    dstr = token_string(tokenize(d, uncased=True))
-    hit = F.exists(a, lambda x: (F.size(tokenize(x, True)) == 0) | F.contains(dstr, token_string(tokenize(x, True))))
+    hit = let(token_string(tokenize(d, uncased=True)), lambda dstr: F.exists(
+        a, lambda x: (F.size(tokenize(x, True)) == 0) | F.contains(dstr, token_string(tokenize(x, True)))))
     return F.coalesce(hit.cast("int"), F.lit(0))
 
 

@@ -41,8 +41,9 @@ def chunk(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, *, key:
     keep = keep or []
     t = df.select(key, *keep, T.tokenize(F.col(text)).alias("_tok"))
     n = n_chunks(F.size("_tok"), size, overlap)
-    arr = F.transform(F.sequence(F.lit(0), n - 1),
-                      lambda i: F.array_join(F.slice(F.col("_tok"), i * step + 1, size), " "))
+    arr = T.let(F.col("_tok"), lambda tok: F.transform(
+        F.sequence(F.lit(0), n_chunks(F.size(tok), size, overlap) - 1),
+        lambda i: F.array_join(F.slice(tok, i * step + 1, size), " ")))
     return (t.select(key, *keep, n.alias("n_chunks"), F.posexplode(arr).alias("seq", "text")))
 
 

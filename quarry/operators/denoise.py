@@ -16,7 +16,7 @@ per-task counts for the split (one tiny aggregate):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -94,12 +94,12 @@ def passage_tokens(passage: Column) -> Column:
 def mask_codes(row: Column, pidx: Column, toks: Column, seed: int) -> Column:
     """Code string per position: '2' special, '1' selected (position >= n div 3 and draw
     < 0.3), else '0'."""
-    n = F.size(toks)
-    lo = F.floor(n / 3)
-    codes = F.transform(toks, lambda t, i: F.when(t.isin(*SPECIALS), F.lit("2"))
-                        .when((i >= lo) & (_u(_h(row, pidx, i, seed=seed)) < MASK_P), F.lit("1"))
-                        .otherwise(F.lit("0")))
-    return F.array_join(codes, "")
+    def body(tk):
+        lo = F.floor(F.size(tk) / 3)
+        return F.array_join(F.transform(tk, lambda t, i: F.when(t.isin(*SPECIALS), F.lit("2"))
+                                        .when((i >= lo) & (_u(_h(row, pidx, i, seed=seed)) < MASK_P), F.lit("1"))
+                                        .otherwise(F.lit("0"))), "")
+    return T.let(toks, body)
 
 
 def mask_marks(codes: Column) -> Column:
@@ -109,18 +109,49 @@ def mask_marks(codes: Column) -> Column:
     return F.regexp_replace(s, "S0", "SC")
 
 
-def corrupt(row: Column, pidx: Column, toks: Column, marks: Column, vocab: Column, seed: int) -> Column:
-    """T5: masked positions -> 50% '[MASK]', 10% keep, 40% a vocabulary token (ids 3..31999)."""
-    def one(t, i):
-        h2 = _next(_h(row, pidx, i, seed=seed))
-        h3 = _next(h2)
-        u = _u(h2)
-        rid = F.pmod(h3, F.lit(VOCAB_HI - VOCAB_LO + 1)) + VOCAB_LO
-        rep = F.coalesce(F.try_element_at(vocab, (rid - VOCAB_LO + 1).cast("int")), F.lit("<unk>"))
-        m = F.substring(marks, i + 1, 1)
-        return (F.when(~m.isin("S", "C"), t).when(u < MASK_FRAC, F.lit(MASK))
-                .when((u > MASK_FRAC) & (u < KEEP_FRAC), t).otherwise(rep))
-    return F.transform(toks, one)
+def _draws(row: Column, pidx: Column, i: Column, seed: int):
+    h2 = _next(_h(row, pidx, i, seed=seed))
+    return _u(h2), F.pmod(_next(h2), F.lit(VOCAB_HI - VOCAB_LO + 1)) + VOCAB_LO
+
+
+def corrupt(row: Column, pidx: Column, toks: Column, marks: Column, seed: int) -> Column:
+    """T5: masked positions -> 50% '[MASK]', 10% keep, 40% a vocabulary token (ids 3..31999).
+    Replaced positions are left null here and filled by ``fill_replacements``."""
+    def body(mk):
+        def one(t, i):
+            u, _ = _draws(row, pidx, i, seed)
+            m = F.substring(mk, i + 1, 1)
+            return (F.when(~m.isin("S", "C"), t).when(u < MASK_FRAC, F.lit(MASK))
+                    .when((u > MASK_FRAC) & (u < KEEP_FRAC), t).otherwise(F.lit(None).cast("string")))
+        return F.transform(toks, one)
+    return T.let(marks, body)
+
+
+def replacements(row: Column, pidx: Column, toks: Column, marks: Column, seed: int) -> Column:
+    """(pos, id) of the positions that T5 replaces with a vocabulary token."""
+    def body(mk):
+        def one(t, i):
+            u, rid = _draws(row, pidx, i, seed)
+            m = F.substring(mk, i + 1, 1)
+            rep = m.isin("S", "C") & (u >= MASK_FRAC) & ~((u > MASK_FRAC) & (u < KEEP_FRAC))
+            return F.struct(i.alias("pos"), rid.cast("int").alias("id"), rep.alias("rep"))
+        return F.transform(F.filter(F.transform(toks, one), lambda x: x["rep"]),
+                           lambda x: F.struct(x["pos"].alias("pos"), x["id"].alias("id")))
+    return T.let(marks, body)
+
+
+def fill_replacements(df: DataFrame, keys: list[str], vocab_ids: DataFrame, col: str = "corrupted",
+                      reps: str = "reps") -> DataFrame:
+    """Look replaced ids up in the vocabulary: only replaced positions are exploded and joined
+    with the broadcast vocabulary (31,997 rows, bounded by construction), then gathered per
+    passage and put back by position."""
+    ex = df.select(*keys, F.explode(reps).alias("r")).select(*keys, "r.pos", "r.id")
+    tok = (ex.join(F.broadcast(vocab_ids), "id", "left")
+           .withColumn("token", F.coalesce("token", F.lit("<unk>")))
+           .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("_rep")))
+    out = df.join(tok, keys, "left")
+    return (out.withColumn(col, F.transform(col, lambda t, i: F.coalesce(t, F.element_at(F.col("_rep"), i))))
+            .drop("_rep", reps))
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -133,11 +164,10 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     return top
 
 
-def vocab_array(vocab: DataFrame) -> DataFrame:
-    """One-row frame with the vocabulary as an array indexed by id - 2 (element_at is 1-based)."""
-    return vocab.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("count").__neg__().alias("nc"),
-                                                                        F.col("token").alias("t")))),
-                                 lambda x: x["t"]).alias("vocab"))
+def vocab_ids(vocab: DataFrame) -> DataFrame:
+    """(id, token) with ids 3.. in (count desc, token asc) order; at most 31,997 rows."""
+    w = Window.orderBy(F.col("count").desc(), F.col("token").asc())  # over the bounded top list
+    return vocab.select((F.row_number().over(w) + (VOCAB_LO - 1)).cast("int").alias("id"), "token")
 
 
 def split(task_pos: Column, n_task: Column, mode: str = "complementary") -> Column:

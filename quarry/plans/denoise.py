@@ -52,18 +52,19 @@ def reference_passages(spark, sf):
 
 
 def _vocab(spark, sf):
-    return D.vocab_array(D.vocabulary(table(spark, sf, "documents")))
+    return D.vocab_ids(D.vocabulary(table(spark, sf, "documents")))
 
 
-def _masked(u, vocab_df):
+def _masked(u, vocab):
     """Per passage of the correct-and-complete rows: tokens, codes, marks, corrupted tokens."""
     c = u.filter(F.col("task") == "cac").select("row_id", F.posexplode("passages").alias("pidx", "p"))
     c = c.withColumn("toks", D.passage_tokens(F.col("p"))).drop("p")
     c = c.withColumn("codes", D.mask_codes(F.col("row_id"), F.col("pidx"), F.col("toks"), SEED))
     c = c.withColumn("marks", D.mask_marks(F.col("codes")))
-    c = c.crossJoin(F.broadcast(vocab_df))  # one row: the bounded 31,997-entry vocabulary
-    return c.withColumn("corrupted", D.corrupt(F.col("row_id"), F.col("pidx"), F.col("toks"), F.col("marks"),
-                                               F.col("vocab"), SEED)).drop("vocab")
+    args = (F.col("row_id"), F.col("pidx"), F.col("toks"), F.col("marks"))
+    c = (c.withColumn("corrupted", D.corrupt(*args, SEED))
+         .withColumn("reps", D.replacements(*args, SEED)))
+    return D.fill_replacements(c, ["row_id", "pidx"], vocab)
 
 
 def mask_pairs(spark, sf):
