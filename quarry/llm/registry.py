@@ -7,6 +7,9 @@ import importlib
 #: Query name -> (module, function of the documents or other table it reads).
 _OPERATORS = {
     "op1_minhash_dedup": ("minhash_dedup", "deduplicate", "documents"),
+    "op2_bootstrapped_pii": ("pii", "report", "documents"),
+    "op3_chat_collapse": ("chat_format", "collapse", "conversations"),
+    "op4_secret_scan": ("secret_scan", "report", "documents"),
     "op10_language_id": ("langid", "identify", "documents"),
 }
 
