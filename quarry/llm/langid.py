@@ -107,7 +107,7 @@ def learn(rows: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     return out
 
 
-def _judge(profiles: dict[str, list[int]], size: int):
+def _judge(profiles: dict[str, list[int]], size: int, names_out: list[str]):
     names = sorted(profiles)
     known = np.unique(np.array([c for p in profiles.values() for c in p], dtype=np.int64))
     ranks = np.full((len(names), len(known) + 1), -1, dtype=np.int64)   # the last column: unknown
@@ -132,25 +132,25 @@ def _judge(profiles: dict[str, list[int]], size: int):
                          for c, d in _codes(part.column("text").to_pylist())]
                 got = [one(np.concatenate([c[at[i]:at[i + 1]] for c, at in grams])) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in part.schema.names if c != "text"),
-                     pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
-                    [*(c for c in part.schema.names if c != "text"), "lang_pred", "score"])
+                    [*map(part.column, names_out), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
+                    [*names_out, "lang_pred", "score"])
     return run
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``.
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, keep: list[str] = ()) -> DataFrame:
+    """doc_id, held_out, the columns to keep, lang_pred, score for every row of ``docs``.
 
     Null, empty and letterless texts, and all texts where nothing was learned, give ``und`` and 0.
     Repeated rows are predicted one by one; other columns are ignored. A null id stays null.
     """
     small_batches(docs.sparkSession)
-    rows = id_and_text(docs).withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
-    return rows.select("doc_id", "held_out", "text").mapInArrow(
-        _judge(profiles, size), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = (id_and_text(docs, *[c for c in keep if c != "text"]).withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1))
+    out = ["doc_id", "held_out", *keep]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*out).schema)
+    return rows.select(*dict.fromkeys([*out, "text"])).mapInArrow(_judge(profiles, size, out), f"{types}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, size: int = PROFILE, keep: list[str] = ()) -> DataFrame:
     """Learn from rows whose crc32(doc_id) mod 3 is not 1 and predict all rows."""
     train = docs.where(crc_mod(F.col("doc_id").cast("long"), 3) != 1)
-    return predict(docs, learn(train, size), size)
+    return predict(docs, learn(train, size), size, keep)

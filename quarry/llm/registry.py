@@ -10,6 +10,8 @@ _OPERATORS = {
     "op2_bootstrapped_pii": ("pii", "report", "documents"),
     "op3_chat_collapse": ("chat_format", "collapse", "conversations"),
     "op4_secret_scan": ("secret_scan", "report", "documents"),
+    "op8_mixture_packing": ("packing", "pack", "documents"),
+    "op9_byte_bpe": ("bpe", "round_trip", "documents"),
     "op10_language_id": ("langid", "identify", "documents"),
 }
 
