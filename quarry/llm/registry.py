@@ -10,6 +10,9 @@ _OPERATORS = {
     "op2_bootstrapped_pii": ("pii", "report", "documents"),
     "op3_chat_collapse": ("chat_format", "collapse", "conversations"),
     "op4_secret_scan": ("secret_scan", "report", "documents"),
+    "op5_embedding_dedup": ("embed_dedup", "deduplicate", "embeddings"),
+    "op6_mixing_lm": ("lm", "score", "documents"),
+    "op7_bm25_topk": ("bm25_search", "search_hundredth", "documents"),
     "op8_mixture_packing": ("packing", "pack", "documents"),
     "op9_byte_bpe": ("bpe", "round_trip", "documents"),
     "op10_language_id": ("langid", "identify", "documents"),
