@@ -93,6 +93,11 @@ def remove_articles(s) -> Column:
     return F.regexp_replace(_c(s), ARTICLE_PATTERN, " ")
 
 
+def strip(s) -> Column:
+    """Leading and trailing white space of any kind removed (``trim`` removes blanks only)."""
+    return F.regexp_replace(_c(s), r"(?U)^\s+|\s+$", "")
+
+
 def white_space_fix(s) -> Column:
     """M5: split on whitespace and join with one space."""
     return F.trim(F.regexp_replace(_c(s), r"(?U)\s+", " "))
@@ -175,7 +180,7 @@ def classify_query(s) -> Column:
     question: ends with '?' or starts with a question word; chat: refers to the previous
     conversation; conversational: greeting or an imperative request; else neither.
     """
-    x = F.lower(F.trim(_c(s)))
+    x = F.lower(strip(s))
     return (F.when(x.rlike(r"\?$") | x.rlike(QUESTION_START), "question")
             .when(x.rlike(CHAT_WORDS), "chat")
             .when(x.rlike(CONVERSATIONAL_START), "conversational")

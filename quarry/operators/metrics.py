@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 
 SHINGLE = 4
-MAX_BROADCAST_ANSWERS = 2_000_000
 
 
 def _shingles(tokens: Column, n: int) -> Column:
@@ -33,8 +32,8 @@ def answer_join(docs: DataFrame, answers: DataFrame, *, doc_key: str = "doc_id",
                 ans_key: str = "item_id", ans_text: str = "text", decompose: bool = True,
                 shingle: int = SHINGLE) -> DataFrame:
     """(doc_key, ans_key) pairs where the answer's uncased tokens are a contiguous run of
-    the document's (NFD first, as the reference does). Answers with no tokens match nothing
-    here (they match every document by definition; use ``has_correct_answer`` per row)."""
+    the document's (NFD first). Answers with no tokens match every document by definition; they
+    are not expanded into pairs: :func:`empty_answers` lists them."""
     d0 = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_t"))
     a0 = answers.select(F.col(ans_key).alias("_a"), F.col(ans_text).alias("_at"))
     if decompose:
@@ -47,9 +46,7 @@ def answer_join(docs: DataFrame, answers: DataFrame, *, doc_key: str = "doc_id",
          .withColumn("_key", F.array_join(F.slice("_atok", 1, shingle), " "))
          .withColumn("_astr", T.token_string(F.col("_atok")))
          .select("_a", "_len", "_key", "_astr"))
-    n_ans = a.limit(MAX_BROADCAST_ANSWERS + 1).count()
-    keys = a.select("_len", "_key")
-    keys = F.broadcast(keys) if n_ans <= MAX_BROADCAST_ANSWERS else keys
+    keys = a.select("_len", "_key").distinct()
     lengths = sorted(r[0] for r in a.select("_len").distinct().collect())  # at most `shingle` values
     dtok = d0.select("_d", T.tokenize(dtext, uncased=True).alias("_dtok"))
     cands = None
@@ -66,6 +63,11 @@ def answer_join(docs: DataFrame, answers: DataFrame, *, doc_key: str = "doc_id",
     return ok.select(F.col("_d").alias(doc_key), F.col("_a").alias(ans_key))
 
 
+def empty_answers(answers: DataFrame, ans_key: str = "item_id", ans_text: str = "text") -> DataFrame:
+    """M11, the other part: answers without tokens, which every document contains."""
+    return answers.filter(F.size(T.tokenize(F.coalesce(F.col(ans_text), F.lit("")), uncased=True)) == 0).select(ans_key)
+
+
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Token count per row (M9 tokens)."""
     return df.select(key, F.size(T.tokenize(F.col(text))).alias("n_tokens"))
@@ -106,8 +108,9 @@ def rouge_avg(scores: DataFrame) -> DataFrame:
             .filter(F.col("n") > 0))
 
 
-def summary(results: DataFrame, dataset_size: Column | int, id_col: str = "id") -> DataFrame:
-    """One-row run summary; ratios are over processed (non-error) rows, 0 when none."""
+def summary(results: DataFrame, dataset_size: Column | int) -> DataFrame:
+    """One-row run summary; ratios are over processed (non-error) rows, 0 when none. The
+    failed ids are a table of their own (:func:`failed_ids`), never one cell."""
     ok = F.col("status") != "error"
     n_ok = F.sum(ok.cast("int"))
 
@@ -122,14 +125,17 @@ def summary(results: DataFrame, dataset_size: Column | int, id_col: str = "id")
         ratio(F.col("is_substring_match")).alias("substring_match"),
         ratio((F.col("status") == "correct").cast("int")).alias("correct_match"),
         ratio((F.col("status") == "ambiguous").cast("int")).alias("ambiguous_match"),
-        ratio((F.col("status") == "incorrect").cast("int")).alias("incorrect_match"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.col(id_col).cast("string")))), ",")
-        .alias("failed_items"))
+        ratio((F.col("status") == "incorrect").cast("int")).alias("incorrect_match"))
         .withColumn("dataset_size", ds.cast("long"))
         .withColumn("completion_percentage",
                     F.col("processed_items") * 100.0 / F.nullif(F.col("dataset_size"), F.lit(0))))
 
 
+def failed_ids(results: DataFrame, id_col: str = "id") -> DataFrame:
+    """The ids of failed rows, one a row."""
+    return results.filter(F.col("status") == "error").select(id_col)
+
+
 def running_mean(df: DataFrame, seq: str, cols: list[str], block: int = 1 << 20) -> DataFrame:
     """Running means of ``cols`` in ``seq`` order (seq = 1, 2, ... dense positions).
 

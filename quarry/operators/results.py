@@ -61,23 +61,26 @@ def error_rows(results: DataFrame) -> DataFrame:
     return results.filter(F.col("status") == "error")
 
 
-def lookup_items(errors: DataFrame, dataset: DataFrame, key: str = "id") -> DataFrame:
-    """The dataset item of each error row (first match by id); none -> stays failed."""
-    first = dataset.dropDuplicates([key])
-    return errors.select(key).join(first, key, "left")
+def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
 
 
-def merge_rerun(results: DataFrame, rerun: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """A successful rerun row replaces the first error row with the same id; a failed
-    rerun leaves the original error row in place."""
-    ok = rerun.filter(F.col("status") != "error").dropDuplicates([key])
+def lookup_items(errors: DataFrame, dataset: DataFrame, key: str = "id", *, order: list[str]) -> DataFrame:
+    """The dataset item of each error row, the first by ``order`` of those with its id; none ->
+    stays failed."""
+    return errors.select(key).join(first_by(dataset, [key], order), key, "left")
+
+
+def merge_rerun(results: DataFrame, rerun: DataFrame, key: str = "id", *, order: list[str]) -> DataFrame:
+    """A successful rerun row (the first by ``order``) replaces the first error row by
+    ``order`` with the same id; a failed rerun leaves the original error row in place."""
+    ok = first_by(rerun.filter(F.col("status") != "error"), [key], order)
     r = ok.select(key, *[F.col(c).alias(f"_r_{c}") for c in _RESULT_COLS])
-    base = results
-    if order is not None:
-        w = Window.partitionBy(key, F.col("status") == "error").orderBy(order)
-        base = base.withColumn("_first_err", (F.col("status") == "error") & (F.row_number().over(w) == 1))
-    else:
-        base = base.withColumn("_first_err", F.col("status") == "error")
+    is_error = F.coalesce(F.col("status") == "error", F.lit(False))
+    w = Window.partitionBy(key, is_error).orderBy(*order)
+    base = results.withColumn("_first_err", is_error & (F.row_number().over(w) == 1))
     j = base.join(r, key, "left")
     take = F.col("_first_err") & F.col("_r_status").isNotNull()
     for c in _RESULT_COLS:
@@ -115,7 +118,7 @@ def process_safely(df: DataFrame, fn_col, out_type: str = "string") -> DataFrame
                                                 F.col("_out.error").alias("error")).drop("_out")
 
 
-def retry(items: DataFrame, process, attempts: int = 2, key: str = "id",
+def retry(items: DataFrame, process, attempts: int = 2, key: str = "id", *, order: list[str],
           materialize=None) -> tuple[DataFrame, DataFrame]:
     """Y2: rerun only failed ids, up to ``attempts`` rounds, stop early when none is left.
 
@@ -137,5 +140,5 @@ def retry(items: DataFrame, process, attempts: int = 2, key: str = "id",
         if failed.limit(1).count() == 0:
             break
         rerun = process(items.join(failed, key, "left_semi"))
-        results = materialize(merge_rerun(results, rerun, key))
+        results = materialize(merge_rerun(results, rerun, key, order=order))
     return results, retried_ids(first, results, key)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import strip
 from quarry.operators.vectors import ordered_join
 
 # ---- fixed values (reference thresholds) ----------------------------------------------------
@@ -39,7 +40,7 @@ def judge_relevance(hits: DataFrame, judge_answers: DataFrame | None, threshold:
     if judge_answers is None:
         weak = weak.withColumn("label", F.lit(default_answer).cast("string"))
     else:
-        ans = judge_answers.select(F.col(key), F.lower(F.trim(F.col(answer_col))).alias("label"))
+        ans = judge_answers.select(F.col(key), strip(F.lower(F.col(answer_col))).alias("label"))
         weak = (weak.join(ans, key, "left")
                 .withColumn("label", F.coalesce(F.col("label"), F.lit(default_answer).cast("string"))))
     return strong.unionByName(weak)
@@ -59,13 +60,18 @@ def keyword_judge(query_tokens: Column, doc_tokens: Column, min_overlap: float =
     return F.when(share >= min_overlap, "yes").otherwise("no")
 
 
-def relevancy(labelled: DataFrame, key: str = "query_id") -> DataFrame:
-    """R4 + R8 per query: yes-count / hit-count, number of hits, any 'no'."""
-    return (labelled.groupBy(key)
+def relevancy(labelled: DataFrame, key: str = "query_id", queries: DataFrame | None = None) -> DataFrame:
+    """R4 + R8 per query: yes-count / hit-count, number of hits, any 'no'.
+
+    With ``queries`` every query has a row: without hits the score is null and ``n_hits`` 0."""
+    got = (labelled.groupBy(key)
             .agg(F.count("*").alias("n_hits"),
                  F.sum((F.col("label") == "yes").cast("int")).alias("n_yes"),
                  F.max(F.coalesce((F.col("label") == "no").cast("int"), F.lit(0))).alias("any_no"))
             .withColumn("relevancy_score", F.col("n_yes") / F.col("n_hits")))
+    if queries is None:
+        return got
+    return queries.select(key).distinct().join(got, key, "left").na.fill(0, ["n_hits", "n_yes", "any_no"])
 
 
 def status(score: Column) -> Column:
@@ -85,14 +91,15 @@ def keep_relevant(labelled: DataFrame) -> DataFrame:
 
 
 def relevant_text(labelled: DataFrame, texts: DataFrame, key: str = "query_id",
-                  text_key: str = "vec_id") -> DataFrame:
-    """Texts of 'yes' hits joined by newline in rank order; no 'yes' hit -> ''.
+                  text_key: str = "vec_id", queries: DataFrame | None = None) -> DataFrame:
+    """Texts of 'yes' hits joined by newline in rank order; no 'yes' hit -> ''. With
+    ``queries`` also a query without any hit has its row.
 
     The per-query group is bounded by k, so the ordered collect is small.
     """
     yes = keep_relevant(labelled).join(texts.select(text_key, "text"), text_key)
     agg = yes.groupBy(key).agg(ordered_join("rank", "text", "\n").alias("relevant_text"))
-    return (labelled.select(key).distinct().join(agg, key, "left")
+    return ((labelled if queries is None else queries).select(key).distinct().join(agg, key, "left")
             .withColumn("relevant_text", F.coalesce("relevant_text", F.lit(""))))
 
 

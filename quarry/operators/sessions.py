@@ -17,7 +17,7 @@ def pair_turns(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -
 
 # ---- fixed values (reference limits) -----------------------------------------------------------
 MEMORY_TOKEN_LIMIT = 1500
-MAX_SESSIONS_PER_USER = 50
+MAX_SESSIONS_PER_USER = 50   # declared, never enforced on pages: see ``newest_sessions``
 ANONYMOUS = "anonymous"
 # -----------------------------------------------------------------------------------------------
 
@@ -27,12 +27,25 @@ def chat_key(email: Column, session: Column, stype: Column) -> Column:
     return F.concat_ws(":", F.coalesce(email, F.lit(ANONYMOUS)), session.cast("string"), stype)
 
 
-def user_keys(email: Column, user_id: Column) -> dict:
-    """Single-table keys for users, tokens, email index and stored queries."""
+def user_keys(email: Column, user_id: Column, access_token: Column, query_id: Column) -> dict:
+    """Single-table keys of users, access tokens, the email index and stored queries (sort key
+    under the user's key), and the id that a query's document has in the index."""
     return {"user_pk": F.concat(F.lit("USER#"), user_id.cast("string")),
-            "token_pk": F.concat(F.lit("TOKEN#"), user_id.cast("string")),
+            "token_pk": F.concat(F.lit("TOKEN#"), access_token.cast("string")),
             "email_pk": F.concat(F.lit("EMAIL#"), email),
-            "query_pk": F.concat(F.lit("QUERY#"), user_id.cast("string"))}
+            "query_sk": F.concat(F.lit("QUERY#"), query_id.cast("string")),
+            "document_id": F.concat(F.lit("nq_"), query_id.cast("string"))}
+
+
+def profile_by_email(profiles: DataFrame, emails: DataFrame) -> DataFrame:
+    """The profile of each asked email; an unknown email keeps its row with nulls."""
+    return emails.select("user_email").distinct().join(profiles, "user_email", "left")
+
+
+def stored_queries(queries: DataFrame, users: DataFrame) -> DataFrame:
+    """All stored queries of the asked users, in query order within a user."""
+    return (users.select("user_id").distinct().join(queries, "user_id")
+            .withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("query_id"))))
 
 
 def create_sessions(existing: DataFrame | None, new: DataFrame, now: Column | None = None) -> DataFrame:
@@ -46,15 +59,21 @@ def create_sessions(existing: DataFrame | None, new: DataFrame, now: Column | No
     return existing.unionByName(rows.join(existing.select("session_id"), "session_id", "left_anti"))
 
 
-def list_sessions(sessions: DataFrame, limit: int, offset: int = 0,
-                  cap: int = MAX_SESSIONS_PER_USER) -> DataFrame:
-    """K2/K13/W8 for every user at once: newest first by created_at, the page
-    [offset, offset + limit) of each user's newest ``cap`` sessions, with the user's true total
-    (Q9). Window per user; the window-group limit prunes rows before the shuffle."""
+def list_sessions(sessions: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """K2/W8 for every user at once: newest first by created_at, the page [offset, offset + limit)
+    of each user's sessions, with the user's true total (Q9). Every page is there: no cap. The
+    count over the user keeps all rows, so nothing is pruned before the shuffle."""
     w = Window.partitionBy("user_email").orderBy(F.col("created_at").desc(), F.col("session_id").desc())
     ranked = (sessions.withColumn("position", F.row_number().over(w))
               .withColumn("total", F.count("*").over(Window.partitionBy("user_email"))))
-    return ranked.filter((F.col("position") > offset) & (F.col("position") <= min(offset + limit, cap)))
+    return ranked.filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
+
+
+def newest_sessions(sessions: DataFrame, cap: int = MAX_SESSIONS_PER_USER) -> DataFrame:
+    """K13, only where asked for: each user's newest ``cap`` sessions (a window-group limit prunes
+    rows before the shuffle)."""
+    w = Window.partitionBy("user_email").orderBy(F.col("created_at").desc(), F.col("session_id").desc())
+    return sessions.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
 
 
 def owned_by(sessions: DataFrame, email: Column | str) -> DataFrame:
@@ -65,15 +84,18 @@ def owned_by(sessions: DataFrame, email: Column | str) -> DataFrame:
 
 def update_sessions(sessions: DataFrame, updates: DataFrame) -> DataFrame:
     """K4: updates(session_id, user_email, title, updated_at); applied only when the requester
-    owns the session; the title changes only when non-empty."""
-    u = (updates.withColumnRenamed("user_email", "_req").withColumnRenamed("title", "_title")
-         .withColumnRenamed("updated_at", "_ts").dropDuplicates(["session_id"]))
+    owns the session; the title changes only when non-empty. Of several requests of the owner the
+    latest by ``updated_at`` counts (ties: the greater title); others' requests never do."""
+    latest = F.max(F.struct("updated_at", F.coalesce("title", F.lit("")).alias("title")))
+    u = (updates.join(sessions.select("session_id", "user_email"), ["session_id", "user_email"], "left_semi")
+         .groupBy("session_id").agg(latest.alias("_u"))
+         .select("session_id", F.lit(True).alias("_own"), F.col("_u.title").alias("_title"), F.col("_u.updated_at").alias("_ts")))
     j = sessions.join(u, "session_id", "left")
-    own = F.col("_req").isNotNull() & (F.col("_req") == F.col("user_email"))
+    own = F.coalesce("_own", F.lit(False))
     return (j.withColumn("title", F.when(own, F.coalesce(F.nullif(F.col("_title"), F.lit("")), F.col("title")))
                          .otherwise(F.col("title")))
             .withColumn("updated_at", F.when(own, F.col("_ts")).otherwise(F.col("updated_at")))
-            .drop("_req", "_title", "_ts"))
+            .drop("_own", "_title", "_ts"))
 
 
 def delete_sessions(sessions: DataFrame, messages: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +109,8 @@ def delete_sessions(sessions: DataFrame, messages: DataFrame, deletes: DataFrame
 def memory_buffer(messages: DataFrame, limit: int = MEMORY_TOKEN_LIMIT, key: str = "session_id",
                   turn: str = "turn", tokens: str = "n_tokens") -> DataFrame:
     """Keep the most recent messages whose running token sum (newest first) stays within
-    ``limit``; the newest message is always kept. Adds ``kept`` (0/1) and ``tokens_from_end``."""
+    ``limit``. Adds ``kept`` (0/1) and ``tokens_from_end``. Decision: the newest message is always
+    kept, even over the budget, so that an answer never loses its question."""
     w = (Window.partitionBy(key).orderBy(F.col(turn).desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = F.row_number().over(Window.partitionBy(key).orderBy(F.col(turn).desc()))
@@ -103,10 +126,10 @@ def count_messages(messages: DataFrame, key: str = "session_id", ts: str = "ts")
 
 
 def session_history(messages: DataFrame, key: str = "session_id", stype: str = "session_type",
-                    types: list[str] | None = None) -> DataFrame:
+                    *, types: list[str]) -> DataFrame:
     """K8: per session, the ordered message list of each session type; missing -> empty list.
-    Pivot on a fixed type list (no distinct-values pass)."""
-    types = types or ["mirag", "longrag"]
+    Pivot on a given type list (no distinct-values pass). One session is one row: page it first
+    (``list_sessions``) where sessions are long."""
     msg = F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("content"))
     p = messages.groupBy(key).pivot(stype, types).agg(F.array_sort(F.collect_list(msg)))
     for t in types:

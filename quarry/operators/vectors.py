@@ -4,26 +4,22 @@ assembly (V7-V9) and the hashed TF-IDF default embedder (V1).
 Physical shape of ``knn``
 -------------------------
 The vector table is the large side and is never shuffled or broadcast. The query side is
-small (a question set); it is size-checked and shipped to every task as one broadcast numpy
-block. Each vector partition scores its rows against the block with a BLAS matmul inside
+a question set; it is shipped to every task in broadcast numpy blocks of bounded bytes. Each vector partition scores its rows against the block with a BLAS matmul inside
 ``mapInArrow`` and keeps only its own top-k per query, so a partition emits at most
 ``Q * k`` rows (+ exact ties at the cut). One shuffle of those candidates by query id and a
-``row_number() <= k`` window give the exact global answer. A query set larger than the
-broadcast bound is cut into hash blocks, each handled the same way, so driver and executor
-memory stay bounded whatever the query count.
+``row_number() <= k`` window give the exact global answer. The driver holds one block at a time;
+each block is one more pass over the vectors.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of the query block shipped to executors per pass (64-dim float64: ~100 MB at 200k).
-MAX_QUERY_BLOCK_ROWS = 200_000
+# Bytes of a block of queries shipped to executors per pass.
+QUERY_BLOCK_BYTES = 64 << 20
 # Query columns scored per matmul (bounds the score matrix to 4096 x 1024 doubles = 32 MB).
 _Q_CHUNK = 1024
 _V_CHUNK = 4096
@@ -31,8 +27,8 @@ _V_CHUNK = 4096
 METRICS = ("cosine", "dot", "l2")
 
 
-def _vectors_from_arrow(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(valid_mask, matrix float64) from an Arrow list<float> column of equal-length lists."""
+def _vectors_from_arrow(col: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(valid_mask, matrix float64) of the vectors of ``dim`` parts in an Arrow list<float> column."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
@@ -40,7 +36,6 @@ def _vectors_from_arrow(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np
     if n == 0 or not valid.any():
         return valid, np.zeros((0, 0))
     lens = np.asarray(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    dim = int(lens[valid].max())
     valid &= lens == dim
     sub = col.filter(pa.array(valid))
     flat = np.asarray(sub.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
@@ -74,7 +69,7 @@ def _reduce_topk(qi: np.ndarray, vid: np.ndarray, sc: np.ndarray, k: int):
     return qi[keep], vid[keep], sc[keep]
 
 
-def _make_partition_topk(bq, k: int, metric: str, digits: int, exclude_self: bool):
+def _make_partition_topk(bq, k: int, metric: str, digits: int | None, exclude_self: bool):
     def run(batches):
         qids, qmat = bq.value
         qmat = _prepare(qmat, metric)
@@ -82,8 +77,8 @@ def _make_partition_topk(bq, k: int, metric: str, digits: int, exclude_self: boo
         acc_n = 0
         for rb in batches:
             ids = np.asarray(rb.column(0).to_numpy(zero_copy_only=False))
-            valid, vm = _vectors_from_arrow(rb.column(1))
-            if vm.shape[0] == 0 or vm.shape[1] != qmat.shape[1]:
+            valid, vm = _vectors_from_arrow(rb.column(1), qmat.shape[1])
+            if vm.shape[0] == 0:
                 continue
             ids = ids[valid]
             vm = _prepare(vm, metric)
@@ -91,7 +86,9 @@ def _make_partition_topk(bq, k: int, metric: str, digits: int, exclude_self: boo
                 vblk, iblk = vm[r0:r0 + _V_CHUNK], ids[r0:r0 + _V_CHUNK]
                 for c0 in range(0, len(qids), _Q_CHUNK):
                     qblk, qidblk = qmat[c0:c0 + _Q_CHUNK], qids[c0:c0 + _Q_CHUNK]
-                    s = np.round(_score(vblk, qblk, metric), digits)
+                    s = _score(vblk, qblk, metric)
+                    if digits is not None:
+                        s = np.round(s, digits)
                     s[np.isnan(s)] = -np.inf
                     if exclude_self:
                         s[iblk[:, None] == qidblk[None, :]] = -np.inf
@@ -120,21 +117,31 @@ def _make_partition_topk(bq, k: int, metric: str, digits: int, exclude_self: boo
     return run
 
 
-def _query_block(qdf: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _query_block(qdf: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     tbl = qdf.toArrow()
     ids = np.asarray(tbl.column(0).to_numpy(), dtype=np.int64)
-    valid, m = _vectors_from_arrow(tbl.column(1))
+    valid, m = _vectors_from_arrow(tbl.column(1), dim)
     return ids[valid], m
 
 
+def unsearchable(vectors: DataFrame, dims: list[int], vec_id: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Vectors that no query of the given lengths can meet, with the reason: null, of another length,
+    or zero (which has no cosine)."""
+    v = F.col(vec_col)
+    reason = (F.when(v.isNull(), "null").when(~F.size(v).isin(*dims), "length")
+              .when(F.forall(v, lambda x: x == 0), "zero"))
+    return vectors.select(vec_id, reason.alias("reason")).filter("reason is not null")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id",
         vec_col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding",
-        metric: str = "cosine", exclude_self: bool = False, digits: int = 6,
-        max_query_rows: int = MAX_QUERY_BLOCK_ROWS) -> DataFrame:
+        metric: str = "cosine", exclude_self: bool = False, digits: int | None = None,
+        block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Exact top-k vectors per query -> (query_id, vec_id, score, rank).
 
-    ``score`` is the similarity rounded to ``digits`` places before ranking so ties are decided
-    by ``vec_id`` deterministically; ``metric`` is cosine, dot or l2 (score = -distance).
+    Ranking is by full double precision, ties by ``vec_id``; ``digits``, where given, rounds scores
+    before ranking (so that two engines agree). ``metric`` is cosine, dot or l2 (score = -distance).
+    Queries search the vectors of their own length; ``unsearchable`` lists what no query can meet.
     ``exclude_self`` drops the pair whose ids are equal (a table searched against itself).
     """
     if metric not in METRICS:
@@ -142,17 +149,16 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
     spark = vectors.sparkSession
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col).alias("qvec"))
     v = vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(vec_col).alias("vvec"))
-    # Size check of the broadcast side: stops scanning after max_query_rows + 1 rows.
-    n_probe = q.limit(max_query_rows + 1).count()
-    if n_probe <= max_query_rows:
-        blocks = [q]
-    else:
-        n_blocks = math.ceil(q.count() / max_query_rows) + 1
-        blk = F.pmod(F.xxhash64("qid"), F.lit(n_blocks))
-        blocks = [q.filter(blk == b) for b in range(n_blocks)]
+    # Blocks of about block_bytes each, whatever the number and length of queries.
+    lengths = q.filter("qvec is not null").groupBy(F.size("qvec").alias("dim")).agg(F.count("*").alias("n")).collect()
+    blocks = []
+    for dim, n in sorted((r.dim, r.n) for r in lengths):
+        count = 1 + n * (dim + 1) * 8 // block_bytes
+        blk = F.pmod(F.xxhash64("qid"), F.lit(count))
+        blocks += [(q.filter((F.size("qvec") == dim) & (blk == b)), dim) for b in range(count)]
     parts = []
-    for qb in blocks:
-        ids, mat = _query_block(qb)
+    for qb, dim in blocks:
+        ids, mat = _query_block(qb, dim)
         if len(ids) == 0:
             continue
         bq = spark.sparkContext.broadcast((ids, mat))
@@ -173,11 +179,11 @@ def top_parents(hits: DataFrame, child_parent: DataFrame, k: int, *, child_id: s
     """Walk each query's ranked children, keep the first hit per parent with that
     child's score, stop at k parents -> (query_id, parent_id, score, first_rank, rank).
 
-    ``hits`` is bounded (queries x child over-fetch), so it is the broadcast build side and the
-    child -> parent table is streamed without a shuffle.
+    An ordinary join on the child id: queries x child over-fetch rows grow with the queries, so the
+    side to broadcast, if any, is Catalyst's choice.
     """
     m = child_parent.select(F.col(child_id).alias("vec_id"), F.col(parent_id).alias("parent_id"))
-    j = m.join(F.broadcast(hits.select("query_id", "vec_id", "score", "rank")), "vec_id")
+    j = m.join(hits.select("query_id", "vec_id", "score", "rank"), "vec_id")
     first = (j.groupBy("query_id", "parent_id")
              .agg(F.min(F.struct("rank", "score")).alias("f"))
              .select("query_id", "parent_id", F.col("f.score").alias("score"),

@@ -27,11 +27,6 @@ from quarry.sources.tables import row_position, table
 TOP_K = 8
 
 
-def strip(c):
-    """Python ``str.strip()``: leading and trailing white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def qa(spark, sf) -> DataFrame:
     b = table(spark, sf, "benchmark")
     return b.select(F.col("item_id").alias("id"), F.col("text").alias("query"), F.array("text").alias("answer"))
@@ -66,8 +61,8 @@ def _results(spark, sf, per: DataFrame, error_text: str) -> DataFrame:
     first_line = F.split(F.col("doc_text"), "\n").getItem(0)
     return j.select(
         "id", "query",
-        F.when(~err, F.lower(strip(F.col("doc_text")))).alias("long_answer"),
-        F.when(~err, F.lower(strip(first_line))).alias("short_answer"),
+        F.when(~err, F.lower(T.strip(F.col("doc_text")))).alias("long_answer"),
+        F.when(~err, F.lower(T.strip(first_line))).alias("short_answer"),
         F.when(~err, T.single_ans_em(first_line, F.col("answer"))).alias("is_exact_match"),
         F.when(~err, T.has_correct_answer(F.col("_nfd_doc"), F.col("_nfd_answer"))).alias("is_substring_match"),
         F.when(err, F.lit("error")).otherwise(routing.status(F.col("rs"))).alias("status"),
@@ -108,13 +103,12 @@ def token_counts(spark, sf):
 
 
 def exact_match(spark, sf):
-    """M7/M8 in table form: documents whose normalised text (or first line) equals a gold
-    answer. An equi-join on the normalised key, never a cross join."""
-    d = table(spark, sf, "documents")
-    b = table(spark, sf, "benchmark")
-    dn = d.select("doc_id", T.normalize_answer(F.split("text", "\n").getItem(0)).alias("k"))
-    bn = b.select("item_id", T.normalize_answer(F.col("text")).alias("k"))
-    return dn.join(bn, "k").select("doc_id", "item_id")
+    """M7/M8 in table form: (document, other document) whose whole texts are equal answers after
+    normalisation, each with the smallest such document. Grouped minimum and an equi-join on the
+    normalised key, never all pairs."""
+    d = table(spark, sf, "documents").select("doc_id", F.md5(T.normalize_answer(F.col("text"))).alias("k"))
+    low = d.groupBy("k").agg(F.min("doc_id").alias("item_id"))
+    return d.join(low, "k").where("doc_id <> item_id").select("doc_id", "item_id")
 
 
 def substring_join(spark, sf):
@@ -126,21 +120,30 @@ def results_table(spark, sf):
 
 
 def summary(spark, sf):
+    """The one-row summary; failed and recovered ids are counted here and listed by
+    ``failed_items`` and ``error_subset``. ``context_size`` is the mean token count of the gold
+    contexts of processed items, ``answer_context_size`` that of the text they were answered from."""
     first = first_pass_materialized(spark, sf)
-    merged = merge_rerun(first, rerun(spark, sf, first))
+    merged = merge_rerun(first, rerun(spark, sf, first), order=["query"])
     n = table(spark, sf, "benchmark").count()
     s = M.summary(merged, n)
-    rec = retried_ids(first, merged).agg(
-        F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("retried_successfully"))
+    rec = retried_ids(first, merged).agg(F.count("*").alias("n_retried_successfully"))
+    tokens = lambda c: F.size(T.tokenize(F.col(c)))
     ctx = (merged.filter(F.col("status") != "error")
-           .agg(F.round(F.avg(F.size(T.tokenize(F.col("long_answer")))), 6).alias("context_size")))
+           .agg(F.round(F.avg(tokens("query")), 6).alias("context_size"),
+                F.round(F.avg(tokens("long_answer")), 6).alias("answer_context_size")))
     return (s.crossJoin(rec).crossJoin(ctx)  # three one-row frames
-            .select("dataset_size", "processed_items", "n_failed", "failed_items", "retried_successfully",
-                    "context_size", *[F.round(c, 6).alias(c) for c in
+            .select("dataset_size", "processed_items", "n_failed", "n_retried_successfully",
+                    "context_size", "answer_context_size", *[F.round(c, 6).alias(c) for c in
                                       ["exact_match", "substring_match", "correct_match", "ambiguous_match",
                                        "incorrect_match", "completion_percentage"]]))
 
 
+def failed_items(spark, sf):
+    first = first_pass_materialized(spark, sf)
+    return M.failed_ids(merge_rerun(first, rerun(spark, sf, first), order=["query"]))
+
+
 def running_metrics(spark, sf):
     ok = first_pass(spark, sf).filter(F.col("status") != "error").select("id", "is_exact_match",
                                                                         "is_substring_match")
@@ -153,7 +156,7 @@ def running_metrics(spark, sf):
 
 def error_subset(spark, sf):
     first = first_pass_materialized(spark, sf)
-    merged = merge_rerun(first, rerun(spark, sf, first))
+    merged = merge_rerun(first, rerun(spark, sf, first), order=["query"])
     errs = first.filter(F.col("status") == "error").select("id")
     rec = retried_ids(first, merged).withColumn("retried", F.lit(1))
     return errs.join(rec, "id", "left").select("id", F.coalesce("retried", F.lit(0)).alias("retried"))
@@ -161,7 +164,7 @@ def error_subset(spark, sf):
 
 def resume_merge(spark, sf):
     first = first_pass_materialized(spark, sf)
-    merged = merge_rerun(first, rerun(spark, sf, first))
+    merged = merge_rerun(first, rerun(spark, sf, first), order=["query"])
     return merged.select("id", "status", "is_exact_match", "is_substring_match", "error")
 
 
@@ -172,7 +175,7 @@ def retry_summary(spark, sf):
 
 def still_failing_ids(spark, sf):
     first = first_pass_materialized(spark, sf)
-    merged = merge_rerun(first, rerun(spark, sf, first))
+    merged = merge_rerun(first, rerun(spark, sf, first), order=["query"])
     return still_failing(first, merged)
 
 
@@ -288,8 +291,10 @@ SQL = {
     "token_counts": f"""WITH per AS (SELECT doc_id, len(regexp_extract_all(text, {TOK}, 0)) AS n FROM documents)
 SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total_tokens, round(avg(n), 6) AS mean_tokens,
        max(n) AS max_tokens, min(n) AS min_tokens FROM per""",
-    "exact_match": f"""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b
-ON {_norm_sql("split_part(d.text, chr(10), 1)")} = {_norm_sql('b.text')}""",
+    "exact_match": f"""WITH k AS (SELECT doc_id, {_norm_sql('text')} AS k FROM documents),
+  g AS (SELECT k, min(doc_id) AS item_id FROM k GROUP BY k)
+SELECT k.doc_id, g.item_id FROM k JOIN g USING (k) WHERE k.doc_id <> g.item_id""",
+    "failed_items": f"WITH {_RERUN} SELECT id FROM merged WHERE status = 'error'",
     "substring_join": f"WITH {_CONTAIN} SELECT doc_id, item_id FROM pairs",
     "results_table": f"WITH {_FIRST} SELECT id, status, is_exact_match, is_substring_match, error FROM first",
     "summary": f"""WITH {_RERUN},
@@ -300,13 +305,13 @@ ON {_norm_sql("split_part(d.text, chr(10), 1)")} = {_norm_sql('b.text')}""",
                {_RATIO.format(x="CASE WHEN status = 'correct' THEN 1 ELSE 0 END")} AS correct_match,
                {_RATIO.format(x="CASE WHEN status = 'ambiguous' THEN 1 ELSE 0 END")} AS ambiguous_match,
                {_RATIO.format(x="CASE WHEN status = 'incorrect' THEN 1 ELSE 0 END")} AS incorrect_match,
-               coalesce(string_agg(CASE WHEN status = 'error' THEN CAST(id AS VARCHAR) END, ',' ORDER BY CAST(id AS VARCHAR)), '') AS failed_items,
-               round(avg(CASE WHEN status <> 'error' THEN len(regexp_extract_all(long_answer, {TOK}, 0)) END), 6) AS context_size
+               round(avg(CASE WHEN status <> 'error' THEN len(regexp_extract_all(query, {TOK}, 0)) END), 6) AS context_size,
+               round(avg(CASE WHEN status <> 'error' THEN len(regexp_extract_all(long_answer, {TOK}, 0)) END), 6) AS answer_context_size
         FROM merged),
-  rec AS (SELECT coalesce(string_agg(CAST(f.id AS VARCHAR), ',' ORDER BY CAST(f.id AS VARCHAR)), '') AS retried_successfully
+  rec AS (SELECT count(*) AS n_retried_successfully
           FROM first f JOIN merged m ON m.id = f.id WHERE f.status = 'error' AND m.status <> 'error'),
   n AS (SELECT count(*) AS dataset_size FROM benchmark)
-SELECT n.dataset_size, s.processed_items, s.n_failed, s.failed_items, rec.retried_successfully, s.context_size,
+SELECT n.dataset_size, s.processed_items, s.n_failed, rec.n_retried_successfully, s.context_size, s.answer_context_size,
        round(s.exact_match, 6) AS exact_match, round(s.substring_match, 6) AS substring_match,
        round(s.correct_match, 6) AS correct_match, round(s.ambiguous_match, 6) AS ambiguous_match,
        round(s.incorrect_match, 6) AS incorrect_match,
@@ -348,6 +353,7 @@ QUERIES = {
     "normalize_answer": normalize_answer,
     "token_counts": token_counts,
     "exact_match": exact_match,
+    "failed_items": failed_items,
     "substring_join": substring_join,
     "results_table": results_table,
     "summary": summary,

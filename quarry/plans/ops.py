@@ -12,7 +12,7 @@ from quarry.operators import vectors as V
 from quarry.operators import routing as R
 from quarry.session import scratch_path
 from quarry.sources import index_store as IX
-from quarry.sources.tables import row_position, table, take_first
+from quarry.sources.tables import attach_by_position, table, take_first
 from quarry.streaming import jobs as X
 
 # ---- fixture parameters ------------------------------------------------------------------------
@@ -96,11 +96,7 @@ def positional_join(spark, sf):
     b = table(spark, sf, "benchmark")
     n = b.count()
     ctx = take_first(table(spark, sf, "documents").select("doc_id"), n, "doc_id")
-    bp = row_position(b, "item_id")
-    cp = row_position(ctx, "doc_id")
-    if cp.count() != n:
-        raise ValueError(f"positional attach needs equal lengths: {n} items, {cp.count()} contexts")
-    return (bp.join(cp, "pos").select(F.concat(F.lit("eli5_"), F.col("pos").cast("string")).alias("query_id"),
+    return (attach_by_position(b, "item_id", ctx, "doc_id").select(F.concat(F.lit("eli5_"), F.col("pos").cast("string")).alias("query_id"),
                                       F.col("text").alias("query"), F.col("doc_id").alias("context_doc_id")))
 
 

@@ -8,7 +8,7 @@ text is ``documents.text`` of ``doc_id = vec_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import routing, vectors
@@ -25,7 +25,11 @@ PARENT_DIV = 5
 def hits(spark: SparkSession, sf: str, k: int = TOP_K) -> DataFrame:
     emb = table(spark, sf, "embeddings")
     q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.knn(emb, q, k, exclude_self=True)
+    return vectors.knn(emb, q, k, exclude_self=True, digits=6)   # as the oracle's scores
+
+
+def asked(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"))
 
 
 def knn_top8(spark, sf):
@@ -59,14 +63,14 @@ def relevance_labels(spark, sf):
 
 
 def _per_query(spark, sf, threshold=THRESHOLD):
-    return routing.relevancy(labelled(spark, sf, threshold))
+    return routing.relevancy(labelled(spark, sf, threshold), queries=asked(spark, sf))
 
 
 def status_ratios(spark, sf):
     r = _per_query(spark, sf).withColumn("status", routing.status(F.col("relevancy_score")))
-    total = r.count()
+    total = F.sum("n_queries").over(Window.partitionBy())      # over the three statuses
     return (r.groupBy("status").agg(F.count("*").alias("n_queries"))
-            .withColumn("share", F.round(F.col("n_queries") / F.lit(total), 6)))
+            .withColumn("share", F.round(F.col("n_queries") / total, 6)))
 
 
 def route_search(spark, sf):
@@ -79,14 +83,14 @@ def route_search(spark, sf):
 def judge_all_routes(spark, sf):
     h = hits(spark, sf)
     ans = routing.quality_answers(table(spark, sf, "labels"))
-    r = routing.relevancy(routing.judge_relevance(h, ans, None))
+    r = routing.relevancy(routing.judge_relevance(h, ans, None), queries=asked(spark, sf))
     return r.select("query_id", F.col("n_yes").cast("long").alias("n_yes"),
                     F.col("any_no").cast("int").alias("search"))
 
 
 def relevant_text(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return routing.relevant_text(labelled(spark, sf), docs)
+    return routing.relevant_text(labelled(spark, sf), docs, queries=asked(spark, sf))
 
 
 def flagship(spark, sf):

@@ -45,7 +45,8 @@ def get_spark(app: str = "quarry", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is created and set.
+    Where the setting is absent, a local session (as in tests) gets a scratch folder; on a cluster
+    executors would each write to their own disk, so that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -58,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             d = None
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_COLLECTION = "default"
-MAX_BROADCAST_REGISTRY = 1_000_000
 
 
 def save_index(vectors: DataFrame, root: str, collection: str | None = None) -> None:
@@ -40,10 +39,8 @@ def drop(registry: DataFrame, names: DataFrame) -> DataFrame:
 
 def resolve_collection(requests: DataFrame, registry: DataFrame, requested: str = "requested",
                        default: str = DEFAULT_COLLECTION) -> DataFrame:
-    """The requested collection when registered, else the default one. The registry is
-    a dimension table (one row per collection): broadcast after a size check."""
+    """The requested collection when registered, else the default one. Catalyst picks the
+    join by the registry's size."""
     reg = registry.select(F.col("collection").alias("_reg")).distinct()
-    if reg.limit(MAX_BROADCAST_REGISTRY + 1).count() <= MAX_BROADCAST_REGISTRY:
-        reg = F.broadcast(reg)
     j = requests.join(reg, F.col(requested) == F.col("_reg"), "left")
     return j.withColumn("collection", F.coalesce(F.col("_reg"), F.lit(default))).drop("_reg")

@@ -29,14 +29,23 @@ def take_first(df: DataFrame, n: int, order_by: str) -> DataFrame:
     return df.orderBy(F.col(order_by).asc()).limit(n)
 
 
-def row_position(df: DataFrame, order_by: str, name: str = "pos") -> DataFrame:
-    """0-based position of every row by an explicit order.
+def row_position(df: DataFrame, order_by: str, name: str = "pos", block: int = 1 << 16) -> DataFrame:
+    """0-based position of every row by an explicit order of distinct numeric values.
 
-    Uses ``zipWithIndex``-style numbering without a global single-partition window: rows are
-    range-partitioned by the key, each partition counts its rows and a cumulative offset is
-    added. Only per-partition counts (one number each) travel to the driver.
+    No global single-task window: rows are grouped into blocks of consecutive key values, each block
+    numbers its own rows, and a running sum over the block counts (one row a block) gives the offsets.
     """
-    spark = df.sparkSession
-    ordered = df.repartitionByRange(F.col(order_by)).sortWithinPartitions(order_by)
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return spark.createDataFrame(rdd, ordered.schema.add(name, "long"))
+    b = df.withColumn("_blk", F.floor(F.col(order_by) / block))
+    size = b.groupBy("_blk").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)      # over block counts only
+    offsets = size.select("_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_blk").orderBy(order_by)) - 1
+    return b.join(offsets, "_blk").withColumn(name, (inside + F.col("_o")).cast("long")).drop("_blk", "_o")
+
+
+def attach_by_position(items: DataFrame, item_order: str, contexts: DataFrame, context_order: str) -> DataFrame:
+    """Item i gets context i; unequal numbers of rows are an error, nothing is cut."""
+    n, m = items.count(), contexts.count()
+    if n != m:
+        raise ValueError(f"positional attach needs equal lengths: {n} items, {m} contexts")
+    return row_position(items, item_order).join(row_position(contexts, context_order), "pos")

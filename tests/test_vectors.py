@@ -37,7 +37,7 @@ def test_knn_query_blocks(spark):
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
     q = df.withColumnRenamed("vec_id", "query_id")
     a = {(r.query_id, r.vec_id) for r in V.knn(df, q, 3).collect()}
-    b = {(r.query_id, r.vec_id) for r in V.knn(df, q, 3, max_query_rows=7).collect()}
+    b = {(r.query_id, r.vec_id) for r in V.knn(df, q, 3, block_bytes=400).collect()}
     assert a == b and len(a) == 180
 
 
