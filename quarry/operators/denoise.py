@@ -4,10 +4,10 @@ Rows are (row_id, target, passages array<string>, scores array<double>) with den
 Everything is row-local Column work except the vocabulary (one global token count) and the
 per-task counts for the split (one tiny aggregate):
 
-* Randomness is a seeded Park-Miller chain over (row, passage, position, seed), so every draw is
-  reproducible and identical in SQL; ``rand()`` is never used.
+* Every draw is a slice of md5(seed:row:passage:position): reproducible, independent along a passage
+  and identical in SQL; ``rand()`` is never used.
 * T4 (mask a selected position and the next one, the second consuming its own selection) is a
-  regex pass over a per-passage code string: '1' eligible selected, '0' plain, '2' special.
+  replacement over a per-passage code string: '1' eligible selected, '0' plain, '2' special.
   In a run of '1's the starts are the even offsets ('11' -> 'SC', lone '1' -> 'S'), and a start
   right before a plain token consumes it ('S0' -> 'SC'). Equal to the sequential scan.
 * T8 positions inside a task follow from the row id in closed form (task = f(row div 4)), so no
@@ -16,10 +16,14 @@ per-task counts for the split (one tiny aggregate):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from hashlib import md5
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources.tables import dense_position
 
 # ---- fixed values (reference constants) --------------------------------------------------------
 MASK_P = 0.3
@@ -36,25 +40,11 @@ TASKS = ("cac", "cs", "sc")                 # batch mod 10: 0-3, 4-7, 8-9
 DATA_ORDER = ("cac", "sc", "cs")            # order of tasks in the combined outputs
 # -----------------------------------------------------------------------------------------------
 
-P = 2147483647   # 2^31 - 1
-G = 48271
-
-
-def _h(*parts: Column, seed: int) -> Column:
-    """First draw of the chain (0 <= h < P) from non-negative integer parts (< 2^31 each)."""
-    mults = [1000003, 10007, 101, 7]
-    acc = F.lit(seed % P).cast("long")
-    for m, p in zip(mults, parts):
-        acc = acc + p.cast("long") * m
-    return F.pmod(acc, F.lit(P))
-
 
-def _next(h: Column) -> Column:
-    return F.pmod(h * G, F.lit(P))
-
-
-def _u(h: Column) -> Column:
-    return h / F.lit(float(P))
+def draw(*parts, seed: int) -> Column:
+    """32 uniform bits for a key, the same in any engine that has md5."""
+    key = F.concat_ws(":", F.lit(str(seed)), *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
 def assign_task(row: Column) -> Column:
@@ -91,83 +81,87 @@ def passage_tokens(passage: Column) -> Column:
     return F.concat(F.array(F.lit(BOS), F.lit(REF)), T.tokenize(passage))
 
 
-def mask_codes(row: Column, pidx: Column, toks: Column, seed: int) -> Column:
-    """Code string per position: '2' special, '1' selected (position >= n div 3 and draw
-    < 0.3), else '0'."""
-    def body(tk):
-        lo = F.floor(F.size(tk) / 3)
-        return F.array_join(F.transform(tk, lambda t, i: F.when(t.isin(*SPECIALS), F.lit("2"))
-                                        .when((i >= lo) & (_u(_h(row, pidx, i, seed=seed)) < MASK_P), F.lit("1"))
-                                        .otherwise(F.lit("0"))), "")
-    return T.let(toks, body)
-
-
-def mask_marks(codes: Column) -> Column:
+def mark(codes: str) -> str:
     """T4: 'S' start, 'C' consumed follower, others unchanged."""
-    s = F.regexp_replace(codes, "11", "SC")
-    s = F.translate(s, "1", "S")
-    return F.regexp_replace(s, "S0", "SC")
-
-
-def _draws(row: Column, pidx: Column, i: Column, seed: int):
-    h2 = _next(_h(row, pidx, i, seed=seed))
-    return _u(h2), F.pmod(_next(h2), F.lit(VOCAB_HI - VOCAB_LO + 1)) + VOCAB_LO
-
-
-def corrupt(row: Column, pidx: Column, toks: Column, marks: Column, seed: int) -> Column:
-    """T5: masked positions -> 50% '[MASK]', 10% keep, 40% a vocabulary token (ids 3..31999).
-    Replaced positions are left null here and filled by ``fill_replacements``."""
-    def body(mk):
-        def one(t, i):
-            u, _ = _draws(row, pidx, i, seed)
-            m = F.substring(mk, i + 1, 1)
-            return (F.when(~m.isin("S", "C"), t).when(u < MASK_FRAC, F.lit(MASK))
-                    .when((u > MASK_FRAC) & (u < KEEP_FRAC), t).otherwise(F.lit(None).cast("string")))
-        return F.transform(toks, one)
-    return T.let(marks, body)
-
-
-def replacements(row: Column, pidx: Column, toks: Column, marks: Column, seed: int) -> Column:
-    """(pos, id) of the positions that T5 replaces with a vocabulary token."""
-    def body(mk):
-        def one(t, i):
-            u, rid = _draws(row, pidx, i, seed)
-            m = F.substring(mk, i + 1, 1)
-            rep = m.isin("S", "C") & (u >= MASK_FRAC) & ~((u > MASK_FRAC) & (u < KEEP_FRAC))
-            return F.struct(i.alias("pos"), rid.cast("int").alias("id"), rep.alias("rep"))
-        return F.transform(F.filter(F.transform(toks, one), lambda x: x["rep"]),
-                           lambda x: F.struct(x["pos"].alias("pos"), x["id"].alias("id")))
-    return T.let(marks, body)
-
-
-def fill_replacements(df: DataFrame, keys: list[str], vocab_ids: DataFrame, col: str = "corrupted",
-                      reps: str = "reps") -> DataFrame:
-    """Look replaced ids up in the vocabulary: only replaced positions are exploded and joined
-    with the broadcast vocabulary (31,997 rows, bounded by construction), then gathered per
-    passage and put back by position."""
-    ex = df.select(*keys, F.explode(reps).alias("r")).select(*keys, "r.pos", "r.id")
-    tok = (ex.join(F.broadcast(vocab_ids), "id", "left")
-           .withColumn("token", F.coalesce("token", F.lit("<unk>")))
-           .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("_rep")))
-    out = df.join(tok, keys, "left")
-    return (out.withColumn(col, F.transform(col, lambda t, i: F.coalesce(t, F.element_at(F.col("_rep"), i))))
-            .drop("_rep", reps))
-
-
-def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """T10 re-aimed: the 31,997 most frequent M9 tokens get ids 3.. (count desc, token asc).
-
-    One partial-aggregated count per token; the top-k keeps a bounded table of 31,997 rows, which
-    is what gets broadcast (as an id-indexed array) to the masking job."""
-    counts = docs.select(F.explode(T.tokenize(F.col(text))).alias("token")).groupBy("token").count()
-    top = counts.orderBy(F.col("count").desc(), F.col("token").asc()).limit(VOCAB_HI - VOCAB_LO + 1)
-    return top
-
-
-def vocab_ids(vocab: DataFrame) -> DataFrame:
-    """(id, token) with ids 3.. in (count desc, token asc) order; at most 31,997 rows."""
-    w = Window.orderBy(F.col("count").desc(), F.col("token").asc())  # over the bounded top list
-    return vocab.select((F.row_number().over(w) + (VOCAB_LO - 1)).cast("int").alias("id"), "token")
+    return codes.replace("11", "SC").replace("1", "S").replace("S0", "SC")
+
+
+def _passage(row: int, pidx: int, toks: list[str], vocab: list[str], seed: int):
+    """T3-T5 of one passage: codes, marks, corrupted tokens. One md5 a token gives its three draws."""
+    low, n, draws = len(toks) // 3, len(toks), [None] * len(toks)
+    codes = []
+    for i, t in enumerate(toks):
+        if t in SPECIALS:
+            codes.append("2")
+            continue
+        if i >= low:
+            d = draws[i] = md5(f"{seed}:{row}:{pidx}:{i}".encode()).digest()
+            codes.append("1" if int.from_bytes(d[:4], "big") < MASK_P * 2**32 else "0")
+        else:
+            codes.append("0")
+    codes = "".join(codes)
+    marks = mark(codes)
+    out = list(toks)
+    for i in range(n):
+        if marks[i] not in "SC":
+            continue
+        u = int.from_bytes(draws[i][4:8], "big") / 2**32
+        if u < MASK_FRAC:
+            out[i] = MASK
+        elif u >= KEEP_FRAC:
+            at = int.from_bytes(draws[i][8:12], "big") % (VOCAB_HI - VOCAB_LO + 1)
+            out[i] = vocab[at] if at < len(vocab) else "<unk>"
+    return codes, marks, out
+
+
+def mask_passages(df: DataFrame, vocab: list[str], seed: int) -> DataFrame:
+    """T3-T5 for rows (row_id, pidx, toks): adds codes, marks, corrupted.
+
+    T3 codes: '2' special, '1' selected (position >= n div 3 and a draw below 0.3), else '0'. T4 marks as
+    in :func:`mark`. T5: masked positions become '[MASK]' (50%), stay (10%) or become a vocabulary token
+    (40%). Row-local: Arrow batches pass once, the vocabulary (at most 31,997 tokens) is broadcast, nothing
+    is joined or shuffled.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches):
+        for b in batches:
+            rows, pidx, toks = (b.column(c).to_pylist() for c in ("row_id", "pidx", "toks"))
+            got = [_passage(r, p, t, sent.value, seed) for r, p, t in zip(rows, pidx, toks)]
+            codes, marks, out = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row_id"), b.column("pidx"), b.column("toks"), pa.array(codes, pa.string()), pa.array(marks, pa.string()),
+                 pa.array(out, pa.list_(pa.string()))], ["row_id", "pidx", "toks", "codes", "marks", "corrupted"])
+    return (df.select(F.col("row_id").cast("long").alias("row_id"), F.col("pidx").cast("int").alias("pidx"), "toks")
+            .mapInArrow(run, "row_id long, pidx int, toks array<string>, codes string, marks string, corrupted array<string>"))
+
+
+def token_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(token, count) of all M9 tokens: one partially aggregated count per token."""
+    return docs.select(F.explode(T.tokenize(F.col(text))).alias("token")).groupBy("token").count()
+
+
+def replacement_vocabulary(frequencies: DataFrame) -> list[str]:
+    """The replacement tokens of T5, ids 3..31999: the 31,997 most frequent (count desc, token asc)."""
+    top = frequencies.orderBy(F.col("count").desc(), F.col("token").asc()).limit(VOCAB_HI - VOCAB_LO + 1)
+    return [r.token for r in sorted(top.collect(), key=lambda r: (-r["count"], r.token))]
+
+
+def token_ids(frequencies: DataFrame) -> DataFrame:
+    """(token, id) of every token, ids from 3 on by (count desc, token asc). No token is left out."""
+    return dense_position(frequencies, F.col("count").desc(), F.col("token").asc(), name="id").select(
+        "token", (F.col("id") + VOCAB_LO).alias("id"))
+
+
+def encode(texts: DataFrame, ids: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, position, id) of every token of every text; an unknown token has id 0."""
+    toks = texts.select(key, F.posexplode(T.tokenize(F.col(text))).alias("position", "token"))
+    return toks.join(ids, "token", "left").select(key, "position", F.coalesce("id", F.lit(0)).alias("id"))
+
+
+def labels(n_input: Column, n_ignored: Column, ids: Column) -> Column:
+    """The label array: IGNORE_INDEX for the first ``n_ignored`` positions, then the ids."""
+    return F.concat(F.array_repeat(F.lit(IGNORE_INDEX), n_ignored.cast("int")), F.slice(ids, n_ignored.cast("int") + 1, n_input.cast("int")))
 
 
 def split(task_pos: Column, n_task: Column, mode: str = "complementary") -> Column:

@@ -14,7 +14,6 @@ from quarry.operators import denoise as D
 from quarry.sources.tables import table
 
 SEED = 42
-START_STREAM = 99999
 
 
 def uns(spark, sf):
@@ -52,19 +51,13 @@ def reference_passages(spark, sf):
 
 
 def _vocab(spark, sf):
-    return D.vocab_ids(D.vocabulary(table(spark, sf, "documents")))
+    return D.replacement_vocabulary(D.token_frequencies(table(spark, sf, "documents")))
 
 
 def _masked(u, vocab):
     """Per passage of the correct-and-complete rows: tokens, codes, marks, corrupted tokens."""
     c = u.filter(F.col("task") == "cac").select("row_id", F.posexplode("passages").alias("pidx", "p"))
-    c = c.withColumn("toks", D.passage_tokens(F.col("p"))).drop("p")
-    c = c.withColumn("codes", D.mask_codes(F.col("row_id"), F.col("pidx"), F.col("toks"), SEED))
-    c = c.withColumn("marks", D.mask_marks(F.col("codes")))
-    args = (F.col("row_id"), F.col("pidx"), F.col("toks"), F.col("marks"))
-    c = (c.withColumn("corrupted", D.corrupt(*args, SEED))
-         .withColumn("reps", D.replacements(*args, SEED)))
-    return D.fill_replacements(c, ["row_id", "pidx"], vocab)
+    return D.mask_passages(c.select("row_id", "pidx", D.passage_tokens(F.col("p")).alias("toks")), vocab, SEED)
 
 
 def mask_pairs(spark, sf):
@@ -76,7 +69,8 @@ def mask_pairs(spark, sf):
                     F.md5(F.array_join("corrupted", " ")).alias("corrupted_md5"))
 
 
-def label_sequence(spark, sf):
+def _sequences(spark, sf):
+    """Per row: task, input tokens (prompt, query, trace) and the number of ignored label positions."""
     u = _with_task(uns(spark, sf))
     m = _masked(u, _vocab(spark, sf))
     cac_parts = (m.groupBy("row_id")
@@ -94,11 +88,36 @@ def label_sequence(spark, sf):
     u = u.select("row_id", "task", F.concat(F.array(F.lit(D.BOS)), part).alias("prompt"), q.alias("q"),
                  Tx.tokenize(trace).alias("trace"))
     lo, hi = F.floor(F.size("q") / 2), F.floor(F.size("q") * 3 / 4)
-    start = lo + F.pmod(D._h(F.col("row_id"), F.lit(START_STREAM), F.lit(0), seed=SEED), hi - lo + 1)
-    inp = F.concat("prompt", "q", "trace")
-    return u.select("row_id", "task", F.size(inp).alias("n_input"),
-                    (F.size("prompt") + start).cast("long").alias("n_ignored"),
-                    F.md5(F.concat(F.array_join(inp, " "), F.lit(" " + D.EOS))).alias("text_md5"))
+    start = lo + F.pmod(D.draw(F.col("row_id"), "start", seed=SEED), hi - lo + 1)
+    return u.select("row_id", "task", F.concat("prompt", "q", "trace").alias("input"),
+                    (F.size("prompt") + start).cast("long").alias("n_ignored"))
+
+
+def label_sequence(spark, sf):
+    """The text and its label array (tokens behind the ignored part, -100 before)."""
+    s = _sequences(spark, sf)
+    lab = F.concat(F.array_repeat(F.lit(str(D.IGNORE_INDEX)), F.col("n_ignored").cast("int")),
+                   F.slice("input", F.col("n_ignored").cast("int") + 1, F.size("input")))
+    return s.select("row_id", "task", F.size("input").alias("n_input"), "n_ignored",
+                    F.md5(F.concat(F.array_join("input", " "), F.lit(" " + D.EOS))).alias("text_md5"),
+                    F.md5(F.array_join(lab, " ")).alias("labels_md5"))
+
+
+def training_rows(spark, sf):
+    """The tasks' rows as one union in the order cac, sc, cs, each split 80 / 20."""
+    s = _sequences(spark, sf).select("row_id", "task", F.concat(F.array_join("input", " "), F.lit(" " + D.EOS)).alias("text"))
+    n = s.groupBy("task").agg(F.count("*").alias("n_task"))
+    s = s.withColumn("task_pos", D.task_position(F.col("row_id"))).join(n, "task")
+    parts = [s.filter(F.col("task") == t).withColumn("part", F.lit(i)) for i, t in enumerate(D.DATA_ORDER)]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.select("part", "task_pos", D.split(F.col("task_pos"), F.col("n_task")).alias("split"), F.md5("text").alias("text_md5"))
+
+
+def token_encoding(spark, sf):
+    """Every token of every document as its vocabulary id; per document a checksum."""
+    d = table(spark, sf, "documents")
+    e = D.encode(d, D.token_ids(D.token_frequencies(d)), "doc_id")
+    return e.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("id") * (F.col("position") + 1)).alias("checksum"))
 
 
 def split_80_20(spark, sf):
@@ -113,13 +132,6 @@ def split_80_20(spark, sf):
 
 # ---- oracle SQL --------------------------------------------------------------------------------
 TOK = r"'[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'"
-_P = D.P
-
-
-def _h_sql(row: str, pidx: str, i: str) -> str:
-    return f"(({SEED} + {row} * 1000003 + {pidx} * 10007 + {i} * 101) % {_P})"
-
-
 _UNS = f"""uns0 AS (SELECT d.doc_id AS row_id, d.text AS target,
           list_filter([d.text, d1.text, d2.text], lambda x: x IS NOT NULL) AS passages,
           CAST(CASE d.doc_id % 3 WHEN 0 THEN [1.0, 0.0, 2.0] WHEN 1 THEN [0.0, 2.0, 1.0] ELSE [2.0, 1.0, 0.0] END AS DOUBLE[]) AS scores
@@ -127,10 +139,12 @@ _UNS = f"""uns0 AS (SELECT d.doc_id AS row_id, d.text AS target,
   uns AS (SELECT *, CASE WHEN (row_id // 4) % 10 < 4 THEN 'cac' WHEN (row_id // 4) % 10 < 8 THEN 'cs' ELSE 'sc' END AS task FROM uns0),
   ut AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY row_id) - 1 AS task_pos FROM uns)"""
 
-_H1 = _h_sql("row_id", "pidx", "(i - 1)")
-_H2 = f"(({_H1} * {D.G}) % {_P})"
-_H3 = f"(({_H2} * {D.G}) % {_P})"
-_U2 = f"({_H2} / {float(_P)})"
+def _bits(key: str, first: int) -> str:
+    return f"CAST('0x' || substr(md5({key}), {first}, 8) AS BIGINT)"
+
+
+_KEY = f"'{SEED}:' || row_id || ':' || pidx || ':' || (i - 1)"
+_H1, _U2, _H3 = _bits(_KEY, 1), f"({_bits(_KEY, 9)} / 4294967296.0)", _bits(_KEY, 17)
 
 _MASK = _UNS + f""",
   vc AS (SELECT token, count(*) AS c FROM (SELECT unnest(regexp_extract_all(text, {TOK}, 0)) AS token FROM documents)
@@ -139,11 +153,11 @@ _MASK = _UNS + f""",
   pt0 AS (SELECT row_id, unnest(passages) AS p, generate_subscripts(passages, 1) - 1 AS pidx FROM ut WHERE task = 'cac'),
   pt AS (SELECT row_id, pidx, ['<s>', '[REFERENCE]'] || regexp_extract_all(p, {TOK}, 0) AS toks FROM pt0),
   pc AS (SELECT *, array_to_string(list_transform(toks, lambda t, i: CASE WHEN t IN ('<s>', '[MASK]', '[REFERENCE]') THEN '2'
-                 WHEN (i - 1) >= len(toks) // 3 AND {_H1} / {float(_P)} < {D.MASK_P} THEN '1' ELSE '0' END), '') AS codes FROM pt),
+                 WHEN (i - 1) >= len(toks) // 3 AND {_H1} < {D.MASK_P} * 4294967296 THEN '1' ELSE '0' END), '') AS codes FROM pt),
   pm AS (SELECT *, regexp_replace(translate(regexp_replace(codes, '11', 'SC', 'g'), '1', 'S'), 'S0', 'SC', 'g') AS marks FROM pc),
   pr AS (SELECT pm.*, list_transform(toks, lambda t, i: CASE WHEN substr(marks, i, 1) NOT IN ('S', 'C') THEN t
                  WHEN {_U2} < {D.MASK_FRAC} THEN '[MASK]'
-                 WHEN {_U2} > {D.MASK_FRAC} AND {_U2} < {D.KEEP_FRAC} THEN t
+                 WHEN {_U2} < {D.KEEP_FRAC} THEN t
                  ELSE coalesce(voc.vocab[{_H3} % {D.VOCAB_HI - D.VOCAB_LO + 1} + 1], '<unk>') END) AS corrupted
          FROM pm, voc)"""
 
@@ -179,9 +193,19 @@ SELECT row_id, pidx, len(toks) AS n_tokens, length(codes) - length(replace(codes
        md5(array_to_string(corrupted, ' ')) AS corrupted_md5 FROM pr""",
     "label_sequence": f"""WITH {_LABEL},
   st AS (SELECT *, len(q) // 2 AS lo, (len(q) * 3) // 4 AS hi FROM lb)
-SELECT row_id, task, len(prompt) + len(q) + len(trace) AS n_input,
-       len(prompt) + lo + ({_h_sql('row_id', str(START_STREAM), '0')} % (hi - lo + 1)) AS n_ignored,
-       md5(array_to_string(prompt || q || trace, ' ') || ' </s>') AS text_md5 FROM st""",
+SELECT row_id, task, len(input) AS n_input, n_ignored, md5(array_to_string(input, ' ') || ' </s>') AS text_md5,
+       md5(array_to_string(list_resize(CAST([] AS VARCHAR[]), n_ignored, '-100') || input[n_ignored + 1:], ' ')) AS labels_md5
+FROM (SELECT row_id, task, prompt || q || trace AS input, len(prompt) + lo + ({_bits(f"'{SEED}:' || row_id || ':start'", 1)} % (hi - lo + 1)) AS n_ignored FROM st)""",
+    "training_rows": f"""WITH {_LABEL},
+  n AS (SELECT task, count(*) AS n_task FROM ut GROUP BY task)
+SELECT CASE task WHEN 'cac' THEN 0 WHEN 'sc' THEN 1 ELSE 2 END AS part, ut.task_pos,
+       CASE WHEN ut.task_pos < floor((n_task + 1) * 0.8) THEN 'train' ELSE 'test' END AS split,
+       md5(array_to_string(prompt || q || trace, ' ') || ' </s>') AS text_md5
+FROM lb JOIN ut USING (row_id, task) JOIN n USING (task)""",
+    "token_encoding": f"""WITH w AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS position FROM (SELECT doc_id, regexp_extract_all(text, {TOK}, 0) AS t FROM documents)),
+  c AS (SELECT token, count(*) AS c FROM w GROUP BY token),
+  ids AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) + 2 AS id FROM c)
+SELECT doc_id, count(*) AS n_tokens, CAST(sum(id * position) AS BIGINT) AS checksum FROM w JOIN ids USING (token) GROUP BY doc_id""",
     "split_80_20": f"""WITH {_UNS},
   n AS (SELECT task, count(*) AS n_task FROM ut GROUP BY task),
   tot AS (SELECT count(*) AS n FROM ut)
@@ -198,4 +222,6 @@ QUERIES = {
     "mask_pairs": mask_pairs,
     "label_sequence": label_sequence,
     "split_80_20": split_80_20,
+    "training_rows": training_rows,
+    "token_encoding": token_encoding,
 }

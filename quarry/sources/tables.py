@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import scratch_path
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -49,3 +53,22 @@ def attach_by_position(items: DataFrame, item_order: str, contexts: DataFrame, c
     if n != m:
         raise ValueError(f"positional attach needs equal lengths: {n} items, {m} contexts")
     return row_position(items, item_order).join(row_position(contexts, context_order), "pos")
+
+
+def dense_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
+    """0-based position of every row by any explicit total order.
+
+    A range partitioning sorts the rows; each partition's rows number themselves, and a running sum
+    over the partition counts gives the offsets. The sorted table is written to the shared folder, so
+    both reads see the same partitions.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"positions-{uuid.uuid4().hex}")
+    mark = F.monotonically_increasing_id()
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
+     .withColumns({"_part": F.shiftright(mark, 33), "_n": mark.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path))
+    rows = spark.read.parquet(path)
+    size = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)      # over partition counts only
+    offsets = size.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_o"))
+    return rows.join(offsets, "_part").withColumn(name, F.col("_n") + F.col("_o")).drop("_part", "_n", "_o")

@@ -1,40 +1,46 @@
-"""T4: the regex form of pair masking equals the sequential scan."""
+import numpy as np
 
-import random
+from quarry.operators import denoise as D
 
-from pyspark.sql import functions as F
 
-from quarry.operators import denoise as D
+def test_marks_by_hand():
+    # '1' selected, '0' plain, '2' special; S starts a pair, C is the position it consumes
+    for codes, marks in [("0110", "0SC0"), ("0100", "0SC0"), ("111", "SCS"), ("1110", "SCSC"), ("12", "S2"), ("1111", "SCSC"), ("01020", "0SC20"), ("", "")]:
+        assert D.mark(codes) == marks
 
 
-def sequential(codes):
-    """codes: list of '0' plain, '1' selected, '2' special -> set of masked positions."""
-    masked, idx, n = set(), 0, len(codes)
-    while idx < n:
-        if codes[idx] != "1":
-            idx += 1
-            continue
-        masked.add(idx)
-        idx += 1
-        if idx < n and codes[idx] != "2":
-            masked.add(idx)
-            idx += 1
-    return masked
-
-
-def test_mask_marks_match_scan(spark):
-    rnd = random.Random(5)
-    cases = ["".join(rnd.choice("0011112") for _ in range(rnd.randint(0, 40))) for _ in range(400)]
-    df = spark.createDataFrame([(c,) for c in cases], "codes string")
-    got = [r.m for r in df.select(D.mask_marks(F.col("codes")).alias("m")).collect()]
-    for c, m in zip(cases, got):
-        assert {i for i, ch in enumerate(m) if ch in "SC"} == sequential(list(c)), c
-
-
-def test_task_position_closed_form(spark):
-    df = spark.range(0, 500).withColumnRenamed("id", "row")
-    rows = df.select("row", D.assign_task(F.col("row")).alias("t"), D.task_position(F.col("row")).alias("p")).collect()
+def test_task_positions(spark):
+    df = spark.range(0, 97).withColumnRenamed("id", "row_id")
+    rows = df.select("row_id", D.assign_task(df.row_id).alias("t"), D.task_position(df.row_id).alias("p")).orderBy("row_id").collect()
     seen = {}
-    for r in sorted(rows, key=lambda r: r.row):
+    for r in rows:
         assert r.p == seen.get(r.t, 0)
-        seen[r.t] = seen.get(r.t, 0) + 1
+        seen[r.t] = r.p + 1
+
+
+def test_draws_are_independent():
+    vocab = [f"v{i}" for i in range(31997)]
+    shares, follow, kinds = [], [], np.zeros(3)
+    for row in (0, 1, 640, 645, 100_000, 2**40):
+        toks = [D.BOS, D.REF, *[f"t{i}" for i in range(6000)]]
+        codes, marks, out = D._passage(row, 1, toks, vocab, 42)
+        low = len(toks) // 3
+        assert set(codes[2:low]) == {"0"} and codes[:2] == "22"
+        sel = np.array([c == "1" for c in codes[low:]])
+        shares.append(sel.mean())
+        follow.append(np.corrcoef(sel[:-1], sel[1:])[0, 1])
+        for m, a, b in zip(marks, toks, out):
+            if m in "SC":
+                kinds += [b == D.MASK, a == b, b.startswith("v")]
+            else:
+                assert a == b
+    assert all(0.27 < s < 0.33 for s in shares) and all(abs(f) < 0.06 for f in follow)
+    assert np.allclose(kinds / kinds.sum(), [0.5, 0.1, 0.4], atol=0.02)
+
+
+def test_every_token_has_an_id(spark):
+    docs = spark.createDataFrame([(1, "b a a c"), (2, "a d")], "doc_id long, text string")
+    ids = {r.token: r.id for r in D.token_ids(D.token_frequencies(docs)).collect()}
+    assert ids == {"a": 3, "b": 4, "c": 5, "d": 6}
+    got = {(r.doc_id, r.position): r.id for r in D.encode(docs, D.token_ids(D.token_frequencies(docs)), "doc_id").collect()}
+    assert got == {(1, 0): 4, (1, 1): 3, (1, 2): 3, (1, 3): 5, (2, 0): 3, (2, 1): 6}
