@@ -39,8 +39,7 @@ TRANSFORM_QUERY_TEMPLATE = """    You are a question re-writer that converts an
     -------
     {query_str}
     -------
-    Formulate an improved question.
-    """
+    Formulate an improved question.    """
 # -----------------------------------------------------------------------------------------------
 
 _FIELD = re.compile(r"\{(\w+)\}")

@@ -10,6 +10,7 @@ through ``graph.group_graph``.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,10 +101,58 @@ def assemble_groups(grouped: DataFrame, key: str = "doc_id", metadata: str | Non
     return grouped.groupBy(key, "group_idx", "group_id").agg(*aggs)
 
 
+_SENTENCE = r"[^.!?\n]+[.!?]*\n*"
+
+
+def chunk_sentences(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, seq, n_tokens, text): whole sentences packed into chunks of at most ``size`` tokens.
+
+    A chunk takes sentences while they fit; the next one starts with the last sentences of the one
+    before that fit into ``overlap`` tokens, but always moves on by a sentence. A sentence longer than
+    ``size`` is cut into pieces of ``size`` tokens. Sentences are split and counted by built-in
+    functions; only their lengths go through Python, a document at a time. A text without a sentence
+    has no chunk.
+    """
+    sentence = F.col("_s")
+    pieces = F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(_SENTENCE), F.lit(0)), lambda s: F.when(
+        F.size(T.tokenize(s)) <= size, F.array(F.trim(s))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(T.tokenize(s)) - 1) / size).cast("int")),
+                    lambda i: F.array_join(F.slice(T.tokenize(s), i * size + 1, size), " ")))))
+    s = docs.select(F.col(key).alias("_k"), F.filter(pieces, lambda p: F.size(T.tokenize(p)) > 0).alias("_s"))
+    s = s.withColumn("_n", F.transform(sentence, lambda p: F.size(T.tokenize(p)))).where(F.size("_n") > 0)
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def packed(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda n: [{"a": a, "b": b} for a, b in pack_lengths([int(x) for x in n], size, overlap)])
+    s = s.select("_k", "_s", "_n", F.posexplode(packed("_n")).alias("seq", "_r"))
+    part = F.slice("_s", F.col("_r.a") + 1, F.col("_r.b") - F.col("_r.a"))
+    n = F.aggregate(F.slice("_n", F.col("_r.a") + 1, F.col("_r.b") - F.col("_r.a")), F.lit(0), lambda x, y: x + y)
+    return s.select(F.col("_k").alias(key), "seq", n.alias("n_tokens"), F.array_join(part, " ").alias("text"))
+
+
+def pack_lengths(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges [a, b) of sentences; every length is at most ``size``."""
+    out, a = [], 0
+    while True:
+        b, total = a, 0
+        while b < len(lengths) and total + lengths[b] <= size:
+            total += lengths[b]
+            b += 1
+        out.append((a, b))
+        if b == len(lengths):
+            return out
+        back, kept = b, 0
+        while back - 1 > a and kept + lengths[back - 1] <= overlap and kept + lengths[back - 1] + lengths[b] <= size:
+            back -= 1
+            kept += lengths[back]
+        a = back
+
+
 def two_level(docs: DataFrame, size: int | None = CHUNK_SIZE, small: int = SMALL_CHUNK_SIZE,
               max_size: int | None = MAX_GROUP_SIZE, overlap: int = OVERLAP,
-              small_overlap: int | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Chunk -> group -> assemble -> small chunks of each group carrying parent_id.
+              small_overlap: int = OVERLAP, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Chunk -> group -> assemble -> small chunks of each group carrying parent_id. Both
+    levels overlap by the library's default unless told otherwise.
 
     With ``size=None`` the documents themselves are the groups. Returns (groups, children).
     """
@@ -114,6 +163,5 @@ def two_level(docs: DataFrame, size: int | None = CHUNK_SIZE, small: int = SMALL
     else:
         c = chunk(docs, size, overlap, key=key)
         groups = assemble_groups(group_chunks(c, max_size, key), key)
-    so = small_overlap if small_overlap is not None else min(overlap, small // 4)
-    children = chunk(groups, small, so, key="group_id", keep=[key, "group_idx"])
+    children = chunk(groups, small, small_overlap, key="group_id", keep=[key, "group_idx"])
     return groups, children.withColumnRenamed("group_id", "parent_id")

@@ -101,6 +101,15 @@ def rouge1(pairs: DataFrame, key: str = "id", pred: str = "prediction", target:
                                            (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))))
 
 
+def rouge_multi(pairs: DataFrame, key: str = "id", pred: str = "prediction", targets: str = "targets", stemmer=None) -> DataFrame:
+    """Several references a row; the best value of each figure over them. A row without
+    references has zeros."""
+    one = pairs.select(F.col(key).alias("_id"), pred, F.posexplode_outer(targets).alias("_n", "_t"))
+    one = one.select(F.struct("_id", "_n").alias("_id_n"), pred, F.coalesce("_t", F.lit("")).alias("_t"))
+    best = [F.max(c).alias(c) for c in ("precision", "recall", "fmeasure")]
+    return rouge1(one, "_id_n", pred, "_t", stemmer).groupBy(F.col("_id_n._id").alias(key)).agg(*best)
+
+
 def rouge_avg(scores: DataFrame) -> DataFrame:
     """Mean of each ROUGE figure; no rows -> no row."""
     return (scores.agg(F.count("*").alias("n"), F.avg("precision").alias("precision"),

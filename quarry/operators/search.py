@@ -1,10 +1,10 @@
 """Fallback search re-aimed as a table job (R10, R11, P7, P8): BM25 over a term table, HTML
 title/content extraction, hit normalisation and formatting.
 
-Plan shape of ``bm25``: the query-term set is small and broadcast; the corpus is tokenised and
-exploded once, and each token row probes the broadcast set in the scan stage, so only tokens
-that occur in some query are shuffled, and a map-side partial count turns them into
-(doc, term, tf) before the exchange. A stop word that sits in a third of all documents therefore
+Plan shape of ``bm25``: the corpus is tokenised and exploded once and each token row meets the
+distinct query terms (Catalyst broadcasts them where they are small), so only tokens that occur in
+some query go on, and a map-side partial count turns them into (doc, term, tf) before the exchange.
+A stop word that sits in a third of all documents therefore
 costs one partial-count row per partition per document, never a hot reduce key. Document
 frequencies are computed for query terms only; N and the mean length come from one global
 aggregate.
@@ -30,13 +30,25 @@ def terms(text: Column) -> Column:
 
 
 def html_title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
+    return unescape(F.regexp_extract(html, r"(?s)<title(?:\s[^>]*)?>(.*?)</title>", 1))
 
 
 def html_content(html: Column) -> Column:
-    """Text of the <article> element: tags replaced by a space, white space collapsed."""
-    art = F.regexp_extract(html, r"(?s)<article>(.*)</article>", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(art, r"<[^>]*>", " "), r"\s+", " "))
+    """Text of the <article> element: tags replaced by a space, the basic entities decoded, white
+    space collapsed."""
+    art = F.regexp_extract(html, r"(?s)<article(?:\s[^>]*)?>(.*)</article>", 1)
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(art, r"<[^>]*>", " ")), r"\s+", " "))
+
+
+# ---- fixed values: the basic entities; the ampersand comes last ---------------------------------
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# ------------------------------------------------------------------------------------------------
+
+
+def unescape(text: Column) -> Column:
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def pages_corpus(pages: DataFrame) -> DataFrame:
@@ -56,13 +68,13 @@ def bm25(corpus: DataFrame, queries: DataFrame, n: int = 5, *, doc_key: str = "d
     docs = corpus.select(F.col(doc_key).alias("doc_id"), terms(F.col(text)).alias("_tok"))
     stats = docs.agg(F.count("*").alias("N"), F.avg(F.size("_tok")).alias("avgdl"))
     hit = (docs.select("doc_id", F.size("_tok").alias("dl"), F.explode("_tok").alias("term"))
-           .join(F.broadcast(qterms), "term"))
+           .join(qterms, "term"))
     tf = hit.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df_t = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = (df_t.crossJoin(F.broadcast(stats))  # one-row stats
            .select("term", "N", "avgdl",
                    F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-    scored = (tf.join(F.broadcast(idf), "term").join(F.broadcast(qt), "term")
+    scored = (tf.join(idf, "term").join(qt, "term")
               .withColumn("c", F.col("idf") * F.col("tf") * (k1 + 1) /
                           (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
     agg = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("c"), digits).alias("score"))
@@ -86,6 +98,13 @@ def search_text(hits: DataFrame, key: str = "query_id") -> DataFrame:
     return hits.groupBy(key).agg(ordered_join("rank", "content", "\n").alias("search_text"))
 
 
+def search_records(hits: DataFrame, key: str = "query_id") -> DataFrame:
+    """R11, chat variant: whole hit records as JSON (title, content, url, score), one a line, in rank
+    order."""
+    record = F.to_json(F.struct("title", "content", "url", "score"))
+    return hits.withColumn("_rec", record).groupBy(key).agg(ordered_join("rank", "_rec", "\n").alias("search_records"))
+
+
 def format_hits(hits: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
     """P8: '[i] title\\nSource: url\\nContent: content' blocks joined by a blank line; a query
     without hits -> 'No search results found.'"""

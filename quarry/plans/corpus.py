@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking as C
+from quarry.operators import graph
 from quarry.sources.tables import table
 
 # ---- fixture parameters ------------------------------------------------------------------------
@@ -52,6 +53,18 @@ def child_chunks(spark, sf):
     return children.select("parent_id", "doc_id", "seq", "n_chunks", "text")
 
 
+def chunk_sentences(spark, sf):
+    c = C.chunk_sentences(table(spark, sf, "documents").select("doc_id", "text"), SIZE, OVERLAP)
+    return c.select("doc_id", "seq", "n_tokens", "text")
+
+
+def components(spark, sf):
+    """Parts and suppliers that orders of one quarter connect."""
+    li = table(spark, sf, "lineitem").where("l_quantity >= 50")
+    edges = li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
+    return graph.connected(edges.select(F.col("a").alias("node")), edges)
+
+
 TOK = r"'[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'"
 
 
@@ -75,6 +88,10 @@ _GROUPS = _CH + f""",
          FROM g GROUP BY doc_id, group_idx)"""
 
 SQL = {
+    "components": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_quantity >= 50),
+  bo AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  reach AS (SELECT a AS node, a AS other FROM bo UNION SELECT reach.node, bo.b FROM reach JOIN bo ON bo.a = reach.other)
+SELECT node, min(other) AS component FROM reach GROUP BY node""",
     "chunk_window": f"WITH {_CH} SELECT doc_id, seq, n_chunks, text FROM c",
     "chunk_neighbors": f"""WITH {_CH}
 SELECT doc_id || '-' || seq AS chunk_id,
@@ -93,6 +110,8 @@ SELECT group_id AS parent_id, doc_id, seq, n_chunks,
 }
 
 QUERIES = {
+    "chunk_sentences": chunk_sentences,
+    "components": components,
     "chunk_window": chunk_window,
     "chunk_neighbors": chunk_neighbors,
     "group_chunks": group_chunks,

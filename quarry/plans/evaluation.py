@@ -196,6 +196,40 @@ def rouge1_unstemmed(spark, sf):
     return r.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fmeasure")])
 
 
+def rouge1_stemmed(spark, sf):
+    """M12 as the reference scores: on stems."""
+    from quarry.functions.stem import stem_tokens
+    from quarry.operators.sessions import pair_turns
+    p = pair_turns(table(spark, sf, "conversations"))
+    r = M.rouge1(p.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("answer").alias("prediction"), F.col("question").alias("target")),
+                 stemmer=stem_tokens)
+    return r.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fmeasure")])
+
+
+def rouge_multi(spark, sf):
+    """Each answer against all questions of its conversation."""
+    from quarry.operators.sessions import pair_turns
+    p = pair_turns(table(spark, sf, "conversations"))
+    asked = p.groupBy("conv_id").agg(F.array_sort(F.collect_list("question")).alias("targets"))
+    r = M.rouge_multi(p.join(asked, "conv_id").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("answer").alias("prediction"), "targets"))
+    return r.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fmeasure")])
+
+
+def final_summary(spark, sf):
+    """The summary of the end-to-end run beside its configuration and mean ROUGE-1."""
+    from quarry.plans.pipeline import evaluate, rag_eval
+    from quarry.plans.retrieval import THRESHOLD, TOP_K as k
+    results = rag_eval(spark, sf)
+    n = table(spark, sf, "benchmark").count()
+    target = evaluate(spark, sf).select(F.col("query_id").alias("id"), F.element_at("answer", -1).alias("target"))
+    pairs = results.where("status <> 'error'").join(target, "id").select("id", F.col("long_answer").alias("prediction"), "target")
+    r = M.rouge_avg(M.rouge1(pairs)).select(*[F.round(c, 6).alias(f"rouge1_{c}") for c in ("precision", "recall", "fmeasure")])
+    s = M.summary(results, n)
+    return s.crossJoin(r).select(F.lit(f"top_k={k};threshold={THRESHOLD}").alias("configuration"), "dataset_size", "processed_items", "n_failed",
+                                 *[F.round(c, 6).alias(c) for c in ("exact_match", "substring_match", "correct_match", "ambiguous_match", "incorrect_match",
+                                                                    "completion_percentage", "rouge1_precision", "rouge1_recall", "rouge1_fmeasure")])
+
+
 def rouge_avg(spark, sf):
     from quarry.operators.sessions import pair_turns
     pairs = pair_turns(table(spark, sf, "conversations"))
@@ -286,7 +320,19 @@ _PAIR_TURNS = """
                 coalesce(ov, 0) / greatest(coalesce(nt, 0), 1) AS recall FROM rp LEFT JOIN pr ON pr.id = rp.id),
   sf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS fmeasure FROM sc)"""
 
+_WORDS = "list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
 SQL = {
+    "rouge_multi": f"""WITH {_PAIR_TURNS.split('rp AS')[0]}
+  tk AS (SELECT conv_id, turn, {{w}} AS p, q FROM pt JOIN (SELECT conv_id AS c2, question AS q FROM pt) ON c2 = conv_id),
+  u AS (SELECT conv_id, turn, q, unnest(list_distinct(p || t)) AS tok, p, t FROM (SELECT *, {{wq}} AS t FROM tk)),
+  o AS (SELECT conv_id, turn, q, sum(least(len(list_filter(p, lambda x: x = tok)), len(list_filter(t, lambda x: x = tok)))) AS ov, any_value(len(p)) AS np, any_value(len(t)) AS nt
+        FROM u GROUP BY 1, 2, 3),
+  z AS (SELECT k.conv_id, k.turn, coalesce(ov, 0) / greatest(coalesce(np, 0), 1) AS pr, coalesce(ov, 0) / greatest(coalesce(nt, 0), 1) AS rc
+        FROM tk k LEFT JOIN o ON o.conv_id = k.conv_id AND o.turn = k.turn AND o.q = k.q)
+SELECT conv_id || ':' || turn AS id, round(max(pr), 6) AS precision, round(max(rc), 6) AS recall,
+       round(max(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END), 6) AS fmeasure FROM z GROUP BY 1""".replace(
+        "{w}", _WORDS.format(x="answer")).replace("{wq}", _WORDS.format(x="q")),
     "normalize_answer": f"SELECT item_id, nfc_normalize({_norm_sql('text')}) AS normalized FROM benchmark",
     "token_counts": f"""WITH per AS (SELECT doc_id, len(regexp_extract_all(text, {TOK}, 0)) AS n FROM documents)
 SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total_tokens, round(avg(n), 6) AS mean_tokens,
@@ -365,4 +411,7 @@ QUERIES = {
     "keyword_judge": keyword_judge,
     "rouge1_unstemmed": rouge1_unstemmed,
     "rouge_avg": rouge_avg,
+    "rouge1_stemmed": rouge1_stemmed,
+    "rouge_multi": rouge_multi,
+    "final_summary": final_summary,
 }

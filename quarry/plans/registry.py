@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["retrieval", "evaluation", "corpus", "search", "chat", "denoise", "ops"]
+MODULES = ["retrieval", "evaluation", "corpus", "search", "chat", "denoise", "ops", "pipeline"]
 
 
 def _mods():

@@ -38,6 +38,12 @@ def search_text(spark, sf):
     return S.search_text(_page_hits(spark, sf))
 
 
+def search_records(spark, sf):
+    h = _page_hits(spark, sf).withColumn("score", F.round(F.col("score") * 1000).cast("long"))
+    return S.search_records(h).select("query_id", F.length("search_records").alias("n_chars"),
+                                      (F.size(F.split("search_records", "\n"))).alias("n_records"))
+
+
 def format_hits(spark, sf):
     return S.format_hits(_page_hits(spark, sf), _queries(spark, sf))
 
@@ -59,8 +65,15 @@ def _bm25_sql(corpus: str) -> str:
   top AS (SELECT * FROM r WHERE rank <= {TOP_N})"""
 
 
-_PAGES = r"""pc AS (SELECT page_id AS doc_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
-       trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS content
+def _unescape_sql(x: str) -> str:
+    for entity, char in S.ENTITIES:
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+_TITLE = _unescape_sql(r"regexp_extract(html, '(?s)<title(?:\s[^>]*)?>(.*?)</title>', 1)")
+_CONTENT = _unescape_sql(r"regexp_replace(regexp_extract(html, '(?s)<article(?:\s[^>]*)?>(.*)</article>', 1), '<[^>]*>', ' ', 'g')")
+_PAGES = rf"""pc AS (SELECT page_id AS doc_id, url, {_TITLE} AS title, trim(regexp_replace({_CONTENT}, '\s+', ' ', 'g')) AS content
        FROM pages),
   pages_corpus AS (SELECT doc_id, url, title, content, concat_ws(' ', title, content) AS text FROM pc)"""
 
@@ -86,4 +99,5 @@ QUERIES = {
     "search_hits": search_hits,
     "search_text": search_text,
     "format_hits": format_hits,
+    "search_records": search_records,
 }

@@ -33,6 +33,13 @@ def take_first(df: DataFrame, n: int, order_by: str) -> DataFrame:
     return df.orderBy(F.col(order_by).asc()).limit(n)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared checkpoint folder and read again: it is computed once."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_position(df: DataFrame, order_by: str, name: str = "pos", block: int = 1 << 16) -> DataFrame:
     """0-based position of every row by an explicit order of distinct numeric values.
 
