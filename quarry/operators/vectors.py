@@ -14,6 +14,7 @@ each block is one more pass over the vectors.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,6 +175,63 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
             .filter(F.col("rank") <= k))
 
 
+def ann(vectors: DataFrame, queries: DataFrame, k: int, *, cells: int = 64, probes: int = 8, vec_id: str = "vec_id",
+        vec_col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding", exclude_self: bool = False,
+        split: int = 20_000) -> DataFrame:
+    """V6: approximate top-k by cosine -> (query_id, vec_id, score, rank).
+
+    ``cells`` centre vectors (those of the lowest hash, a bounded sample) cut the table into cells by the
+    nearest centre; every vector is indexed. A query is compared exactly with all vectors of its
+    ``probes`` nearest cells; with ``probes = cells`` the result is exact. Cells are dealt into parts of
+    about ``split`` vectors, and vectors meet queries in a shuffle: neither side is broadcast or collected.
+    """
+    v = vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec is not null")
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col).cast("array<double>").alias("qvec")).where("qvec is not null")
+    centres = [r.vec for r in v.orderBy(F.xxhash64("vid"), "vid").select("vec").limit(cells).collect()]
+    if not centres:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    dim = len(centres[0])
+    c = np.nan_to_num(_prepare(np.array([x for x in centres if len(x) == dim]), "cosine"))
+
+    def nearest(m: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(np.nan_to_num(_prepare(m, "cosine")) @ c.T), axis=1, kind="stable")[:, :n]
+
+    def assign(n, name):
+        def run(batches):
+            for b in batches:
+                valid, m = _vectors_from_arrow(b.column(1), dim)
+                if len(m):
+                    cell = nearest(m, n)
+                    part = b.filter(pa.array(valid))
+                    row = np.repeat(np.arange(len(m)), cell.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1).astype(np.int32)), part.column(0).take(pa.array(row)),
+                                                      part.column(1).take(pa.array(row))], ["cell", name, "vec" if name == "vid" else "qvec"])
+        return run
+    vc = v.mapInArrow(assign(1, "vid"), "cell int, vid long, vec array<double>")
+    qc = q.mapInArrow(assign(probes, "qid"), "cell int, qid long, qvec array<double>")
+    parts = 1 + vectors.count() // split                             # a cell has its share of a third at most split so
+    vc = vc.withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int"))
+    qc = qc.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def search(key: tuple, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(qs) and len(vs):
+            vm, vid = _prepare(np.array(vs["vec"].tolist()), "cosine"), vs["vid"].to_numpy()
+            for s in range(0, len(qs), _Q_CHUNK):
+                some = qs.iloc[s:s + _Q_CHUNK]
+                sc = np.nan_to_num(_prepare(np.array(some["qvec"].tolist()), "cosine") @ vm.T, nan=-np.inf)
+                if exclude_self:
+                    sc[some["qid"].to_numpy()[:, None] == vid[None]] = -np.inf
+                for row, one in zip(some["qid"], sc):
+                    best = np.lexsort((vid, -one))[:k]
+                    best = best[np.isfinite(one[best])]
+                    out.append(pd.DataFrame({"query_id": row, "vec_id": vid[best], "score": one[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    got = qc.groupBy("cell", "part").cogroup(vc.groupBy("cell", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def top_parents(hits: DataFrame, child_parent: DataFrame, k: int, *, child_id: str = "vec_id",
                 parent_id: str = "parent_id") -> DataFrame:
     """Walk each query's ranked children, keep the first hit per parent with that

@@ -41,6 +41,11 @@ def rate_limit_stream(spark, sf):
                     F.col("n_limited").cast("long").alias("n_limited"))
 
 
+def memory_stream(spark, sf):
+    c = table(spark, sf, "conversations")
+    return X.memory_stream(spark, _path(sf, "conversations"), c.schema, 200).select("conv_id", "turn", "n_tokens")
+
+
 def session_counts_stream(spark, sf):
     c = table(spark, sf, "conversations")
     return X.session_counts_stream(spark, _path(sf, "conversations"), c.schema)
@@ -178,6 +183,9 @@ SQL = {
     "rate_limit_stream": f"""SELECT user_id, strftime(date_trunc('day', ts), {_F}) AS window_start, count(*) AS n_requests,
        CAST(greatest(count(*) - {RATE_LIMIT}, 0) AS BIGINT) AS n_limited FROM events GROUP BY user_id, date_trunc('day', ts)""",
     "session_counts_stream": "SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
+    "memory_stream": r"""WITH t AS (SELECT conv_id, turn, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]')) AS n_tokens FROM conversations),
+  r AS (SELECT *, sum(n_tokens) OVER w AS s, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, turn, n_tokens FROM r WHERE rn = 1 OR s <= 200""",
     "index_append": "SELECT vec_id, vec_id // 5 AS parent_id, 'default' AS collection FROM embeddings",
     "index_roundtrip": """SELECT 'label' || label AS collection, count(*) AS n_vectors,
        CASE WHEN 'label' || label = 'label0' THEN 0 ELSE 1 END AS registered FROM embeddings GROUP BY label""",
@@ -223,6 +231,7 @@ QUERIES = {
     "rate_limit": rate_limit,
     "rate_limit_stream": rate_limit_stream,
     "session_counts_stream": session_counts_stream,
+    "memory_stream": memory_stream,
     "index_append": index_append,
     "index_roundtrip": index_roundtrip,
     "collection_fallback": collection_fallback,

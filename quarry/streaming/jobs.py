@@ -2,15 +2,16 @@
 
 Every stream reads a directory of parquet files incrementally (``availableNow`` processes what is
 there and stops; the checkpoint is the resume marker), so a rerun after a failure picks up
-exactly where the committed offsets stopped. Sinks are idempotent: complete-mode aggregates
-overwrite, appends are de-duplicated by key against what is already written.
+exactly where the committed offsets stopped. Sinks are idempotent: aggregates run in update mode and
+write each micro-batch to a folder of its number (a replay overwrites it; the reader takes the latest
+row of a key), appends are de-duplicated by key against what is already written.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import scratch_path
@@ -21,39 +22,75 @@ RATE_LIMIT, RATE_WINDOW = 10, "1 minute"
 
 
 def rate_limit_batch(events: DataFrame, limit: int = RATE_LIMIT, window: str = RATE_WINDOW,
-                     key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """X1 batch twin: requests per (client, tumbling window); requests beyond ``limit`` inside a
-    window are flagged. Window per (client, window) - bounded by the window length."""
-    w = F.window(F.col(ts).cast("timestamp"), window)
-    e = events.withColumn("win", w)
-    rn = F.row_number().over(Window.partitionBy(key, "win").orderBy(ts, "event_id"))
-    flagged = e.withColumn("limited", (rn > limit).cast("int"))
-    return (flagged.groupBy(key, F.col("win.start").alias("window_start"))
-            .agg(F.count("*").alias("n_requests"), F.sum("limited").alias("n_limited")))
+                     key: str = "user_id", ts: str = "ts", route: str = "event_type", exempt: tuple = ()) -> DataFrame:
+    """X1 batch twin: requests per (client, tumbling window) and how many lie beyond ``limit``: one
+    aggregate. Requests of the exempt routes are not counted."""
+    w = F.window(F.col(ts).cast("timestamp"), window).alias("win")
+    e = events.filter(~F.col(route).isin(*exempt)) if exempt else events
+    return (e.groupBy(key, w).agg(F.count("*").alias("n_requests"))
+            .select(key, F.col("win.start").alias("window_start"), "n_requests",
+                    F.greatest(F.col("n_requests") - limit, F.lit(0)).alias("n_limited")))
 
 
 def rate_limit_stream(spark: SparkSession, src: str, schema, limit: int = RATE_LIMIT,
                       window: str = RATE_WINDOW, watermark: str | None = None,
-                      key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """X1 as a stream: late rows beyond the watermark are dropped by the window aggregation.
-    Returns the final per-window counts (written through an idempotent sink, read back)."""
+                      key: str = "user_id", ts: str = "ts", route: str = "event_type", exempt: tuple = ()) -> DataFrame:
+    """X1 as a stream in update mode: the watermark drops late rows and frees the state of past windows.
+    Returns the latest count of every window (written through an idempotent sink, read back)."""
     watermark = watermark or window
-    s = (_source(spark, src, schema)
+    events = _source(spark, src, schema)
+    if exempt:
+        events = events.filter(~F.col(route).isin(*exempt))
+    s = (events
          .withColumn("_ts", F.col(ts).cast("timestamp"))
          .withWatermark("_ts", watermark)
          .groupBy(key, F.window("_ts", window).alias("win"))
          .agg(F.count("*").alias("n_requests"))
          .select(key, F.col("win.start").alias("window_start"), "n_requests",
                  F.greatest(F.col("n_requests") - limit, F.lit(0)).alias("n_limited")))
-    return _run_complete(spark, s, "rate_limit")
+    return _run_update(spark, s, "rate_limit", [key, "window_start"])
 
 
 def session_counts_stream(spark: SparkSession, src: str, schema, key: str = "conv_id",
                           ts: str = "turn") -> DataFrame:
-    """Per-session message counter updated as messages arrive (complete mode)."""
+    """Per-session message counter updated as messages arrive (update mode; the state has two
+    numbers a session)."""
     s = (_source(spark, src, schema)
          .groupBy(key).agg(F.count("*").alias("message_count"), F.max(ts).alias("last_turn")))
-    return _run_complete(spark, s, "session_counts")
+    return _run_update(spark, s, "session_counts", [key])
+
+
+def memory_stream(spark: SparkSession, src: str, schema, limit: int, key: str = "conv_id", turn: str = "turn",
+                  text: str = "text") -> DataFrame:
+    """X3, token-bounded: the messages that a session's memory holds, (key, turn, n_tokens).
+
+    The state of a session is the turns and token counts of its newest messages within ``limit`` (the
+    newest always), so it is bounded by the budget and not by the length of the session.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from quarry.functions.text import tokenize
+
+    def update(k, frames, state):
+        kept = list(zip(*state.get)) if state.exists else []
+        for f in frames:
+            kept += [(int(a), int(b)) for a, b in zip(f["turn"], f["n_tokens"])]
+        kept = sorted(set(kept), reverse=True)
+        total, n = 0, 0
+        for _, size in kept:
+            if n and total + size > limit:
+                break
+            total, n = total + size, n + 1
+        kept = kept[:n]
+        state.update(([a for a, _ in kept], [b for _, b in kept]))
+        yield pd.DataFrame({key: [k[0]], "turns": [[a for a, _ in kept]], "sizes": [[b for _, b in kept]]})
+    s = (_source(spark, src, schema)
+         .select(key, F.col(turn).cast("long").alias("turn"), F.size(tokenize(F.col(text))).cast("long").alias("n_tokens"))
+         .groupBy(key).applyInPandasWithState(update, f"{key} long, turns array<long>, sizes array<long>", "turns array<long>, sizes array<long>",
+                                              "update", GroupStateTimeout.NoTimeout))
+    got = _run_update(spark, s, "memory", [key])
+    return got.select(key, F.explode(F.arrays_zip("turns", "sizes")).alias("m")).select(key, F.col("m.turns").alias(turn), F.col("m.sizes").alias("n_tokens"))
 
 
 def _source(spark: SparkSession, src: str, schema):
@@ -66,17 +103,20 @@ def _source(spark: SparkSession, src: str, schema):
     return r.parquet(src)
 
 
-def _run_complete(spark: SparkSession, agg: DataFrame, name: str) -> DataFrame:
+def _run_update(spark: SparkSession, agg: DataFrame, name: str, keys: list[str]) -> DataFrame:
     run = f"{name}-{uuid.uuid4().hex[:8]}"
     out, ckpt = scratch_path(spark, f"{run}/out"), scratch_path(spark, f"{run}/ckpt")
 
-    def sink(df, _epoch):
-        df.write.mode("overwrite").parquet(out)
+    def sink(df, epoch):
+        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    values = [c for c in agg.columns if c not in keys]
+    rows = spark.read.option("basePath", out).parquet(out)
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
+    return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
 def incremental_index(spark: SparkSession, src: str, schema, index_path: str, ckpt: str,
