@@ -169,3 +169,33 @@ def redact(docs: DataFrame, *more: str) -> DataFrame:
                         F.when(s["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"), acc["text"].alias("text"))
     clean = F.aggregate("found", zero, step, lambda a: F.concat(a["out"], F.substring(a["text"], a["at"] + 1, F.char_length(a["text"]))))
     return scan(docs, RULES, *more).withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text"))).drop("found")
+
+
+def _sql() -> str:
+    def ascii_case(pattern):
+        """Either case of ASCII letters only, spelled out: DuckDB folds other letters too."""
+        head, words, tail = re.match(r"(.*)\(\?i:(\(.*?\))\)(.*)", pattern).groups() if "(?i:" in pattern else (pattern, "", "")
+        return head + re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", words) + tail
+    cols, spans = [], []
+    for k, r in enumerate(RULES):
+        p = ascii_case(r.pattern).replace("'", "''")
+        group, least = r.value
+        cols.append(f"regexp_extract_all(t, '{p}') AS m{k}, string_split_regex(t, '{p}') AS g{k}")
+        keep = f"length(regexp_extract(s.m, '{p}', {group})) >= {least}" if group else "true"
+        size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+        spans.append(f"""list_filter(list_transform(range(1, len(m{k}) + 1), lambda i: {{'start': CAST({size(f'g{k}[1:i]')} + {size(f'm{k}[1:i - 1]')} AS BIGINT),
+            'kind': {k}, 'm': m{k}[i]}}), lambda s: {keep})""")
+    names = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+    text = f"list_transform({{}}, lambda s: {names}[s.kind + 1] || ':' || s.start || ':' || (s.start + length(s.m)))"
+    base = f"list_filter(found, lambda s: s.kind < {BASE})"
+    counts = ", ".join(f"len(list_filter(found, lambda s: s.kind = {k})) AS n_{r.kind}" for k, r in enumerate(RULES[:BASE]))
+    every = spans[0]
+    for x in spans[1:]:
+        every = f"list_concat({every}, {x})"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, {', '.join(cols)} FROM d), a AS (SELECT doc_id, list_sort({every}) AS found FROM f)
+SELECT doc_id, {counts}, sha256(array_to_string({text.format(base)}, ',')) AS base_sha256,
+       array_to_string({text.format('found')}, ',') AS spans FROM a"""
+
+
+SQL = _sql()

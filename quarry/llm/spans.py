@@ -49,13 +49,3 @@ def listed(spans: Column, kinds: list[str]) -> Column:
     """kind:start:end of the spans, comma-joined."""
     names = F.array(*map(F.lit, kinds))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-
-
-def sql_spans(pattern: str, kind: int, keep: str, text: str = "t") -> str:
-    """DuckDB: the same list of spans as structs, for a pattern without group; ``keep`` tests m."""
-    p = pattern.replace("'", "''")
-    return f"""list_filter(list_transform(range(1, len(regexp_extract_all({text}, '{p}')) + 1), i -> {{
-        'kind': {kind},
-        'start': list_sum(list_transform(string_split_regex({text}, '{p}')[1:i], g -> length(g)))
-                 + coalesce(list_sum(list_transform(regexp_extract_all({text}, '{p}')[1:i - 1], g -> length(g))), 0),
-        'm': regexp_extract_all({text}, '{p}')[i]}}), s -> {keep})"""
