@@ -17,7 +17,9 @@ Sequences hold 4,096 tokens without a gap. The last, partial one is cut into pow
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,20 +46,42 @@ def _tokenizer(spec: str):
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    return Tokenizer.from_str(spec), {}
+    return Tokenizer.from_str(spec), {}, {}
+
+
+_PRINTABLE = re.compile(r"[!-~]+")
+#: The tokenizer's own split of lower-case printable ASCII.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: ASCII marks at the end, but for apostrophes.
+_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+$")
+
+
+def _pieces(word: str) -> list[str]:
+    """Parts of a word that the tokenizer encodes independently of each other."""
+    if "<|" in word:                                 # may be a special token
+        return [word]
+    if _PRINTABLE.fullmatch(word):
+        return _SPLIT.findall(word.lower())
+    core = _MARKS.sub("", word)
+    return [core, word[len(core):]] if core != word and core.isalpha() else [word]
 
 
 def _encode(texts: list[str], spec: str) -> list[bytes]:
     """Ids of each text and its end id, as 32-bit little-endian. Spaces and line ends never lie in a token
-    of this tokenizer, which drops white space, so the words between them are encoded once each."""
-    tokenizer, kept = _tokenizer(spec)
+    of this tokenizer, which drops white space, so the words between them, and the parts of words that it
+    splits from each other, are encoded once each."""
+    tokenizer, kept, known = _tokenizer(spec)
     words = [t.replace("\n", " ").split(" ") for t in texts]
     new = {w for some in words for w in some}
-    if len(kept) > KEPT:
-        kept.clear()
-    new = [w for w in new if w not in kept]
-    for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-        kept[w] = np.array(e.ids, "<u4").tobytes()
+    for cache in (kept, known):
+        if len(cache) > KEPT:
+            cache.clear()
+    new = {w: _pieces(w) for w in new if w not in kept}
+    parts = list({p for some in new.values() for p in some if p not in known})
+    for p, e in zip(parts, tokenizer.encode_batch(parts, add_special_tokens=False)):
+        known[p] = array("I", e.ids).tobytes()
+    for w, some in new.items():
+        kept[w] = b"".join([known[p] for p in some])
     end = np.array([END], "<u4").tobytes()
     return [b"".join([kept[w] for w in some]) + end for some in words]
 

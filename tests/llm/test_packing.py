@@ -56,7 +56,7 @@ def test_whole_table(spark, sf):
 
 def test_odd_rows(make_docs):
     rnd = random.Random(2)
-    rows = [(i, " ".join(rnd.choices(["the", "é", "😀", "<|endoftext|>", "it's", "\x1c", " x", "é", "ΟΔΟΣ", "\t\nq"], k=rnd.randrange(1, 300))), None,
+    rows = [(i, " ".join(rnd.choices(["the", "é", "😀", "<|endoftext|>", "it's", "\x1c", " x", "é", "ΟΔΟΣ", "\t\nq", "Don'T", "#'s!", "<|STARTOFTEXT|>", "naïve,***", "x1Y2.3", "é's", "...", "'ll"], k=rnd.randrange(1, 300))), None,
              rnd.choice(["hot", "hot", "a", "b", None])) for i in range(300)]
     rows += [(900, None), (901, "", None, "tiny"), (902, "long words " * 20_000, None, "hot"), (903, "x" * 30_000, None, "b")]
     docs = make_docs(rows).withColumn("queue", F.lit(1)).withColumn("offset", F.lit("x")).repartition(7)
