@@ -40,9 +40,9 @@ CLASSES = 64
 #: Four contexts: the number of classes before (0: the word so far), and the rows of their table.
 CONTEXTS = [(2, 1 << 12), (3, 1 << 16), (5, 1 << 17), (0, 1 << 17)]
 ROWS = sum(r for _, r in CONTEXTS)
-SEGMENT = 512
+SEGMENT = 256
 #: Symbols that a worker codes in one loop, about.
-LOOP = 3 << 20
+LOOP = 6 << 20
 #: Bytes of text whose decisions are looked up together.
 PART = 1 << 17
 #: Words whose counts every worker gets: 16 bytes each.
@@ -179,7 +179,7 @@ def _cells(alphabet: Alphabet, white: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(ROWS * CLASSES, np.int32)
         for batch in batches:
-            for part in slices(batch, "text", LOOP):
+            for part in slices(batch, "text", 4 * PART):
                 sym, begin = _symbols(alphabet.cls, *text_buffer(part.column("text")))
                 for row in _rows(sym, begin, white):
                     np.add.at(n, row * CLASSES + sym, np.ones(len(sym), np.int32))
