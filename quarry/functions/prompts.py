@@ -40,6 +40,72 @@ TRANSFORM_QUERY_TEMPLATE = """    You are a question re-writer that converts an
     {query_str}
     -------
     Formulate an improved question.    """
+EVALUATE_QUERY_TEMPLATE = """    You are a query evaluator. Your task is to classify user inputs into one of the following types:
+
+    1. **Question** – The input is seeking specific information or an answer. It usually ends with a question mark or starts with question words like "what", "how", "why", etc.
+
+    2. **Conversational** – The input is more casual or interactive in nature. It may express thoughts, feelings, or initiate/continue a conversation without explicitly asking a question.
+
+    3. **Chat** – The input is a chat message or a part of a conversation. It may be a response to a previous message or a standalone message.
+
+    If the input is neither of the above (e.g., a statement or command), return: "neither".
+
+    Respond with only one word: "question", "conversational", "chat", or "neither".
+
+    Examples:
+    - "What is the capital of Japan?" -> question
+    - "Hey, what's up?" -> conversational
+    - "The server is running." -> neither
+    - "Tell me about the new update." -> conversational
+    - "Who won the game yesterday?" -> question
+    - "What was the previous question?" -> chat
+    - "Based from the chat or conversation, what's the summary?" -> chat
+    - "Can you tell me more about the topic?" -> question
+
+    Now classify the following prompt:
+    {query_str}
+    """
+
+PREDICT_ANSWER_TEMPLATE = """    Go through the following context and then get the  answer of the question from the context.
+    Choose the most relevant text from the context and answer from it.
+
+    Context:
+    -------
+    {context}
+    -------
+
+    Question:
+    -------
+    {question}
+    -------    """
+
+PREDICT_LONG_ANSWER_TEMPLATE = """    Go through the following context and then extract the answer of the question from the context.
+    Answer the question directly. Your answer should be concise.
+
+    The context is a list of Wikipedia documents, ordered by title: {titles}.
+    Each Wikipedia document contains a 'title' field and a 'text' field.
+
+    Choose the most relevant text from the context and extract the answer from it.
+
+    The context is: {context}.
+    The question: {question}.    """
+
+EXPLAIN_TEMPLATE = """    With the question: {question}
+
+    Can you explain the following context in a way that a 5-year-old can understand?
+
+    -----
+    {context}
+    -----
+
+    Break down complex concepts using simple words, analogies, and everyday examples.
+    Avoid technical jargon.
+
+    Go through the following context and then extract the answer of the question from the context.
+    Answer the question directly. Your answer should be concise.
+    """
+
+CHAT_RELEVANCY_TEMPLATE = RELEVANCY_TEMPLATE.replace("    Metadata:\n    ---------\n    {metadata}\n\n", "")
 # -----------------------------------------------------------------------------------------------
 
 _FIELD = re.compile(r"\{(\w+)\}")
@@ -56,6 +122,12 @@ def render(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
+def chat_rewrite_input(query: Column, relevant_text: Column, history: Column) -> Column:
+    """R9, chat variant: what goes into the rewrite prompt as the query: the query, the relevant text and
+    the earlier messages (already rendered)."""
+    return F.concat(query, F.lit("\n\n"), relevant_text, F.lit("\n\nPrevious chat history:\n"), history)
+
+
 def py_dict_repr(**fields: Column) -> Column:
     """Python ``str()`` of a flat dict of strings, in the given key order."""
     items = []
