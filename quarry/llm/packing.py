@@ -37,8 +37,8 @@ WINDOW = 16
 END = 2
 #: Most queues: bounds the table of queue sizes that every task gets (16 bytes and a name each).
 MAX_QUEUES = 100_000
-#: Words whose ids a worker keeps.
-KEPT = 400_000
+#: Words, and parts of words, whose ids a worker keeps; beyond, it starts anew.
+KEPT, KNOWN = 400_000, 1_200_000
 
 
 @lru_cache(maxsize=2)
@@ -73,8 +73,8 @@ def _encode(texts: list[str], spec: str) -> list[bytes]:
     tokenizer, kept, known = _tokenizer(spec)
     words = [t.replace("\n", " ").split(" ") for t in texts]
     new = {w for some in words for w in some}
-    for cache in (kept, known):
-        if len(cache) > KEPT:
+    for cache, most in ((kept, KEPT), (known, KNOWN)):
+        if len(cache) > most:
             cache.clear()
     new = {w: _pieces(w) for w in new if w not in kept}
     parts = list({p for some in new.values() for p in some if p not in known})
