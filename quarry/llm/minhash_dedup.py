@@ -174,8 +174,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """node, n and the words of the sketch as columns, which a join condition reads without detours."""
-    return rows.select("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(MINIMA // 16)])
+    """node, n, bands, and the words of the sketch as columns, which a join condition reads without detours."""
+    return rows.select("node", "n", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(MINIMA // 16)])
 
 
 def _may_link(a: str, b: str):
@@ -243,7 +243,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def _unresolved(inside: DataFrame, sketches: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket of three or more and may be alike."""
+    """Pairs of different components that share a bucket of three or more and may be alike.
+
+    A pair is made in the smallest of the buckets that it shares only. Where that one holds just the
+    two, they were a star pair and have been looked at.
+    """
     inside = (inside.where("size > 2").select("key", "size", "node").join(comp.withColumnRenamed("u", "node"), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     mixed = (inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
@@ -254,7 +258,7 @@ def _unresolved(inside: DataFrame, sketches: DataFrame, comp: DataFrame) -> Data
     a = inside.select("*", own.alias("i"), F.explode(part).alias("j")).alias("a")
     b = inside.select("*", own.alias("j"), F.explode(part).alias("i")).alias("b")
     return (a.join(b, F.expr("a.key = b.key and a.i = b.i and a.j = b.j and a.node < b.node and a.component <> b.component")
-                   & _may_link("a", "b"))
+                   & _may_link("a", "b") & F.expr("a.key = array_min(array_intersect(a.bands, b.bands))"))
             .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct())
 
 
