@@ -1,11 +1,14 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is its UTF-8 bytes and an end. Bytes are sorted into ``CLASSES`` classes (the end, the most
-frequent bytes, and one class for the others, whose bytes cost their training frequency), and a class is
-coded as the binary decisions on its way down a Huffman tree. Bit predictors, one for each context
-(the last 2, 3 or 5 classes, and the word so far), hold the log odds of every decision in a
-table of hashed contexts, learned by counting all training documents: tasks count (context row, class)
-cells, Spark adds them up, and a grouped pass turns the cells of a row into odds.
+A text is its UTF-8 bytes and an end; each of the 256 bytes and the end is a class of its own, coded as
+the binary decisions on its way down a Huffman tree. Bit predictors, one for each context (the last 2, 3
+or 5 classes, and the word so far), hold the log odds of every decision, learned by counting all training
+documents: every (context, class) cell that occurs is counted by itself, under the whole context (the
+last classes, 9 bits each) or a 52-bit hash of the word so far. So the model grows with the training text.
+
+The model is nowhere in one place. Texts are dealt into parts of about ``LOOP`` bytes. A part gives its
+distinct cells with their training counts; the cells meet by context in as many buckets as there are
+parts, where the counts are added up and become odds; and each part gets back the odds of its own cells.
 
 Scoring is online: the predictors' odds are mixed by weights that a gate (the depth in the tree) selects,
 the mix is refined by an adaptive probability map, and weights and map learn from every bit as it is
@@ -13,8 +16,6 @@ coded. Weights and maps start afresh every ``SEGMENT`` symbols, contexts go on;
 depend on the rows beside it, and one long text is many lanes of the same vectorised loop. All of every
 text is coded; the sum is the log probability of the text under a proper distribution.
 
-The model that workers get has a fixed size (``ROWS`` rows a context, 64 bytes each: 21 MB).
-
 Beside it stands the unigram base score: words by 64-bit hash, training counts by a grouped sum. The
 ``COMMON`` most frequent words' counts are sent to the workers; all other words of a document are
 joined with the counts.
@@ -27,21 +28,20 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_and_text, mix64, slices, small_batches, stored, text_buffer
+from .common import crc_mod, forget, id_and_text, mix64, slices, small_batches, stored, text_buffer
 from .minhash_dedup import word_hashes
 
-CLASSES = 64
-#: Four contexts: the number of classes before (0: the word so far), and the rows of their table.
-CONTEXTS = [(2, 1 << 12), (3, 1 << 16), (5, 1 << 17), (0, 1 << 17)]
-ROWS = sum(r for _, r in CONTEXTS)
+#: The end and all bytes.
+CLASSES = 257
+#: Four contexts: the number of classes before (0: the word so far).
+CONTEXTS = [2, 3, 5, 0]
 SEGMENT = 256
-#: Symbols that a worker codes in one loop, about.
+#: Bytes of text that a worker codes in one loop (one text at least), about.
 LOOP = 6 << 20
 #: Bytes of text whose decisions are looked up together.
 PART = 1 << 17
@@ -51,8 +51,8 @@ _SCALE = 12.0            # table steps of the log odds
 _RATE, _START = 0.04, 0.36
 _GATES = 6
 _BINS = 24               # of the adaptive map, over log odds -8 to 8
-_BLOCK = 512             # context rows that become odds together
-_FIRST = np.cumsum([0, *(r for _, r in CONTEXTS)])
+_LEAF = 9                # bits of a class; a cell is 2 bits for the context's kind, 52 for the context, 9 for the class's leaf
+_CELLS = 1 << 18         # cells that become odds together
 
 
 # ---------------------------------------------------------------- words (the base score)
@@ -87,13 +87,10 @@ class Alphabet:
 
     def __init__(self, n_bytes: np.ndarray, n_ends: int):
         order = np.lexsort((np.arange(256), -n_bytes))
-        self.cls = np.full(256, CLASSES - 1, np.int64)
-        self.cls[order[:CLASSES - 2]] = np.arange(1, CLASSES - 1)
-        rest = order[CLASSES - 2:]
-        self.rest = np.zeros(256)                               # log10 p(byte | the class of the others)
-        self.rest[rest] = np.log10((n_bytes[rest] + 1) / (n_bytes[rest].sum() + len(rest)))
-        n = np.bincount(self.cls, n_bytes, CLASSES).astype(np.int64)
-        n[0] = n_ends
+        self.cls = np.zeros(256, np.int64)
+        self.cls[order] = np.arange(1, CLASSES)
+        self.rest = np.zeros(256)                               # log10 p(byte | its class)
+        n = np.append(n_ends, n_bytes[order]).astype(np.int64)
         tick = itertools.count(CLASSES)
         heap = [(int(c) + 1, i, i) for i, c in enumerate(n)]
         heapq.heapify(heap)
@@ -105,17 +102,19 @@ class Alphabet:
             heapq.heappush(heap, (a[0] + b[0], k, k))
         root = heap[0][2]                                       # nodes: the root is 0, others by height
         paths = [[] for _ in range(CLASSES)]
-        self.under = np.zeros((2, CLASSES - 1, CLASSES), np.float32)   # classes below the 0 and 1 side of a node
+        self.leaf = np.zeros(CLASSES, np.int64)                 # classes from left to right
+        self.span = np.zeros((CLASSES - 1, 3), np.int64)        # leaves below a node: where side 0 and side 1 begin, and the end
 
-        def walk(at, path):
+        def walk(at, path, low):
             if at < CLASSES:
-                paths[at] = path
-                for node, bit in path:
-                    self.under[bit, node, at] = 1
-                return
-            walk(left[at], path + [(root - at, 0)])
-            walk(right[at], path + [(root - at, 1)])
-        walk(root, [])
+                paths[at], self.leaf[at] = path, low
+                return low + 1
+            mid = walk(left[at], path + [(root - at, 0)], low)
+            high = walk(right[at], path + [(root - at, 1)], mid)
+            self.span[root - at] = low, mid, high
+            return high
+        walk(root, [], 0)
+        self.symbol = np.argsort(self.leaf)
         self.length = np.array([len(p) for p in paths])
         self.begin = np.cumsum(self.length) - self.length
         self.node = np.array([x for p in paths for x, _ in p], np.int32)
@@ -133,26 +132,23 @@ def _symbols(cls: np.ndarray, buf: np.ndarray, offsets: np.ndarray):
 
 
 def _rows(sym: np.ndarray, begin: np.ndarray, white: np.ndarray) -> list[np.ndarray]:
-    """The table row of each symbol in each context. Before a text stand ends."""
+    """Each symbol's context of each kind, as a number. Before a text stand ends."""
     out = []
     place = np.arange(len(sym)) - np.repeat(begin[:-1], np.diff(begin))
-    for (order, rows), first in zip(CONTEXTS, _FIRST):
+    for kind, order in enumerate(CONTEXTS):
         if order:
-            ctx = np.zeros(len(sym), np.uint64)
+            ctx = np.zeros(len(sym), np.int64)
             for k in range(order, 0, -1):
-                ctx <<= np.uint64(6)
-                ctx[k:] |= np.where(place[k:] >= k, sym[:len(sym) - k], 0).astype(np.uint64)
+                ctx <<= _LEAF
+                ctx[k:] |= np.where(place[k:] >= k, sym[:max(len(sym) - k, 0)], 0)
         else:
             # hash of the word so far: sums of powers since the last white symbol, times its inverse
             stop = white[sym] | (sym == 0)
             last = np.maximum.accumulate(np.where(np.concatenate([[True], stop[:-1]]), np.arange(len(sym)), 0))
             total = np.zeros(len(sym) + 1, np.uint64)
             np.cumsum((sym + 1).astype(np.uint64) * _power(_Q, len(sym)), out=total[1:])
-            ctx = (total[:-1] - total[last]) * _power(_Q_INV, len(sym))[last]
-        if order and rows >= 1 << 6 * order:
-            out.append(ctx.astype(np.int64) + first)
-        else:
-            out.append((mix64(ctx + np.uint64(order)) >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64) + first)
+            ctx = (mix64((total[:-1] - total[last]) * _power(_Q_INV, len(sym))[last]) >> np.uint64(12)).astype(np.int64)
+        out.append(ctx | kind << 52)
     return out
 
 
@@ -175,44 +171,64 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(n)], ["byte", "n"])
 
 
-def _cells(alphabet: Alphabet, white: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(ROWS * CLASSES, np.int32)
-        for batch in batches:
-            for part in slices(batch, "text", 4 * PART):
-                sym, begin = _symbols(alphabet.cls, *text_buffer(part.column("text")))
-                for row in _rows(sym, begin, white):
-                    np.add.at(n, row * CLASSES + sym, np.ones(len(sym), np.int32))
-        cell = np.flatnonzero(n)
-        for s in range(0, len(cell), 1 << 20):
-            some = cell[s:s + (1 << 20)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["cell", "n"])
-    return run
+def _cells(alphabet: Alphabet, white: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of the texts, sorted, and how often each occurs."""
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in _stretches(offsets, 8 * PART):
+        sym, begin = _symbols(alphabet.cls, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        leaf = alphabet.leaf[sym]
+        got += [np.unique(row << _LEAF | leaf, return_counts=True) for row in _rows(sym, begin, white)]
+    return _added(got)
 
 
-def _odds(under: np.ndarray):
-    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros((_BLOCK, CLASSES))
-        cell = cells["cell"].to_numpy() - int(key[0]) * _BLOCK * CLASSES
-        n[cell // CLASSES, cell % CLASSES] = cells["n"].to_numpy()
-        odds = np.log((n @ under[1].T + 0.4) / (n @ under[0].T + 0.4))
-        table = np.zeros((_BLOCK, CLASSES), np.int8)
-        table[:, :CLASSES - 1] = np.rint(np.clip(odds * _SCALE, -127, 127))
-        return pd.DataFrame({"block": [int(key[0])], "odds": [table.tobytes()]})
-    return run
+def _stretches(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``limit`` bytes, one text at least."""
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+class Counts:
+    """Training counts of cells (sorted), and the log odds that follow from them."""
 
+    def __init__(self, alphabet: Alphabet, cells: np.ndarray, n: np.ndarray):
+        self.alphabet, self.cells, self.total = alphabet, cells, np.concatenate([[0], np.cumsum(n)])
+
+    def odds(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The odds of decisions at nodes, in steps of 1 / _SCALE."""
+        low, mid, high = (self.total[np.searchsorted(self.cells, (context << _LEAF) + x)] for x in self.alphabet.span[node].T)
+        return np.rint(np.clip(np.log((high - mid + 0.4) / (mid - low + 0.4)) * _SCALE, -127, 127)).astype(np.int8)
+
+    def __getitem__(self, at: tuple) -> np.int8:
+        return self.odds(np.array([at[0]]), np.array([at[1]]))[0]
+
+    def found(self, cells: np.ndarray) -> Found:
+        """The odds of all decisions of each of the cells (sorted)."""
+        a, flat = self.alphabet, []
+        count = a.length[a.symbol[cells & (1 << _LEAF) - 1]]
+        for s in range(0, len(cells), _CELLS):
+            some, n = cells[s:s + _CELLS], count[s:s + _CELLS]
+            path = np.repeat(a.begin[a.symbol[some & (1 << _LEAF) - 1]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            flat.append(self.odds(np.repeat(some >> _LEAF, n), a.node[path]))
+        return Found(cells, np.concatenate([[0], np.cumsum(count)]), np.concatenate([np.zeros(0, np.int8), *flat]))
+
+
+class Found:
+    """Cells (sorted), and the odds of each one's decisions: flat[begin[i]:begin[i + 1]]."""
+
+    def __init__(self, cells: np.ndarray, begin: np.ndarray, flat: np.ndarray):
+        self.cells, self.begin, self.flat = cells, begin, flat
 
 class Model:
-    """What scoring needs: the alphabet and the tables of log odds."""
+    """What scoring needs: the alphabet, and the odds or the counts behind them."""
 
-    def __init__(self, alphabet: Alphabet, white: np.ndarray, table: np.ndarray):
+    def __init__(self, alphabet: Alphabet, white: np.ndarray, table: Counts | Found):
         self.alphabet, self.white, self.table = alphabet, white, table
 
 
-def train(docs: DataFrame) -> Model:
-    """Learn from all rows of ``docs`` (doc_id, text)."""
-    small_batches(docs.sparkSession)
-    text = id_and_text(docs).select("text")
+def _alphabet(text: DataFrame) -> tuple[Alphabet, np.ndarray]:
     counts = text.mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(257, np.int64)
     for r in counts:
@@ -220,18 +236,26 @@ def train(docs: DataFrame) -> Model:
     alphabet = Alphabet(n[:256], int(n[256]))
     white = np.zeros(CLASSES, bool)
     white[alphabet.cls[[9, 10, 11, 12, 13, 32]]] = True
-    cells = text.mapInArrow(_cells(alphabet, white), "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
-    blocks = (cells.withColumn("block", F.floor(F.col("cell") / (_BLOCK * CLASSES))).groupBy("block")
-              .applyInPandas(_odds(alphabet.under), "block long, odds binary").collect())
-    table = np.zeros((-(-ROWS // _BLOCK) * _BLOCK, CLASSES), np.int8)
-    for r in blocks:
-        table[r.block * _BLOCK:(r.block + 1) * _BLOCK] = np.frombuffer(r.odds, np.int8).reshape(_BLOCK, CLASSES)
-    return Model(alphabet, white, table)
+    return alphabet, white
+
+
+def train(docs: DataFrame) -> Model:
+    """The model of all rows of ``docs`` (doc_id, text) in one place: for small tables. :func:`score` does not gather it."""
+    small_batches(docs.sparkSession)
+    text = id_and_text(docs).select("text")
+    alphabet, white = _alphabet(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, n = _cells(alphabet, white, *text_buffer(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
+    got = text.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+    return Model(alphabet, white, Counts(alphabet, got.column("cell").to_numpy(), got.column("n").to_numpy()))
 
 
 # ---------------------------------------------------------------- scoring
 
-def _decisions(model: Model, buf: np.ndarray, offsets: np.ndarray):
+def _decisions(model: Model, table: Found, buf: np.ndarray, offsets: np.ndarray):
     """All decisions of the texts: the predictors' odds (four bytes as one value) and meta (gate and bit).
 
     And the lanes: first decision, number of decisions and text of each stretch of SEGMENT symbols.
@@ -242,13 +266,12 @@ def _decisions(model: Model, buf: np.ndarray, offsets: np.ndarray):
     past = np.concatenate([[0], np.cumsum(count)])             # decisions before each symbol
     path = np.repeat((a.begin[sym] - past[:-1]).astype(np.int32), count)
     path += np.arange(past[-1], dtype=np.int32)
-    node = a.node.take(path)
     odds = np.empty((past[-1], len(CONTEXTS)), np.int8)
-    flat = model.table.reshape(-1)
+    leaf = a.leaf[sym]
     for k, row in enumerate(_rows(sym, begin, model.white)):
-        at = np.repeat((row * CLASSES).astype(np.int32), count)
-        at += node
-        odds[:, k] = flat.take(at)
+        at = np.repeat(table.begin[np.searchsorted(table.cells, row << _LEAF | leaf)] - past[:-1], count)
+        at += np.arange(past[-1])
+        odds[:, k] = table.flat.take(at)
     n = np.diff(begin)
     pieces = -(-n // SEGMENT)
     doc = np.repeat(np.arange(len(n)), pieces)
@@ -260,13 +283,14 @@ def _decisions(model: Model, buf: np.ndarray, offsets: np.ndarray):
 def _code(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
     n = len(offsets) - 1
-    got, i, passed = [], 0, 0
-    while i < n:                                               # parts that stay in the processor's caches
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PART, side="right")) - 1)
-        odds, meta, at, size, doc = _decisions(model, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+    table = model.table
+    if isinstance(table, Counts):
+        table = table.found(_cells(model.alphabet, model.white, buf, offsets)[0])
+    got, passed = [], 0
+    for i, j in _stretches(offsets, PART):                     # parts that stay in the processor's caches
+        odds, meta, at, size, doc = _decisions(model, table, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
         got.append((odds, meta, at + passed, size, doc + i))
         passed += len(odds)
-        i = j
     if not got:
         return np.zeros(0)
     odds, meta, at, size, doc = (np.concatenate(x) for x in zip(*got))
@@ -309,50 +333,79 @@ def _code(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         w += x
         weight[own] = w.reshape(-1).view(np.complex128)
         d += 1
-    out = np.bincount(doc, spent, n) / np.log(10)
-    rest = np.concatenate([[0], np.cumsum(model.alphabet.rest[buf])])
-    return out + rest[offsets[1:]] - rest[offsets[:-1]]
+    return np.bincount(doc, spent, n) / np.log(10)
 
 
-def _score(model, common):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id = TaskContext.get().partitionId()
-        done = 0
-        words, counts = common.value
+def _part_cells(alphabet: Alphabet, white: np.ndarray):
+    """A part's distinct cells and how often each occurs in its training rows."""
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        held = texts.column("held_out").combine_chunks()
+        learned, n = _cells(alphabet, white, *text_buffer(texts.column("text").filter(pc.invert(held))))
+        asked, _ = _cells(alphabet, white, *text_buffer(texts.column("text").filter(held)))
+        cells, n = _added([(learned, n), (asked, np.zeros(len(asked), np.int64))])
+        return pa.table({"part": pa.array(np.full(len(cells), key[0].as_py(), np.int32)), "cell": cells, "n": n})
+    return run
 
-        def coded(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            nonlocal done
-            t = pa.Table.from_batches(rows).combine_chunks()
-            buf, offsets = text_buffer(t.column("text"))
-            score = _code(model.value, buf, offsets)
-            h, at = word_hashes(buf, offsets)
-            n = np.diff(at)
-            doc = np.repeat(np.arange(len(n)), n)
-            found = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-            is_common = words[found] == h if len(words) else np.zeros(len(h), bool)
-            logs = np.where(is_common, np.log10(counts[found] + 1.0), 0) if len(words) else np.zeros(len(h))
-            rare, rare_doc = h[~is_common], doc[~is_common]
-            cut = np.searchsorted(rare_doc, np.arange(len(n) + 1))
-            key = (part_id << 40) + done + np.arange(len(n))
-            done += len(n)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), t.column("doc_id").combine_chunks(), t.column("held_out").combine_chunks(), pa.array(n + 1), pa.array(np.diff(offsets)),
-                 pa.array(np.bincount(doc[is_common], minlength=len(n))), pa.array(np.bincount(doc, logs, len(n)).astype(np.float64)), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(rare.view(np.int64)))],
-                ["key", "doc_id", "held_out", "n_tokens", "bytes", "known", "logs", "score", "rare"])
-        rows, size = [], 0
-        for batch in batches:
-            for some in slices(batch, "text", LOOP):
-                rows.append(some)
-                size += some.nbytes
-                if size >= LOOP:
-                    yield coded(rows)
-                    rows, size = [], 0
-        if rows:
-            yield coded(rows)
+
+def _bucket_odds(alphabet: Alphabet):
+    """The odds of the cells of whole contexts, for each part that has the cell."""
+    def run(rows: pa.Table) -> pa.Table:
+        part, cell, n = (rows.column(c).to_numpy() for c in ("part", "cell", "n"))
+        cells, at = np.unique(cell, return_inverse=True)
+        n = np.bincount(at, n, len(cells)).astype(np.int64)
+        f = Counts(alphabet, cells[n > 0], n[n > 0]).found(cells)
+        odds = pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(f.begin.astype(np.int32)), pa.py_buffer(f.flat)])
+        return pa.table({"part": part, "cell": cell, "odds": odds.take(pa.array(at))})
+    return run
+
+
+def _score(alphabet: Alphabet, white: np.ndarray, common):
+    def run(key: tuple, t: pa.Table, odds: pa.Table) -> pa.Table:
+        words, counts = common.value
+        order = np.argsort(cells := odds.column("cell").to_numpy())
+        flat = odds.column("odds").combine_chunks().take(pa.array(order))
+        begin = np.frombuffer(flat.buffers()[1], np.int32)[:len(flat) + 1].astype(np.int64)
+        table = Found(cells[order], begin, np.frombuffer(flat.buffers()[2], np.int8))
+        buf, offsets = text_buffer(t.column("text"))
+        score = _code(Model(alphabet, white, table), buf, offsets)
+        h, at = word_hashes(buf, offsets)
+        n = np.diff(at)
+        doc = np.repeat(np.arange(len(n)), n)
+        found = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
+        is_common = words[found] == h if len(words) else np.zeros(len(h), bool)
+        logs = np.where(is_common, np.log10(counts[found] + 1.0), 0) if len(words) else np.zeros(len(h))
+        rare, rare_doc = h[~is_common], doc[~is_common]
+        cut = np.searchsorted(rare_doc, np.arange(len(n) + 1))
+        return pa.table(
+            [pa.array((key[0].as_py() << 40) + np.arange(len(n))), t.column("doc_id"), t.column("held_out"), pa.array(n + 1), pa.array(np.diff(offsets)),
+             pa.array(np.bincount(doc[is_common], minlength=len(n))), pa.array(np.bincount(doc, logs, len(n)).astype(np.float64)), pa.array(score),
+             pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(rare.view(np.int64)))],
+            ["key", "doc_id", "held_out", "n_tokens", "bytes", "known", "logs", "score", "rare"])
     return run
 
 
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, stored, with the part of each: texts of like length, about LOOP bytes a part; and the number of parts."""
+    size = F.octet_length("text") + 1
+    kind = F.floor(F.log2(size) * 4).cast("int")
+    sizes = rows.groupBy(kind.alias("kind")).agg(F.sum(size).alias("n")).orderBy(F.desc("kind")).collect()
+    first, many, parts, i = [], [], 0, 0
+    while i < len(sizes):
+        j, n = i, 0
+        while j < len(sizes) and n < LOOP:
+            n += sizes[j].n
+            j += 1
+        for r in sizes[i:j]:
+            first += [F.lit(r.kind), F.lit(parts)]
+            many += [F.lit(r.kind), F.lit(-(-n // LOOP))]
+        parts += -(-n // LOOP)
+        i = j
+    if not parts:
+        return stored(rows.withColumn("part", F.lit(0)), "lm-texts"), 1
+    nth = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(F.create_map(*many), kind))
+    return stored(rows.withColumn("part", (F.element_at(F.create_map(*first), kind) + nth).cast("int")), "lm-texts"), parts
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -373,11 +426,15 @@ def score(docs: DataFrame) -> DataFrame:
     words = top.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
     common = spark.sparkContext.broadcast((words[order], top.column("n").to_numpy()[order]))
-    model = spark.sparkContext.broadcast(train(learned))
-    done = stored(rows.select("doc_id", "held_out", "text").mapInArrow(
-        _score(model, common), "key long, doc_id long, held_out boolean, n_tokens long, bytes long, known long, logs double, score double, rare array<long>"), "lm-scores")
+    alphabet, white = _alphabet(learned.select("text"))
+    texts, parts = _dealt(rows.select("doc_id", "held_out", "text"))
+    cells = texts.groupBy("part").applyInArrow(_part_cells(alphabet, white), "part int, cell long, n long")
+    bucket = F.pmod(F.xxhash64(F.shiftright("cell", _LEAF)), F.lit(parts))
+    odds = cells.groupBy(bucket.alias("bucket")).applyInArrow(_bucket_odds(alphabet), "part int, cell long, odds binary")
+    done = stored(texts.groupBy("part").cogroup(odds.groupBy("part")).applyInArrow(
+        _score(alphabet, white, common), "key long, doc_id long, held_out boolean, n_tokens long, bytes long, known long, logs double, score double, rare array<long>"), "lm-scores")
+    forget(texts)
     common.unpersist()
-    model.unpersist()
     rest = (done.select("key", F.explode("rare").alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
             .join(counts, "word").groupBy("key").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more_logs")))
     out = done.join(rest, "key", "left")

@@ -101,3 +101,34 @@ def test_odd_rows(make_docs):
     alone = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     got = check(make_docs([(i, "only held out") for i in alone]))
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in got)
+
+
+def test_contexts_are_counted_by_themselves(spark, make_docs):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789éß漢"), 40_000)) for _ in range(8)]
+    model = train(make_docs(list(enumerate(texts))))
+    want = Counter()
+    for t in texts:
+        sym = [0] * 5 + [int(model.alphabet.cls[b]) for b in t.encode()] + [0]
+        want.update(tuple(sym[i - 5:i + 1]) for i in range(5, len(sym)))
+    table = model.table
+    kind = table.cells >> 61 == lm.CONTEXTS.index(5)
+    assert kind.sum() == len(want) > 1 << 17 and sorted(np.diff(table.total)[kind]) == sorted(want.values())
+    assert len(set(model.alphabet.cls)) == 256
+
+
+def test_minority_script_is_learned(spark, make_docs):
+    han, plain = "漢字仮名交じり文の例。" * 30, "".join(chr(33 + i % 94) for i in range(9000))
+    rows = [(i, plain) for i in range(0, 60, 2)] + [(i, han) for i in range(1, 60, 2)]
+    got = score(make_docs(rows)).where("held_out and doc_id % 2 = 1").collect()
+    assert got and all(r.bits_per_byte < 0.5 for r in got)
+
+
+def test_parts_make_the_model_of_one_place(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.score for r in score(docs).collect()}
+    rows = docs.collect()
+    model = train(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2))
+    data = [(r.text or "").encode() for r in rows]
+    want = lm._code(model, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert all(abs(got[r.doc_id] - w) <= 1e-6 * abs(w) for r, w in zip(rows, want))
