@@ -12,9 +12,10 @@ parts, where the counts are added up and become odds; and each part gets back th
 
 Scoring is online: the predictors' odds are mixed by weights that a gate (the depth in the tree) selects,
 the mix is refined by an adaptive probability map, and weights and map learn from every bit as it is
-coded. Weights and maps start afresh every ``SEGMENT`` symbols, contexts go on; so a text's score does not
-depend on the rows beside it, and one long text is many lanes of the same vectorised loop. All of every
-text is coded; the sum is the log probability of the text under a proper distribution.
+coded. Weights and maps start afresh with every text, so its score does not depend on the rows beside it,
+and go on to its end. The texts of a part are the lanes of one vectorised loop; they are of like length, so
+long texts run beside long ones. All of every text is coded; the sum is the log probability of the text
+under a proper distribution.
 
 Beside it stands the unigram base score: words by 64-bit hash, training counts by a grouped sum. The
 ``COMMON`` most frequent words' counts are sent to the workers; all other words of a document are
@@ -40,7 +41,8 @@ from .minhash_dedup import word_hashes
 CLASSES = 257
 #: Four contexts: the number of classes before (0: the word so far).
 CONTEXTS = [2, 3, 5, 0]
-SEGMENT = 256
+#: Symbols after which weights and maps start afresh: more than any text has.
+SEGMENT = 1 << 62
 #: Bytes of text that a worker codes in one loop (one text at least), about.
 LOOP = 6 << 20
 #: Bytes of text whose decisions are looked up together.
@@ -258,7 +260,7 @@ def train(docs: DataFrame) -> Model:
 def _decisions(model: Model, table: Found, buf: np.ndarray, offsets: np.ndarray):
     """All decisions of the texts: the predictors' odds (four bytes as one value) and meta (gate and bit).
 
-    And the lanes: first decision, number of decisions and text of each stretch of SEGMENT symbols.
+    And where each text's decisions begin, and their number.
     """
     a = model.alphabet
     sym, begin = _symbols(a.cls, buf, offsets)
@@ -272,12 +274,8 @@ def _decisions(model: Model, table: Found, buf: np.ndarray, offsets: np.ndarray)
         at = np.repeat(table.begin[np.searchsorted(table.cells, row << _LEAF | leaf)] - past[:-1], count)
         at += np.arange(past[-1])
         odds[:, k] = table.flat.take(at)
-    n = np.diff(begin)
-    pieces = -(-n // SEGMENT)
-    doc = np.repeat(np.arange(len(n)), pieces)
-    first = begin[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
-    at, stop = past[first], past[np.minimum(first + SEGMENT, begin[1:][doc])]
-    return odds.reshape(-1).view(np.int32), a.meta.take(path), at, stop - at, doc
+    at = past[begin]
+    return odds.reshape(-1).view(np.int32), a.meta.take(path), at[:-1], np.diff(at)
 
 
 def _code(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -288,15 +286,15 @@ def _code(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         table = table.found(_cells(model.alphabet, model.white, buf, offsets)[0])
     got, passed = [], 0
     for i, j in _stretches(offsets, PART):                     # parts that stay in the processor's caches
-        odds, meta, at, size, doc = _decisions(model, table, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-        got.append((odds, meta, at + passed, size, doc + i))
+        odds, meta, at, size = _decisions(model, table, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        got.append((odds, meta, at + passed, size))
         passed += len(odds)
     if not got:
         return np.zeros(0)
-    odds, meta, at, size, doc = (np.concatenate(x) for x in zip(*got))
+    odds, meta, at, size = (np.concatenate(x) for x in zip(*got))
     del got
     order = np.argsort(-size, kind="stable")                   # lanes with most decisions first
-    at, size, doc = at[order], size[order], doc[order]
+    at, size = at[order], size[order]
     active = (len(at) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))).tolist()
     weight = np.full((len(at) * _GATES, len(CONTEXTS)), _START / _SCALE, np.float32).view(np.complex128).reshape(-1)   # four weights as one value
     grid = (np.arange(_BINS) - (_BINS - 1) / 2) * (16 / _BINS)
@@ -333,7 +331,9 @@ def _code(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         w += x
         weight[own] = w.reshape(-1).view(np.complex128)
         d += 1
-    return np.bincount(doc, spent, n) / np.log(10)
+    out = np.empty(n)
+    out[order] = spent / np.log(10)
+    return out
 
 
 def _part_cells(alphabet: Alphabet, white: np.ndarray):

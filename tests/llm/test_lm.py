@@ -132,3 +132,27 @@ def test_parts_make_the_model_of_one_place(spark, sf):
     data = [(r.text or "").encode() for r in rows]
     want = lm._code(model, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
     assert all(abs(got[r.doc_id] - w) <= 1e-6 * abs(w) for r, w in zip(rows, want))
+
+
+def test_one_adaptive_pass_a_text(spark, sf):
+    """Weights and map go on through the whole text: 3,000 symbols against the same model by hand."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = train(docs.where("doc_id % 2 = 0"))
+    a, text = model.alphabet, "qzx kwv " * 300 + "the same words again and again " * 20
+    data = text.encode()
+    sym = [*(int(a.cls[b]) for b in data), 0]
+    rows = lm._rows(np.array(sym), np.array([0, len(sym)]), model.white)
+    grid = [1 / (1 + math.exp(-(i - (lm._BINS - 1) / 2) * 16 / lm._BINS)) for i in range(lm._BINS)]
+    w, r, total = {g: [lm._START] * 4 for g in range(lm._GATES)}, {g: list(grid) for g in range(lm._GATES)}, 0.0
+    for at, s in enumerate(sym):
+        for k in range(a.begin[s], a.begin[s] + a.length[s]):
+            g, bit = int(a.meta[k]) >> 1, int(a.meta[k]) & 1
+            x = [int(model.table[row[at], a.node[k]]) / lm._SCALE for row in rows]
+            z = min(7.99, max(-7.99, sum(p * q for p, q in zip(w[g], x))))
+            p = 1 / (1 + math.exp(-z))
+            i = int(z * lm._BINS / 16 + lm._BINS / 2)
+            total += math.log10(abs((p + r[g][i]) / 2 + bit - 1))
+            r[g][i] += (bit - r[g][i]) * 0.02
+            w[g] = [p0 + lm._RATE * (bit - p) * x0 for p0, x0 in zip(w[g], x)]
+    got = lm._code(model, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+    assert abs(got - total) < 2e-4 * abs(total)
