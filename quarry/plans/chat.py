@@ -122,9 +122,23 @@ def profiles_lookup(spark, sf):
 
 
 def stored_queries(spark, sf):
+    """The queries of four users, as its SQL; ``stored_queries_all`` asks for all users."""
+    q = _queries(spark, sf)
+    return _asked(q, q.select("user_id").distinct().filter("user_id < 4"))
+
+
+def stored_queries_all(spark, sf):
+    """The queries of all users."""
+    q = _queries(spark, sf)
+    return _asked(q, q.select("user_id").distinct())
+
+
+def _queries(spark, sf):
     c = table(spark, sf, "conversations").filter("role = 'user'")
-    q = c.select((F.col("conv_id") % 10).alias("user_id"), (F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    users = q.select("user_id").distinct().filter("user_id < 4")
+    return c.select((F.col("conv_id") % 10).alias("user_id"), (F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+
+
+def _asked(q, users):
     return K.stored_queries(q, users).withColumn("position", F.col("position").cast("long"))
 
 
@@ -210,6 +224,7 @@ FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id GROUP BY e.user_id
 QUERIES = {
     "profiles_lookup": profiles_lookup,
     "stored_queries": stored_queries,
+    "stored_queries_all": stored_queries_all,
     "owned_sessions": owned_sessions,
     "session_list": session_list,
     "session_updates": session_updates,

@@ -59,9 +59,17 @@ def chunk_sentences(spark, sf):
 
 
 def components(spark, sf):
-    """Parts and suppliers that orders of one quarter connect."""
-    li = table(spark, sf, "lineitem").where("l_quantity >= 50")
-    edges = li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
+    """Parts and suppliers that lines of a quantity of 50 or more connect, as its SQL; ``components_all`` takes all lines."""
+    return _supplied(table(spark, sf, "lineitem").where("l_quantity >= 50"))
+
+
+def components_all(spark, sf):
+    """Parts and suppliers that any line connects. No SQL: recursion over all of them is too much for it."""
+    return _supplied(table(spark, sf, "lineitem"))
+
+
+def _supplied(lines):
+    edges = lines.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
     return graph.connected(edges.select(F.col("a").alias("node")), edges)
 
 
@@ -112,6 +120,7 @@ SELECT group_id AS parent_id, doc_id, seq, n_chunks,
 QUERIES = {
     "chunk_sentences": chunk_sentences,
     "components": components,
+    "components_all": components_all,
     "chunk_window": chunk_window,
     "chunk_neighbors": chunk_neighbors,
     "group_chunks": group_chunks,
