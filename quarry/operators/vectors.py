@@ -24,6 +24,8 @@ QUERY_BLOCK_BYTES = 64 << 20
 # Query columns scored per matmul (bounds the score matrix to 4096 x 1024 doubles = 32 MB).
 _Q_CHUNK = 1024
 _V_CHUNK = 4096
+# Vectors of the sample that a cell's centre is the mean of, on average.
+_SAMPLE = 64
 
 METRICS = ("cosine", "dot", "l2")
 
@@ -180,18 +182,38 @@ def ann(vectors: DataFrame, queries: DataFrame, k: int, *, cells: int = 64, prob
         split: int = 20_000) -> DataFrame:
     """V6: approximate top-k by cosine -> (query_id, vec_id, score, rank).
 
-    ``cells`` centre vectors (those of the lowest hash, a bounded sample) cut the table into cells by the
+    ``cells`` centres (means of a bounded sample, the vectors of the lowest hash) cut the table into cells by the
     nearest centre; every vector is indexed. A query is compared exactly with all vectors of its
     ``probes`` nearest cells; with ``probes = cells`` the result is exact. Cells are dealt into parts of
     about ``split`` vectors, and vectors meet queries in a shuffle: neither side is broadcast or collected.
+    Queries search the vectors of their own length, which have centres of their own.
     """
     v = vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec is not null")
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col).cast("array<double>").alias("qvec")).where("qvec is not null")
-    centres = [r.vec for r in v.orderBy(F.xxhash64("vid"), "vid").select("vec").limit(cells).collect()]
-    if not centres:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    dim = len(centres[0])
-    c = np.nan_to_num(_prepare(np.array([x for x in centres if len(x) == dim]), "cosine"))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    for dim in sorted(r.dim for r in q.select(F.size("qvec").alias("dim")).distinct().collect() if r.dim):
+        out = out.union(_ann_of_length(v.where(F.size("vec") == dim), q.where(F.size("qvec") == dim), dim, k, cells, probes, exclude_self, split))
+    return out
+
+
+def _centres(m: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
+    """Directions of means of the rows, from the first rows on (spherical k-means)."""
+    c = m[:cells]
+    for _ in range(rounds):
+        near = np.argmax(m @ c.T, axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, m)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(size > 1e-12, total / np.maximum(size, 1e-12), c)
+    return c
+
+
+def _ann_of_length(v: DataFrame, q: DataFrame, dim: int, k: int, cells: int, probes: int, exclude_self: bool, split: int) -> DataFrame:
+    """:func:`ann` for vectors (vid, vec) and queries (qid, qvec) of one length."""
+    sample = [r.vec for r in v.orderBy(F.xxhash64("vid"), "vid").select("vec").limit(cells * _SAMPLE).collect()]
+    if not sample:
+        return v.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    c = _centres(np.nan_to_num(_prepare(np.array(sample), "cosine")), cells)
 
     def nearest(m: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(np.nan_to_num(_prepare(m, "cosine")) @ c.T), axis=1, kind="stable")[:, :n]
@@ -209,7 +231,7 @@ def ann(vectors: DataFrame, queries: DataFrame, k: int, *, cells: int = 64, prob
         return run
     vc = v.mapInArrow(assign(1, "vid"), "cell int, vid long, vec array<double>")
     qc = q.mapInArrow(assign(probes, "qid"), "cell int, qid long, qvec array<double>")
-    parts = 1 + vectors.count() // split                             # a cell has its share of a third at most split so
+    parts = 1 + v.count() // split                             # a cell has its share of a third at most split so
     vc = vc.withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int"))
     qc = qc.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 

@@ -53,3 +53,24 @@ def test_top_parents_sequential_walk(spark):
     assert got == seen[:4]
     rec = V.parent_recall(V.top_parents(hits, cp, 4), F.lit(7), 4).collect()[0]
     assert rec.recall_ok == 1
+
+
+def test_ann_of_mixed_lengths(spark):
+    """Each length is searched whole, also where an odd vector has the lowest hash of all."""
+    rng = np.random.default_rng(5)
+    order = [r.id for r in spark.range(400).orderBy(F.xxhash64("id"), "id").collect()]
+    odd = {order[0], *order[50:90]}
+    vecs = [(i, rng.normal(size=5 if i in odd else 8).tolist()) for i in range(400)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    q = df.withColumnRenamed("vec_id", "query_id")
+    got = V.ann(df, q, 4, cells=8, probes=8, exclude_self=True).collect()
+    exact = {(r.query_id, r.vec_id, r["rank"]) for r in V.knn(df, q, 4, exclude_self=True).collect()}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == exact and len(exact) == 1600
+
+
+def test_recall_of_registered_search(spark, sf):
+    from quarry.plans import registry
+    of = registry.queries()
+    exact = {(r.query_id, r.vec_id) for r in of["knn_top8"](spark, sf).collect()}
+    some = {(r.query_id, r.vec_id) for r in of["ann_top8"](spark, sf).collect()}
+    assert len(some & exact) >= 0.9 * len(exact)
