@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,7 +219,7 @@ class Counts:
 
 
 class Found:
-    """Cells (sorted), and the odds of each one's decisions: flat[begin[i]:begin[i + 1]]."""
+    """Cells (sorted), and the odds of each one's decisions: those of cell i from flat[begin[i]] on."""
 
     def __init__(self, cells: np.ndarray, begin: np.ndarray, flat: np.ndarray):
         self.cells, self.begin, self.flat = cells, begin, flat
@@ -336,36 +337,54 @@ def _code(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _part_cells(alphabet: Alphabet, white: np.ndarray):
-    """A part's distinct cells and how often each occurs in its training rows."""
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as their differences, byte by byte, deflated."""
+    return zlib.compress(np.diff(x, prepend=0).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1))
+
+
+def _part_cells(alphabet: Alphabet, white: np.ndarray, buckets: int):
+    """A part's distinct cells and how often each occurs in its training rows, a row a bucket of contexts."""
     def run(key: tuple, texts: pa.Table) -> pa.Table:
         held = texts.column("held_out").combine_chunks()
         learned, n = _cells(alphabet, white, *text_buffer(texts.column("text").filter(pc.invert(held))))
         asked, _ = _cells(alphabet, white, *text_buffer(texts.column("text").filter(held)))
         cells, n = _added([(learned, n), (asked, np.zeros(len(asked), np.int64))])
-        return pa.table({"part": pa.array(np.full(len(cells), key[0].as_py(), np.int32)), "cell": cells, "n": n})
+        of = (mix64((cells >> _LEAF).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        some, first = np.unique(of[order], return_index=True)
+        pieces = np.split(order, first[1:])
+        return pa.table({"part": pa.array([key[0].as_py()] * len(some), pa.int32()), "bucket": some,
+                         "cells": pa.array([_packed(cells[x]) for x in pieces], pa.binary()), "n": pa.array([_packed(n[x]) for x in pieces], pa.binary())})
     return run
 
 
 def _bucket_odds(alphabet: Alphabet):
     """The odds of the cells of whole contexts, for each part that has the cell."""
     def run(rows: pa.Table) -> pa.Table:
-        part, cell, n = (rows.column(c).to_numpy() for c in ("part", "cell", "n"))
-        cells, at = np.unique(cell, return_inverse=True)
-        n = np.bincount(at, n, len(cells)).astype(np.int64)
+        given = [_unpacked(x) for x in rows.column("cells").to_pylist()]
+        cells, at = np.unique(np.concatenate(given), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_unpacked(x) for x in rows.column("n").to_pylist()]), len(cells)).astype(np.int64)
         f = Counts(alphabet, cells[n > 0], n[n > 0]).found(cells)
-        odds = pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(f.begin.astype(np.int32)), pa.py_buffer(f.flat)])
-        return pa.table({"part": part, "cell": cell, "odds": odds.take(pa.array(at))})
+        odds = []
+        for x in np.split(at, np.cumsum([len(g) for g in given])[:-1]):
+            count = np.diff(f.begin)[x]
+            odds.append(zlib.compress(f.flat[np.repeat(f.begin[x] - np.cumsum(count) + count, count) + np.arange(count.sum())].tobytes(), 1))
+        return pa.table({"part": rows.column("part"), "cells": rows.column("cells"), "odds": pa.array(odds, pa.binary())})
     return run
 
 
 def _score(alphabet: Alphabet, white: np.ndarray, common):
     def run(key: tuple, t: pa.Table, odds: pa.Table) -> pa.Table:
         words, counts = common.value
-        order = np.argsort(cells := odds.column("cell").to_numpy())
-        flat = odds.column("odds").combine_chunks().take(pa.array(order))
-        begin = np.frombuffer(flat.buffers()[1], np.int32)[:len(flat) + 1].astype(np.int64)
-        table = Found(cells[order], begin, np.frombuffer(flat.buffers()[2], np.int8))
+        cells = np.concatenate([_unpacked(x) for x in odds.column("cells").to_pylist()])
+        flat = np.frombuffer(b"".join(zlib.decompress(x) for x in odds.column("odds").to_pylist()), np.int8)
+        count = alphabet.length[alphabet.symbol[cells & (1 << _LEAF) - 1]]
+        order = np.argsort(cells)
+        table = Found(cells[order], (np.cumsum(count) - count)[order], flat)
         buf, offsets = text_buffer(t.column("text"))
         score = _code(Model(alphabet, white, table), buf, offsets)
         h, at = word_hashes(buf, offsets)
@@ -428,9 +447,8 @@ def score(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast((words[order], top.column("n").to_numpy()[order]))
     alphabet, white = _alphabet(learned.select("text"))
     texts, parts = _dealt(rows.select("doc_id", "held_out", "text"))
-    cells = texts.groupBy("part").applyInArrow(_part_cells(alphabet, white), "part int, cell long, n long")
-    bucket = F.pmod(F.xxhash64(F.shiftright("cell", _LEAF)), F.lit(parts))
-    odds = cells.groupBy(bucket.alias("bucket")).applyInArrow(_bucket_odds(alphabet), "part int, cell long, odds binary")
+    cells = texts.groupBy("part").applyInArrow(_part_cells(alphabet, white, parts), "part int, bucket long, cells binary, n binary")
+    odds = cells.groupBy("bucket").applyInArrow(_bucket_odds(alphabet), "part int, cells binary, odds binary")
     done = stored(texts.groupBy("part").cogroup(odds.groupBy("part")).applyInArrow(
         _score(alphabet, white, common), "key long, doc_id long, held_out boolean, n_tokens long, bytes long, known long, logs double, score double, rare array<long>"), "lm-scores")
     forget(texts)
