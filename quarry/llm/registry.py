@@ -16,6 +16,7 @@ _OPERATORS = {
     "op8_mixture_packing": ("packing", "pack", "documents"),
     "op9_byte_bpe": ("bpe", "round_trip", "documents"),
     "op10_language_id": ("langid", "identify", "documents"),
+    "op11_token_alignment": ("token_align", "report", "documents"),
     "op12_line_quality": ("quality", "judge", "documents"),
 }
 
