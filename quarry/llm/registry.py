@@ -18,6 +18,7 @@ _OPERATORS = {
     "op10_language_id": ("langid", "identify", "documents"),
     "op11_token_alignment": ("token_align", "report", "documents"),
     "op12_line_quality": ("quality", "judge", "documents"),
+    "op13_periodic_runs": ("runs", "report", "documents"),
 }
 
 
