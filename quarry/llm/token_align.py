@@ -88,16 +88,21 @@ class Aligner:
         b_tokens = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.tokens = a_tokens, b_tokens
         self.size = tuple(np.array([len(t) for t in some], np.int64) for some in self.tokens)
+        self.bytes = tuple(np.frombuffer(b"".join(some), np.uint8) for some in self.tokens)
+        self.names = tuple([str(i) for i in range(len(some))] for some in self.tokens)
         # parts need both: no piece goes on over a mark, no token of A over a blank
         self.parts_hold = self.fast is not None and not any(_MARK in p.lstrip(_MARK) for p in pieces)
-        self.parts: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.parts: dict[str, tuple[bytes, bytes]] = {}
         self.windows: dict[bytes, int] = {}
         self.groups: list[str] = []
         self.links: list[bytes] = []
 
-    def _joined(self, ids: bytes, which: int) -> bytes:
-        tokens = self.tokens[which]
-        return b"".join([tokens[i] for i in array("I", ids)])
+    def _joined(self, ids: np.ndarray, which: int) -> np.ndarray:
+        """The bytes of a sequence of tokens."""
+        size = self.size[which]
+        at = np.cumsum(size) - size
+        n = size[ids]
+        return self.bytes[which][np.repeat(at[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def _encode_a(self, part: str) -> bytes:
         if self.fast is not None and (part.isascii() or max(part) <= _LATIN):
@@ -109,8 +114,7 @@ class Aligner:
             self.parts.clear()
         new = [p for p in parts if p not in self.parts]
         for p, b in zip(new, self.b.encode([p[1:] for p in new], out_type=int, num_threads=1)):
-            a, b, raw = self._encode_a(p), array("I", b).tobytes(), p.encode()
-            self.parts[p] = a, b, self._joined(a, 0) == raw and self._joined(b, 1) == raw
+            self.parts[p] = self._encode_a(p), array("I", b).tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Verified ids of A and B of each text; none where a tokenizer doesn't give back its bytes."""
@@ -119,14 +123,27 @@ class Aligner:
         out = []
         for some in split:
             got = [self.parts[p] for p in some]
-            a, b = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
-            if not all([g[2] for g in got]):
-                raw = "".join(some).encode()
-                if self._joined(a, 0) != raw or self._joined(b, 1) != raw:
-                    a = b = b""
-            out.append((a, b))
+            out.append((b"".join([a for a, _ in got]), b"".join([b for _, b in got])))
+        raw = [(" " + t).encode() if t else b"" for t in texts]
+        for which in 0, 1:
+            bad = self._wrong([x[which] for x in out], raw, which)
+            out = [(b"", b"") if r in bad else x for r, x in enumerate(out)]
+            raw = [b"" if r in bad else x for r, x in enumerate(raw)]
         return out
 
+    def _wrong(self, ids: list[bytes], raw: list[bytes], which: int) -> set[int]:
+        """Texts whose tokens don't join to their bytes."""
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        total = np.concatenate([[0], np.cumsum(self.size[which][flat])])
+        cut = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        size = np.array([len(x) for x in raw], np.int64)
+        bad = set(np.flatnonzero(np.diff(total[cut]) != size).tolist())
+        if bad:                                             # the others have their places only without these
+            good = [r for r in range(len(ids)) if r not in bad]
+            return bad | {good[r] for r in self._wrong([ids[r] for r in good], [raw[r] for r in good], which)}
+        off = np.flatnonzero(self._joined(flat, which) != np.frombuffer(b"".join(raw), np.uint8))
+        return set(np.unique(np.searchsorted(np.cumsum(size), off, side="right")).tolist())
+
     def align(self, texts: list[str]) -> list[tuple[int, int, str, np.ndarray]]:
         """Of each text: numbers of A and B tokens, its groups as a string, its links as packed pairs of ids."""
         ids = self.encode(texts)
@@ -151,18 +168,11 @@ class Aligner:
             self.groups, self.links = [], []
         pair = a[last_a].astype(np.int64) << _B_BITS | b[last_b]
         a_to, b_to = ((last_a[cut] + 1) * 4).tolist(), ((last_b[cut] + 1) * 4).tolist()
-        known, numbers = self.windows, []
-        i = j = 0
-        for w, (k, m) in enumerate(zip(a_to, b_to)):
-            key = a_bytes[i:k] + _APART + b_bytes[j:m]
-            number = known.get(key)
-            if number is None:
-                number = known[key] = len(known)
-                g0, g1 = (int(cut[w - 1]) + 1 if w else 0), int(cut[w]) + 1
-                self._keep(a, b, last_a[g0:g1].tolist(), last_b[g0:g1].tolist(), i // 4, j // 4)
-                self.links.append(pair[g0:g1].tobytes())
-            numbers.append(number)
-            i, j = k, m
+        known = self.windows
+        keys = [a_bytes[i:k] + _APART + b_bytes[j:m] for i, k, j, m in zip([0, *a_to], a_to, [0, *b_to], b_to)]
+        if not known.keys() >= set(keys):
+            self._keep(keys, a.tolist(), b.tolist(), (last_a + 1).tolist(), (last_b + 1).tolist(), cut.tolist(), pair)
+        numbers = list(map(known.get, keys))
         first = np.searchsorted(last_a[cut], np.concatenate([[0], text_end])).tolist()
         out = []
         for r, (x, y) in enumerate(ids):
@@ -170,13 +180,23 @@ class Aligner:
             out.append((len(x) // 4, len(y) // 4, ";".join([self.groups[w] for w in mine]), np.frombuffer(b"".join([self.links[w] for w in mine]), np.int64)))
         return out
 
-    def _keep(self, a, b, a_last, b_last, i, j) -> None:
-        """The groups of a new window, as a string."""
-        groups = []
-        for k, m in zip(a_last, b_last):
-            groups.append(",".join(map(str, a[i:k + 1].tolist())) + "|" + ",".join(map(str, b[j:m + 1].tolist())))
-            i, j = k + 1, m + 1
-        self.groups.append(";".join(groups))
+    def _keep(self, keys, a, b, a_to, b_to, cut, pair) -> None:
+        """The groups and links of new windows. a_to, b_to: ends of all groups; cut: the last group of each window."""
+        known, (a_name, b_name) = self.windows, self.names
+        for w, key in enumerate(keys):
+            if key in known:
+                continue
+            known[key] = len(known)
+            g0, g1 = (cut[w - 1] + 1 if w else 0), cut[w] + 1
+            i, j = (a_to[g0 - 1], b_to[g0 - 1]) if g0 else (0, 0)
+            groups = []
+            for k, m in zip(a_to[g0:g1], b_to[g0:g1]):
+                left = a_name[a[i]] if k - i == 1 else ",".join([a_name[x] for x in a[i:k]])
+                right = b_name[b[j]] if m - j == 1 else ",".join([b_name[x] for x in b[j:m]])
+                groups.append(left + "|" + right)
+                i, j = k, m
+            self.groups.append(";".join(groups))
+            self.links.append(pair[g0:g1].tobytes())
 
 
 @lru_cache(maxsize=1)
