@@ -6,7 +6,8 @@ to each language's: every n-gram costs the difference of its two ranks, or ``PRO
 language lacks it. The language with the smallest sum wins, ties by name.
 
 Learning counts n-grams of all training rows: each task adds up a slice of texts per language, Spark
-sums by (language, n-gram). What reaches the driver and the workers is ``PROFILE`` entries a language.
+sums by (language, n-gram). A long text is counted in stretches, so that a task's memory holds one stretch and
+the distinct n-grams. What reaches the driver and the workers is ``PROFILE`` entries a language.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ PROFILE = 400
 #: Most languages that may be learned: bounds what is broadcast (languages x PROFILE x 20 bytes).
 MAX_LANGUAGES = 10_000
 _MARK = 1
+#: Characters of a long text that are turned into n-grams at once.
+STRETCH = 1 << 19
 
 
 @cache
@@ -64,12 +67,15 @@ def _codes(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(one, d), ((one << 21) | r, d), ((_MARK << 21) | one[first], d[first]), ((l << 42) | (one << 21) | r, d)]
 
 
-def _top(codes: np.ndarray, size: int) -> np.ndarray:
-    """The most frequent codes, most frequent first, ties by code."""
+def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and how often each occurs; sorts in place."""
     codes.sort()
-    new = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    n = np.diff(np.append(new, len(codes)))
-    values = codes[new]
+    new = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[new], np.diff(np.append(new, len(codes)))
+
+
+def _first(values: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent of the values, most frequent first, ties by code."""
     if len(n) > size:
         least = np.partition(n, len(n) - size)[len(n) - size]
         some = n >= least
@@ -77,15 +83,48 @@ def _top(codes: np.ndarray, size: int) -> np.ndarray:
     return values[np.argsort(-n, kind="stable")[:size]]
 
 
+def _top(codes: np.ndarray, size: int) -> np.ndarray:
+    return _first(*_counts(codes), size)
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """A text cut before other than letters, where no n-gram goes across."""
+    at = 0
+    while len(text) - at > STRETCH:
+        to = at + STRETCH
+        while to > at and text[to].isalpha():
+            to -= 1
+        if to == at:                                        # one word longer than a stretch stays whole
+            to = at + STRETCH
+            while to < len(text) and text[to].isalpha():
+                to += 1
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def _long_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of a long text and how often each occurs, added up over its stretches."""
+    values, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in _stretches(text):
+        v, m = _counts(np.concatenate([c for c, _ in _codes([part])]))
+        both, at = np.unique(np.concatenate([values, v]), return_inverse=True)
+        values, n = both, np.bincount(at, np.concatenate([n, m]), len(both)).astype(np.int64)
+    return values, n
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 8 << 20):
-            lang = part.column("lang").to_pylist()
+        for part in slices(batch, "text"):
+            lang, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
             names = sorted(set(lang))
-            grams = _codes(part.column("text").to_pylist())
-            of = np.array([names.index(x) for x in lang])
-            for i, name in enumerate(names):
-                values, n = np.unique(np.concatenate([c[of[d] == i] for c, d in grams]), return_counts=True)
+            if part.num_rows == 1:
+                found = [(names[0], *_long_counts(texts[0]))]
+            else:
+                grams = _codes(texts)
+                of = np.array([names.index(x) for x in lang])
+                found = [(name, *_counts(np.concatenate([c[of[d] == i] for c, d in grams]))) for i, name in enumerate(names)]
+            for name, values, n in found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(values), pa.string()), pa.array(values), pa.array(n.astype(np.int64))],
                     ["lang", "code", "n"])
@@ -114,10 +153,9 @@ def _judge(profiles: dict[str, list[int]], size: int, names_out: list[str]):
     for i, name in enumerate(names):
         ranks[i, np.searchsorted(known, profiles[name])] = np.arange(len(profiles[name]))
 
-    def one(codes: np.ndarray) -> tuple[str, float]:
-        if not len(codes) or not names:
+    def one(top: np.ndarray) -> tuple[str, float]:
+        if not len(top) or not names:
             return "und", 0.0
-        top = _top(codes, size)
         at = np.searchsorted(known, top)
         at[known[np.minimum(at, len(known) - 1)] != top] = len(known)
         theirs = ranks[:, at]
@@ -127,10 +165,13 @@ def _judge(profiles: dict[str, list[int]], size: int, names_out: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                grams = [(c, np.searchsorted(d, np.arange(part.num_rows + 1)))
-                         for c, d in _codes(part.column("text").to_pylist())]
-                got = [one(np.concatenate([c[at[i]:at[i + 1]] for c, at in grams])) for i in range(part.num_rows)]
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                if part.num_rows == 1:
+                    got = [one(_first(*_long_counts(texts[0]), size))]
+                else:
+                    grams = [(c, np.searchsorted(d, np.arange(part.num_rows + 1))) for c, d in _codes(texts)]
+                    got = [one(_top(np.concatenate([c[at[i]:at[i + 1]] for c, at in grams]), size)) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [*map(part.column, names_out), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
                     [*names_out, "lang_pred", "score"])

@@ -37,3 +37,15 @@ def test_odd_rows(make_docs):
     assert all(0 <= r.score <= 1 for r in got)
     assert identify(make_docs([])).count() == 0
     assert {r.lang_pred for r in identify(make_docs([(1, "words"), (2, "more")])).collect()} == {"und"}
+
+
+def test_long_text_in_stretches(make_docs, monkeypatch):
+    import quarry.llm.langid as m
+    text = "Ab cd, éfg 12 " * 500 + "x" * 300 + " end. " + "q" * 50
+    values, n = m._counts(np.concatenate([c for c, _ in m._codes([text])]))
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(m, "STRETCH", size)
+        assert "".join(m._stretches(text)) == text
+        v, k = m._long_counts(text)
+        assert v.tolist() == values.tolist() and k.tolist() == n.tolist()
+    assert m._long_counts("")[0].tolist() == []
