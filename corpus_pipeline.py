@@ -17,24 +17,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language stay, with it as their lang; texts without letters go.
+    """Rows whose text has a language stay, with it as their lang; null texts and texts without letters go.
 
-    The profiles are learned from the stage's own input.
+    The profiles are learned from the stage's own input. Where no row teaches a language, texts with letters
+    stay and keep the lang that they have.
     """
     docs = docs.select(COLUMNS)
-    found = langid.identify(docs, keep=["text", "source", "n_chars"])
-    return found.where("lang_pred <> 'und'").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    found = langid.identify(docs, keep=["text", "lang", "source", "n_chars"])
+    found = found.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}"))
+    return found.select("doc_id", "text", F.when(F.col("lang_pred") != "und", F.col("lang_pred")).otherwise(F.col("lang")).alias("lang"), "source", "n_chars")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the smallest id.
 
-    Of rows that repeat an id, one stays. Rows of a null id all stay.
+    Of rows that repeat an id and its text, one stays; different texts of one id are judged by their id and stay
+    or go together. Rows of a null id all stay.
     """
     docs = docs.select(COLUMNS)
     gone = minhash_dedup.deduplicate(docs).where("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
