@@ -24,12 +24,9 @@ from .common import forget, id_and_text, stored
 from .spans import listed, with_spans
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS = 3
 SUPPORT = 5
 CONFIDENCE = 0.8
 ACCEPT = 0.8
-#: Characters of the gap that are searched for the neighbouring word.
-NEAR = 64
 
 
 def _digits(m: Column) -> Column:
@@ -64,14 +61,22 @@ def base(docs: DataFrame, *more: str) -> DataFrame:
     return with_spans(id_and_text(docs, *more), rules)
 
 
+_RUNS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+
+
+def _key() -> Column:
+    """Of id and text: rows that agree in both hold the same spans."""
+    return F.md5(F.concat_ws("\t", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text")))
+
+
 def _runs() -> Column:
     """Occurrences (start, end, value, left, right) of identifier runs in ``run__m`` and ``run__g``."""
     m, g = F.col("run__m"), F.col("run__g")
     near = F.transform(g, lambda x: F.struct(F.char_length(x).alias("n"),
-                                             F.lower(F.regexp_extract(F.right(x, F.lit(NEAR)), r"(\S+)\s*$", 1)).alias("last"),
-                                             F.lower(F.regexp_extract(F.left(x, F.lit(NEAR)), r"^\s*(\S+)", 1)).alias("first")))
+                                             F.lower(F.regexp_extract(x, r"(?s)^.*(?<!\S)(\S++)\s*$", 1)).alias("last"),
+                                             F.lower(F.regexp_extract(x, r"^\s*+(\S++)", 1)).alias("first")))
     steps = F.zip_with(m, F.arrays_zip(near.alias("a"), F.slice(near, 2, F.size(g)).alias("b")), lambda v, x: F.struct(v.alias("v"), x.alias("x")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_RUNS).alias("out"))
 
     def step(acc, s):
         start = acc["at"] + s["x"]["a"]["n"]
@@ -81,11 +86,17 @@ def _runs() -> Column:
     return F.aggregate(steps, zero, step, lambda acc: acc["out"])
 
 
+def scanned(docs: DataFrame, *more: str) -> DataFrame:
+    """key (of id and text), doc_id, base spans by kind and identifier runs of every row, without its text."""
+    rows = base(docs, *more).withColumn("run__m", F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)))
+    rows = rows.withColumn("run__g", F.when(F.size("run__m") > 0, F.split("text", _RUN, -1)))
+    runs = F.when(F.size("run__m") > 0, _runs()).otherwise(F.array().cast(_RUNS))
+    return rows.select(_key().alias("key"), "doc_id", *KINDS, runs.alias("runs"))
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """One row an identifier run: doc_id, start, end, value, pattern, kinds (numbers of base kinds in it), forms."""
-    runs = rows.withColumn("run__m", F.regexp_extract_all("text", F.lit(_RUN), F.lit(0))).where(F.size("run__m") > 0)
-    runs = runs.withColumn("run__g", F.split("text", _RUN, -1))
-    o = runs.select("doc_id", *KINDS, F.explode(_runs()).alias("o")).select("doc_id", *KINDS, "o.*")
+    """One row an identifier run: key, start, end, value, pattern, kinds (numbers of base kinds in it), forms."""
+    o = rows.select("key", *KINDS, F.explode("runs").alias("o")).select("key", *KINDS, "o.*")
 
     def holds(k):
         return F.exists(F.col(k), lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
@@ -93,20 +104,23 @@ def occurrences(rows: DataFrame) -> DataFrame:
     plain = ~F.col("value").rlike("[A-Za-z@]")
     forms = [F.col("value").rlike(r"^[^@\s]+@[^@\s]+$"), plain & F.col("value").rlike(r"[0-9]+(?:[^0-9\s]+[0-9]+){3}"),
              plain & digits.between(13, 19), plain & digits.between(7, 15)]
-    return o.select("doc_id", "start", "end", "value", F.concat_ws(" ", F.col("left"), F.lit("_"), F.col("right")).alias("pattern"),
+    return o.select("key", "start", "end", "value", F.concat_ws(" ", F.col("left"), F.lit("_"), F.col("right")).alias("pattern"),
                     F.array_compact(F.array(*[F.when(holds(k), F.lit(i)) for i, k in enumerate(KINDS)])).alias("kinds"),
                     F.array_compact(F.array(*[F.when(f, F.lit(i)) for i, f in enumerate(forms)])).alias("forms"))
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, kind, weight) of the accepted unseen instances."""
+def bootstrap(seen: DataFrame) -> DataFrame:
+    """(value, kind, weight) of the accepted unseen instances.
+
+    Rounds go on until one accepts no instance more: what is believed only grows, so they end.
+    """
     edges = stored(seen.where("pattern <> '_'").groupBy("pattern", "value")
                    .agg(F.max("kinds").alias("kinds"), F.max("forms").alias("forms")), "pii-edges")
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     seeds = edges.select("pattern", F.explode("kinds").alias("kind"), "value").withColumn("weight", F.lit(1.0))
     unseen = edges.where(F.size("kinds") == 0).select("pattern", "value", F.explode("forms").alias("kind"))
-    believed = None
-    for _ in range(rounds):
+    believed, accepted = None, 0
+    while True:
         weights = seeds.select("pattern", "kind", "weight")
         if believed is not None:
             weights = weights.union(unseen.join(believed, ["value", "kind"]).select("pattern", "kind", "weight"))
@@ -117,31 +131,40 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         new = stored(unseen.join(strong.select("pattern", "kind", "confidence"), ["pattern", "kind"])
                      .groupBy("value", "kind").agg((F.lit(1) - F.exp(doubt)).alias("weight")).where(F.col("weight") >= ACCEPT), "pii-round")
         forget(believed)
-        believed = new
+        believed, before, accepted = new, accepted, new.count()
+        if accepted == before:
+            break
     return believed.groupBy("value").agg(F.max_by("kind", F.struct("weight", -F.col("kind"))).alias("kind"), F.max("weight").alias("weight"))
 
 
+def _found(docs: DataFrame) -> DataFrame:
+    """key, doc_id, base and discovered spans of every row. Texts are read once and never moved."""
+    rows = stored(scanned(docs), "pii-scanned")
+    o = stored(occurrences(rows.where(F.size("runs") > 0)), "pii-occurrences")
+    spans = (o.where(F.size("kinds") == 0).join(bootstrap(o), "value")
+             .select("key", F.struct(F.col("kind").cast("int").alias("kind"), "start", "end", "value").alias("s")).distinct()
+             .groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("discovered")))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
+    return (rows.select("key", "doc_id", F.concat(*KINDS).alias("base")).join(spans, "key", "left")
+            .withColumn("discovered", F.coalesce("discovered", none)))
+
+
 def extract(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, ``base`` and ``discovered`` spans (kind number, start, end, value) of every row.
+    """doc_id, text, the columns named, ``base`` and ``discovered`` spans (kind number, start, end, value) of every row.
 
-    Base spans by kind, then start; code points, end exclusive. A null text is empty and holds nothing.
-    Rows of one id that repeat get the same discoveries only where the id is not null: discovered spans
-    are placed by id, start and value, so rows of one id with different texts keep to their own texts.
+    Base spans by kind, then start; code points, end exclusive. A null text is empty and holds nothing. Rows of the
+    same id (or none) and text hold the same spans. The texts are joined to the spans; :func:`report` does without them.
     """
-    rows = base(docs, *more)
-    o = stored(occurrences(rows), "pii-occurrences")
-    new = bootstrap(o)
-    spans = (o.where("size(kinds) = 0 and doc_id is not null").join(new, "value")
-             .select("doc_id", F.struct(F.col("kind").cast("int").alias("kind"), "start", "end", "value").alias("s")).distinct()
-             .groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("discovered")))
-    rows = rows.withColumn("base", F.concat(*KINDS)).join(spans, "doc_id", "left")
-    mine = F.filter(F.col("discovered"), lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == s["value"])
-    return rows.select("doc_id", "text", *more, "base", F.coalesce(mine, F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")).alias("discovered"))
+    spans = _found(docs).select("key", "base", "discovered").dropDuplicates(["key"])
+    return id_and_text(docs, *more).withColumn("key", _key()).join(spans, "key").drop("key")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Digest of :func:`extract`: counts of the base kinds, hash of the base spans, list of all spans."""
-    found = extract(docs)
+    """Digest of the spans: counts of the base kinds, hash of the base spans, list of all spans.
+
+    Null texts are empty; every row of the table, repeated or of a null id, has its row; an empty table gives none.
+    """
+    found = _found(docs)
 
     def count(i):
         return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")

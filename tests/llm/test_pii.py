@@ -72,3 +72,20 @@ def test_discovery(make_docs):
     assert all(not got[i].discovered for i in range(20))
     line = {r.doc_id: r.spans for r in report(make_docs(rows)).collect()}
     assert line[101] == "found_phone:12:22" and line[3].startswith("phone:12:29")
+
+
+def test_wide_gaps_and_null_ids(make_docs):
+    rows = [(i, f"please call +1 (555) 010-{1000 + i} today for news number {i}") for i in range(20)]
+    rows += [(100, "please " + "x" * 80 + "call" + " " * 70 + "5550109999\t today"), (None, "please call 5550109999 today"), (None, "please call 5550109999 today"),
+             (101, "please call" + " " * 70 + "5550109999 " + " " * 90 + "today")]
+    got = [(r.doc_id, [s["value"] for s in r.discovered]) for r in extract(make_docs(rows)).collect() if r.doc_id not in range(20)]
+    assert sorted(got, key=str) == sorted([(100, ["5550109999"]), (None, ["5550109999"]), (101, ["5550109999"])] + [(None, ["5550109999"])], key=str)
+
+
+def test_rounds_go_on(make_docs):
+    """A layer's numbers stand in the next layer's contexts too, so that each round makes one layer more believed."""
+    layers = [[f"+1 (555) 01{i // 1000}-{1000 + i % 1000}" for i in range(1000)]]
+    layers += [[f"55{k}01{10000 + i}" for i in range(n)] for k, n in enumerate([180, 38, 7, 1])]
+    rows = [f"ring{'pqrs'[k]}{side} {v} now" for k in range(4) for side in "ab" for v in layers[k] + layers[k + 1]]
+    got = {s["value"] for r in extract(make_docs(list(enumerate(rows)))).collect() for s in r.discovered}
+    assert got == {v for layer in layers[1:] for v in layer}
