@@ -14,9 +14,11 @@ from quarry.session import scratch_path
 from quarry.sources import index_store as IX
 from quarry.sources.tables import attach_by_position, table, take_first
 from quarry.streaming import jobs as X
+from quarry.streaming import stateful as ST
 
 # ---- fixture parameters ------------------------------------------------------------------------
 RATE_LIMIT, RATE_WINDOW = 5, "1 day"           # reference: 10 per minute
+EXEMPT = ("error",)                            # event types that are not counted as requests
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024            # reference value: 10 MiB
 PDF = "application/pdf"
 FIRST_N = 100
@@ -41,9 +43,21 @@ def rate_limit_stream(spark, sf):
                     F.col("n_limited").cast("long").alias("n_limited"))
 
 
+def request_decisions(spark, sf):
+    """A decision for every request, by the stream."""
+    ev = table(spark, sf, "events")
+    r = ST.request_decisions(spark, _path(sf, "events"), ev.schema, RATE_LIMIT, RATE_WINDOW, exempt=EXEMPT)
+    return r.select("event_id", "user_id", F.date_format("window_start", FMT).alias("window_start"), "allowed")
+
+
+def request_decisions_batch(spark, sf):
+    r = ST.request_decisions_batch(table(spark, sf, "events"), RATE_LIMIT, RATE_WINDOW, exempt=EXEMPT)
+    return r.select("event_id", "user_id", F.date_format("window_start", FMT).alias("window_start"), "allowed")
+
+
 def memory_stream(spark, sf):
     c = table(spark, sf, "conversations")
-    return X.memory_stream(spark, _path(sf, "conversations"), c.schema, 200).select("conv_id", "turn", "n_tokens")
+    return ST.memory_stream(spark, _path(sf, "conversations"), c.schema, 200).select("conv_id", "turn", "n_tokens")
 
 
 def session_counts_stream(spark, sf):
@@ -177,11 +191,17 @@ def _render_sql(template: str, **vals: str) -> str:
 
 from quarry.plans.search import _bm25_sql, _HITS  # noqa: E402
 
+_DECISIONS = f"""SELECT event_id, user_id, strftime(date_trunc('day', ts), {_F}) AS window_start,
+       event_type IN ('error') OR row_number() OVER (PARTITION BY user_id, date_trunc('day', ts), event_type IN ('error') ORDER BY ts, event_id) <= {RATE_LIMIT} AS allowed
+FROM events"""
+
 SQL = {
     "rate_limit": f"""SELECT user_id, strftime(date_trunc('day', ts), {_F}) AS window_start, count(*) AS n_requests,
        CAST(greatest(count(*) - {RATE_LIMIT}, 0) AS BIGINT) AS n_limited FROM events GROUP BY user_id, date_trunc('day', ts)""",
     "rate_limit_stream": f"""SELECT user_id, strftime(date_trunc('day', ts), {_F}) AS window_start, count(*) AS n_requests,
        CAST(greatest(count(*) - {RATE_LIMIT}, 0) AS BIGINT) AS n_limited FROM events GROUP BY user_id, date_trunc('day', ts)""",
+    "request_decisions": _DECISIONS,
+    "request_decisions_batch": _DECISIONS,
     "session_counts_stream": "SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "memory_stream": r"""WITH t AS (SELECT conv_id, turn, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]')) AS n_tokens FROM conversations),
   r AS (SELECT *, sum(n_tokens) OVER w AS s, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
@@ -230,6 +250,8 @@ FROM top JOIN documents d ON d.doc_id = top.doc_id JOIN benchmark b ON b.item_id
 QUERIES = {
     "rate_limit": rate_limit,
     "rate_limit_stream": rate_limit_stream,
+    "request_decisions": request_decisions,
+    "request_decisions_batch": request_decisions_batch,
     "session_counts_stream": session_counts_stream,
     "memory_stream": memory_stream,
     "index_append": index_append,

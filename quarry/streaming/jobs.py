@@ -1,4 +1,4 @@
-"""Structured Streaming jobs (X1-X3) and their batch twins.
+"""Structured Streaming jobs (X1-X3) and their batch twins; keyed state that ends is in ``stateful``.
 
 Every stream reads a directory of parquet files incrementally (``availableNow`` processes what is
 there and stops; the checkpoint is the resume marker), so a rerun after a failure picks up
@@ -38,7 +38,7 @@ def rate_limit_stream(spark: SparkSession, src: str, schema, limit: int = RATE_L
     """X1 as a stream in update mode: the watermark drops late rows and frees the state of past windows.
     Returns the latest count of every window (written through an idempotent sink, read back)."""
     watermark = watermark or window
-    events = _source(spark, src, schema)
+    events = source(spark, src, schema)
     if exempt:
         events = events.filter(~F.col(route).isin(*exempt))
     s = (events
@@ -55,48 +55,17 @@ def session_counts_stream(spark: SparkSession, src: str, schema, key: str = "con
                           ts: str = "turn") -> DataFrame:
     """Per-session message counter updated as messages arrive (update mode; the state has two
     numbers a session)."""
-    s = (_source(spark, src, schema)
+    s = (source(spark, src, schema)
          .groupBy(key).agg(F.count("*").alias("message_count"), F.max(ts).alias("last_turn")))
     return _run_update(spark, s, "session_counts", [key])
 
 
-def memory_stream(spark: SparkSession, src: str, schema, limit: int, key: str = "conv_id", turn: str = "turn",
-                  text: str = "text") -> DataFrame:
-    """X3, token-bounded: the messages that a session's memory holds, (key, turn, n_tokens).
-
-    The state of a session is the turns and token counts of its newest messages within ``limit`` (the
-    newest always), so it is bounded by the budget and not by the length of the session.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from quarry.functions.text import tokenize
-
-    def update(k, frames, state):
-        kept = list(zip(*state.get)) if state.exists else []
-        for f in frames:
-            kept += [(int(a), int(b)) for a, b in zip(f["turn"], f["n_tokens"])]
-        kept = sorted(set(kept), reverse=True)
-        total, n = 0, 0
-        for _, size in kept:
-            if n and total + size > limit:
-                break
-            total, n = total + size, n + 1
-        kept = kept[:n]
-        state.update(([a for a, _ in kept], [b for _, b in kept]))
-        yield pd.DataFrame({key: [k[0]], "turns": [[a for a, _ in kept]], "sizes": [[b for _, b in kept]]})
-    s = (_source(spark, src, schema)
-         .select(key, F.col(turn).cast("long").alias("turn"), F.size(tokenize(F.col(text))).cast("long").alias("n_tokens"))
-         .groupBy(key).applyInPandasWithState(update, f"{key} long, turns array<long>, sizes array<long>", "turns array<long>, sizes array<long>",
-                                              "update", GroupStateTimeout.NoTimeout))
-    got = _run_update(spark, s, "memory", [key])
-    return got.select(key, F.explode(F.arrays_zip("turns", "sizes")).alias("m")).select(key, F.col("m.turns").alias(turn), F.col("m.sizes").alias("n_tokens"))
-
-
-def _source(spark: SparkSession, src: str, schema):
+def source(spark: SparkSession, src: str, schema, files: int | None = None):
     """File-stream source over a directory; ``dir/name.parquet`` reads only that file (glob
-    filter), so a single-file table can drive a stream."""
+    filter), so a single-file table can drive a stream. ``files``: most files a micro-batch."""
     r = spark.readStream.schema(schema)
+    if files:
+        r = r.option("maxFilesPerTrigger", files)
     if src.endswith(".parquet"):
         d, f = src.rsplit("/", 1)
         return r.option("pathGlobFilter", f).parquet(d)
@@ -138,6 +107,6 @@ def incremental_index(spark: SparkSession, src: str, schema, index_path: str, ck
                 raise
         new.write.mode("append").partitionBy("collection").parquet(index_path)
 
-    q = (_source(spark, src, schema).writeStream.foreachBatch(sink)
+    q = (source(spark, src, schema).writeStream.foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
