@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import prompts as PR
 from quarry.operators import search as S
@@ -11,6 +12,7 @@ from quarry.operators import sessions as K
 from quarry.operators import vectors as V
 from quarry.operators import routing as R
 from quarry.session import scratch_path
+from quarry.sources import commit_log as CL
 from quarry.sources import index_store as IX
 from quarry.sources.tables import attach_by_position, table, take_first
 from quarry.streaming import jobs as X
@@ -65,15 +67,29 @@ def session_counts_stream(spark, sf):
     return X.session_counts_stream(spark, _path(sf, "conversations"), c.schema)
 
 
-def index_append(spark, sf):
+INDEX = "vec_id long, parent_id long, embedding array<float>, collection string"
+
+
+def _index(spark, sf):
+    """Index all embeddings by a stream, twice: the second run, of a checkpoint of its own, finds every key in the index."""
     emb = table(spark, sf, "embeddings")
     root = scratch_path(spark, f"index-{__import__('uuid').uuid4().hex[:8]}")
-    tf = lambda d: d.select("vec_id", F.expr("vec_id div 5").alias("parent_id"), "embedding",
-                            F.lit(IX.DEFAULT_COLLECTION).alias("collection"))
-    for _ in range(2):  # the second run resumes from the checkpoint and appends nothing
-        X.incremental_index(spark, _path(sf, "embeddings"), emb.schema, f"{root}/index", f"{root}/ckpt",
-                            transform=tf)
-    return IX.load_index(spark, f"{root}/index", IX.DEFAULT_COLLECTION).select("vec_id", "parent_id", "collection")
+    tf = lambda d: d.select(F.col("vec_id").cast("long"), F.expr("vec_id div 5").alias("parent_id"), F.col("embedding").cast("array<float>"),
+                            F.concat(F.lit("label"), F.col("label").cast("string")).alias("collection"))
+    for run in "ab":
+        X.incremental_index(spark, _path(sf, "embeddings"), emb.schema, f"{root}/index", f"{root}/ckpt-{run}", transform=tf)
+    return f"{root}/index"
+
+
+def index_append(spark, sf):
+    rows = CL.read_committed(spark, _index(spark, sf), T.StructType.fromDDL(INDEX))
+    return rows.select("vec_id", "parent_id", F.lit(IX.DEFAULT_COLLECTION).alias("collection"))
+
+
+def index_commits(spark, sf):
+    """What the commit log says of each collection: rows and key range over its files."""
+    log = CL.manifest(spark, _index(spark, sf))
+    return log.groupBy("collection").agg(F.sum("n_rows").alias("n_rows"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def index_roundtrip(spark, sf):
@@ -207,6 +223,8 @@ SQL = {
   r AS (SELECT *, sum(n_tokens) OVER w AS s, row_number() OVER w AS rn FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT conv_id, turn, n_tokens FROM r WHERE rn = 1 OR s <= 200""",
     "index_append": "SELECT vec_id, vec_id // 5 AS parent_id, 'default' AS collection FROM embeddings",
+    "index_commits": """SELECT 'label' || label AS collection, count(*) AS n_rows, min(vec_id) AS low, max(vec_id) AS high
+       FROM embeddings GROUP BY label""",
     "index_roundtrip": """SELECT 'label' || label AS collection, count(*) AS n_vectors,
        CASE WHEN 'label' || label = 'label0' THEN 0 ELSE 1 END AS registered FROM embeddings GROUP BY label""",
     "collection_fallback": """WITH req AS (SELECT DISTINCT conv_id, 'src' || (conv_id % 25) AS requested FROM conversations),
@@ -255,6 +273,7 @@ QUERIES = {
     "session_counts_stream": session_counts_stream,
     "memory_stream": memory_stream,
     "index_append": index_append,
+    "index_commits": index_commits,
     "index_roundtrip": index_roundtrip,
     "collection_fallback": collection_fallback,
     "to_documents": to_documents,

@@ -4,7 +4,7 @@ Every stream reads a directory of parquet files incrementally (``availableNow``
 there and stops; the checkpoint is the resume marker), so a rerun after a failure picks up
 exactly where the committed offsets stopped. Sinks are idempotent: aggregates run in update mode and
 write each micro-batch to a folder of its number (a replay overwrites it; the reader takes the latest
-row of a key), appends are de-duplicated by key against what is already written.
+row of a key), appends go through a commit log.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import scratch_path
+from quarry.sources import commit_log
 
 # ---- fixed values (reference limit: 10 requests per minute per client) -------------------------
 RATE_LIMIT, RATE_WINDOW = 10, "1 minute"
@@ -89,24 +90,19 @@ def _run_update(spark: SparkSession, agg: DataFrame, name: str, keys: list[str])
 
 
 def incremental_index(spark: SparkSession, src: str, schema, index_path: str, ckpt: str,
-                      key: str = "vec_id", transform=None) -> None:
-    """Append new vectors to a parquet index, resumable.
+                      key: str = "vec_id", transform=None, files: int | None = None) -> list[dict[str, int]]:
+    """Append new vectors to an index with a commit log, resumable.
 
-    Each micro-batch is de-duplicated and anti-joined on ``key`` against the index before the
-    append, so a batch replayed after a failure (offsets not yet committed) adds nothing twice.
+    Each micro-batch is committed under its stream and epoch with the rows whose key the index doesn't hold; a
+    batch replayed after a failure adds nothing twice. Returns files read and written of each micro-batch.
     """
-    transform = transform or (lambda d: d)
-
-    def sink(df, _epoch):
-        new = transform(df).dropDuplicates([key])
-        try:
-            have = spark.read.parquet(index_path).select(key)
-            new = new.join(have, key, "left_anti")
-        except Exception as e:  # noqa: BLE001 - first batch: no index yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        new.write.mode("append").partitionBy("collection").parquet(index_path)
-
-    q = (source(spark, src, schema).writeStream.foreachBatch(sink)
+    done: list[dict[str, int]] = []
+
+    def sink(df, epoch):
+        df = transform(df) if transform else df
+        done.append(commit_log.append(df, index_path, commit_log.stream_name(ckpt), epoch, key))
+
+    q = (source(spark, src, schema, files).writeStream.foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    return done
