@@ -122,15 +122,9 @@ def profiles_lookup(spark, sf):
 
 
 def stored_queries(spark, sf):
-    """The queries of four users, as its SQL; ``stored_queries_all`` asks for all users."""
-    q = _queries(spark, sf)
-    return _asked(q, q.select("user_id").distinct().filter("user_id < 4"))
-
-
-def stored_queries_all(spark, sf):
     """The queries of all users."""
     q = _queries(spark, sf)
-    return _asked(q, q.select("user_id").distinct())
+    return K.stored_queries(q, q.select("user_id").distinct()).withColumn("position", F.col("position").cast("long"))
 
 
 def _queries(spark, sf):
@@ -138,10 +132,6 @@ def _queries(spark, sf):
     return c.select((F.col("conv_id") % 10).alias("user_id"), (F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
 
 
-def _asked(q, users):
-    return K.stored_queries(q, users).withColumn("position", F.col("position").cast("long"))
-
-
 def owned_sessions(spark, sf):
     """K1 and K3: the stored sessions and newly created ones, as their owner sees them."""
     s = sessions(spark, sf).select("session_id", "user_email", "title", "session_type", "created_at", "updated_at", "message_count")
@@ -162,6 +152,10 @@ _MSG = """m AS (SELECT conv_id AS session_id, turn, role, text,
         FROM m GROUP BY session_id, user_email, session_type)"""
 _F = "'%Y-%m-%d %H:%M:%S'"
 
+_STORED = """SELECT conv_id % 10 AS user_id, conv_id * 100000 + turn AS query_id, text AS query,
+       row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id * 100000 + turn) AS position
+FROM conversations WHERE role = 'user'"""
+
 SQL = {
     "session_list": f"""WITH {_MSG},
   r AS (SELECT *, row_number() OVER (PARTITION BY user_email ORDER BY created_at DESC, session_id DESC) AS position,
@@ -211,9 +205,8 @@ SELECT session_id,
     "profiles_lookup": """WITH p AS (SELECT e.user_id, 'user' || e.user_id || '@example.com' AS user_email, count(*) AS n_events FROM events e GROUP BY 1),
   asked AS (SELECT DISTINCT 'user' || (conv_id % 400) || '@example.com' AS user_email FROM conversations)
 SELECT asked.user_email, p.user_id, p.n_events FROM asked LEFT JOIN p USING (user_email)""",
-    "stored_queries": """SELECT conv_id % 10 AS user_id, conv_id * 100000 + turn AS query_id, text AS query,
-       row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id * 100000 + turn) AS position
-FROM conversations WHERE role = 'user' AND conv_id % 10 < 4""",
+    "stored_queries": _STORED,
+    "stored_queries_all": _STORED,
     "owned_sessions": f"""WITH {_MSG} SELECT session_id, title, message_count FROM s WHERE user_email = 'user3@example.com'
 UNION ALL SELECT 1000000000 + conv_id, text, 0 FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id) WHERE conv_id % 10 = 3""",
     "profiles": f"""SELECT e.user_id, c.c_name AS user_name, 'user' || e.user_id || '@example.com' AS user_email,
@@ -224,7 +217,7 @@ FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id GROUP BY e.user_id
 QUERIES = {
     "profiles_lookup": profiles_lookup,
     "stored_queries": stored_queries,
-    "stored_queries_all": stored_queries_all,
+    "stored_queries_all": stored_queries,
     "owned_sessions": owned_sessions,
     "session_list": session_list,
     "session_updates": session_updates,

@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_position(df: DataFrame, order_by: str, name: str = "pos", block: int = 1 << 16) -> DataFrame:
-    """0-based position of every row by an explicit order of distinct numeric values.
+    """0-based position of every row by an explicit order of distinct numeric values; rows of a null value come first.
 
     No global single-task window: rows are grouped into blocks of consecutive key values, each block
     numbers its own rows, and a running sum over the block counts (one row a block) gives the offsets.
@@ -49,9 +49,10 @@ def row_position(df: DataFrame, order_by: str, name: str = "pos", block: int = 1
     b = df.withColumn("_blk", F.floor(F.col(order_by) / block))
     size = b.groupBy("_blk").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)      # over block counts only
-    offsets = size.select("_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    offsets = size.select(F.col("_blk").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     inside = F.row_number().over(Window.partitionBy("_blk").orderBy(order_by)) - 1
-    return b.join(offsets, "_blk").withColumn(name, (inside + F.col("_o")).cast("long")).drop("_blk", "_o")
+    joined = b.join(offsets, F.col("_blk").eqNullSafe(F.col("_of")))
+    return joined.withColumn(name, (inside + F.col("_o")).cast("long")).drop("_blk", "_of", "_o")
 
 
 def attach_by_position(items: DataFrame, item_order: str, contexts: DataFrame, context_order: str) -> DataFrame:

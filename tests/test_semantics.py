@@ -154,3 +154,8 @@ def test_late_rows_and_exempt_route(spark, tmp_path):
     got = X.rate_limit_stream(spark, src, spark.createDataFrame([], schema).schema, 10, "1 minute", exempt=("health",)).collect()
     twin = X.rate_limit_batch(spark.read.parquet(src), 10, "1 minute", exempt=("health",)).collect()
     assert [(r.user_id, r.n_requests, r.n_limited) for r in got] == [(1, 13, 3)] == [(r.user_id, r.n_requests, r.n_limited) for r in twin]
+
+
+def test_positions_of_null_keys(spark):
+    rows = TB.row_position(spark.createDataFrame([(5, "b"), (None, "n"), (1, "a"), (70000, "c")], "k long, x string"), "k").orderBy("pos").collect()
+    assert [(r.pos, r.x) for r in rows] == [(0, "n"), (1, "a"), (2, "b"), (3, "c")]
