@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.containment import contained
 from quarry.operators import metrics as M
 from quarry.operators import routing
 from quarry.operators.results import merge_rerun, retried_ids, retry_stats, still_failing
@@ -38,6 +39,11 @@ def containing(spark, sf) -> DataFrame:
     return M.answer_join(docs, ans)
 
 
+def substring_automaton(spark, sf):
+    """M11 by an automaton: the pairs of ``substring_join`` from one scan of the documents."""
+    return contained(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id", "item_id")
+
+
 def first_pass(spark, sf) -> DataFrame:
     pairs = containing(spark, sf)
     w = Window.partitionBy("item_id").orderBy("doc_id")
@@ -342,6 +348,7 @@ SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total_tokens, round(avg(n),
 SELECT k.doc_id, g.item_id FROM k JOIN g USING (k) WHERE k.doc_id <> g.item_id""",
     "failed_items": f"WITH {_RERUN} SELECT id FROM merged WHERE status = 'error'",
     "substring_join": f"WITH {_CONTAIN} SELECT doc_id, item_id FROM pairs",
+    "substring_automaton": f"WITH {_CONTAIN} SELECT doc_id, item_id FROM pairs",
     "results_table": f"WITH {_FIRST} SELECT id, status, is_exact_match, is_substring_match, error FROM first",
     "summary": f"""WITH {_RERUN},
   s AS (SELECT CAST(sum(CASE WHEN status <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS processed_items,
@@ -401,6 +408,7 @@ QUERIES = {
     "exact_match": exact_match,
     "failed_items": failed_items,
     "substring_join": substring_join,
+    "substring_automaton": substring_automaton,
     "results_table": results_table,
     "summary": summary,
     "running_metrics": running_metrics,
