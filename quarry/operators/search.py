@@ -60,8 +60,12 @@ def pages_corpus(pages: DataFrame) -> DataFrame:
 
 def bm25(corpus: DataFrame, queries: DataFrame, n: int = 5, *, doc_key: str = "doc_id", text: str = "text",
          query_key: str = "query_id", query_text: str = "query", k1: float = K1, b: float = B,
-         digits: int = 6) -> DataFrame:
-    """Top ``n`` documents per query by BM25 -> (query_id, doc_id, score, rank)."""
+         digits: int | None = None) -> DataFrame:
+    """Top ``n`` documents per query by BM25 -> (query_id, doc_id, score, rank).
+
+    Documents are ranked by full double sums, added up in the order of the terms, ties by key; with ``digits`` the
+    scores are rounded first, so that what differs beyond is a tie.
+    """
     qt = (queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query_text))))
                          .alias("term")))
     qterms = qt.select("term").distinct()
@@ -77,7 +81,9 @@ def bm25(corpus: DataFrame, queries: DataFrame, n: int = 5, *, doc_key: str = "d
     scored = (tf.join(idf, "term").join(qt, "term")
               .withColumn("c", F.col("idf") * F.col("tf") * (k1 + 1) /
                           (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
-    agg = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("c"), digits).alias("score"))
+    parts = F.array_sort(F.collect_list(F.struct("term", "c")))                # a query's terms at most
+    score = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x["c"]) if digits is None else F.round(F.sum("c"), digits)
+    agg = scored.groupBy("query_id", "doc_id").agg(score.alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return agg.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

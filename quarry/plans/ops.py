@@ -162,14 +162,14 @@ def last_answer_per_query(spark, sf):
 def _bm25_docs(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    return q, docs, S.bm25(docs.select("doc_id", "text"), q, 5)
+    return q, docs, S.bm25(docs.select("doc_id", "text"), q, 5, digits=6)
 
 
 def context_blocks(spark, sf):
     q, docs, hits = _bm25_docs(spark, sf)
     rel = V.concat_context(hits.join(docs.select("doc_id", "text"), "doc_id"), out="relevant")
     corpus = S.pages_corpus(table(spark, sf, "pages"))
-    ph = S.bm25(corpus, q, 5).join(corpus.select("doc_id", "content"), "doc_id")
+    ph = S.bm25(corpus, q, 5, digits=6).join(corpus.select("doc_id", "content"), "doc_id")
     st = S.search_text(ph)
     j = rel.join(st, "query_id", "full").fillna("", ["relevant", "search_text"])
     return j.select("query_id", F.md5(R.attributed_context(F.col("relevant"), F.col("search_text"))).alias("attributed_md5"),

@@ -44,7 +44,7 @@ def evaluate(spark, sf):
     per = q.join(score, "query_id").join(relevant, "query_id").withColumn("search", R.route_search(F.col("relevancy_score")))
     corpus = S.pages_corpus(table(spark, sf, "pages"))
     wanted = per.where("search = 1 and n_hits > 0").select("query_id", "query")
-    found = S.bm25(corpus, wanted, PAGE_HITS).join(corpus.select("doc_id", "content"), "doc_id")
+    found = S.bm25(corpus, wanted, PAGE_HITS, digits=6).join(corpus.select("doc_id", "content"), "doc_id")
     per = per.join(S.search_text(found), "query_id", "left").withColumn("search_text", F.coalesce("search_text", F.lit("")))
     per = per.withColumn("context", A.rank_parts(F.col("query"), F.col("relevant_text"), F.col("search_text")))
     per = per.join(A.best_sentence(per, "query_id", "query", "context"), "query_id")

@@ -17,13 +17,13 @@ def _queries(spark, sf):
 
 def bm25_top5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    r = S.bm25(docs, _queries(spark, sf), TOP_N)
+    r = S.bm25(docs, _queries(spark, sf), TOP_N, digits=6)
     return r.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _page_hits(spark, sf):
     corpus = S.pages_corpus(table(spark, sf, "pages"))
-    r = S.bm25(corpus, _queries(spark, sf), TOP_N)
+    r = S.bm25(corpus, _queries(spark, sf), TOP_N, digits=6)
     hits = r.join(corpus.select("doc_id", "url", "title", "content"), "doc_id")
     return S.normalize_hits(hits)
 

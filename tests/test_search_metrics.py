@@ -41,3 +41,13 @@ def test_search_text(spark):
     lines = S.search_records(S.normalize_hits(hits)).first().search_records.split("\n")
     assert lines[0] == '{"title":"No title","content":"No content","url":"u","score":1.5}' and len(lines) == 3
     assert S.search_text(S.normalize_hits(hits)).select(F.col("search_text")).first()[0] == "No content\nc\nc"
+
+
+def test_bm25_ranks_by_full_scores(spark):
+    """The shorter document scores higher, by less than a millionth; rounded scores tie and the smaller id goes first."""
+    from quarry.operators import search as S
+    filler = " ".join(f"f{i}" for i in range(400000))
+    docs = spark.createDataFrame([(1, "rare " + filler + " one"), (2, "rare " + filler), (3, "other words")], "doc_id long, text string")
+    q = spark.createDataFrame([(9, "rare")], "query_id long, query string")
+    assert [r.doc_id for r in S.bm25(docs, q, 2).orderBy("rank").collect()] == [2, 1]
+    assert [r.doc_id for r in S.bm25(docs, q, 2, digits=6).orderBy("rank").collect()] == [1, 2]
