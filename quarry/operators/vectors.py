@@ -3,12 +3,12 @@ assembly (V7-V9) and the hashed TF-IDF default embedder (V1).
 
 Physical shape of ``knn``
 -------------------------
-The vector table is the large side and is never shuffled or broadcast. The query side is
-a question set; it is shipped to every task in broadcast numpy blocks of bounded bytes. Each vector partition scores its rows against the block with a BLAS matmul inside
-``mapInArrow`` and keeps only its own top-k per query, so a partition emits at most
-``Q * k`` rows (+ exact ties at the cut). One shuffle of those candidates by query id and a
-``row_number() <= k`` window give the exact global answer. The driver holds one block at a time;
-each block is one more pass over the vectors.
+Both sides may be large, so the theta join is a grid on the executors: vectors are dealt into strips
+and queries into blocks, both of bounded bytes, and a cogroup by (length, block, strip) brings each
+pair of them to one task. Nothing passes through the driver and nothing is broadcast. A cell scores
+chunk after chunk by a BLAS matmul; the k-th score that a query has so far is its threshold, and a chunk
+whose ball (centre and radius) cannot reach it is not scored for that query. A cell emits at most
+``k`` rows a query; one shuffle of those by query id and ``row_number() <= k`` give the exact answer.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bytes of a block of queries shipped to executors per pass.
-QUERY_BLOCK_BYTES = 64 << 20
+# Bytes (as doubles) of a block of queries and of a strip of vectors that meet in one task.
+QUERY_BLOCK_BYTES = 32 << 20
+VECTOR_STRIP_BYTES = 64 << 20
+# Queries of a block at least, where blocks are made only to have work for all cores.
+_MIN_BLOCK = 512
 # Query columns scored per matmul (bounds the score matrix to 4096 x 1024 doubles = 32 MB).
 _Q_CHUNK = 1024
 _V_CHUNK = 4096
@@ -72,59 +75,69 @@ def _reduce_topk(qi: np.ndarray, vid: np.ndarray, sc: np.ndarray, k: int):
     return qi[keep], vid[keep], sc[keep]
 
 
-def _make_partition_topk(bq, k: int, metric: str, digits: int | None, exclude_self: bool):
-    def run(batches):
-        qids, qmat = bq.value
-        qmat = _prepare(qmat, metric)
-        acc_q, acc_v, acc_s = [], [], []
-        acc_n = 0
-        for rb in batches:
-            ids = np.asarray(rb.column(0).to_numpy(zero_copy_only=False))
-            valid, vm = _vectors_from_arrow(rb.column(1), qmat.shape[1])
-            if vm.shape[0] == 0:
+def _by_neighbourhood(m: np.ndarray, chunks: int) -> np.ndarray:
+    """An order of the rows in which those near one pivot row follow each other."""
+    if chunks < 2:
+        return np.arange(len(m))
+    pivots = m[np.linspace(0, len(m) - 1, min(4 * chunks, 256)).astype(int)]
+    near = np.concatenate([np.argmin((pivots * pivots).sum(1) - 2 * (m[i:i + _V_CHUNK] @ pivots.T), axis=1)
+                           for i in range(0, len(m), _V_CHUNK)])
+    return np.argsort(near, kind="stable")
+
+
+def _reach(chunk: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """An upper bound of every query's score with any row of the chunk, by the chunk's centre and radius."""
+    centre = chunk.mean(axis=0)
+    radius = np.sqrt(((chunk - centre) ** 2).sum(axis=1).max())
+    if metric == "l2":
+        return radius - np.linalg.norm(q - centre, axis=1)
+    return q @ centre + radius * np.linalg.norm(q, axis=1)
+
+
+def cell_topk(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.ndarray, k: int, metric: str = "cosine",
+              digits: int | None = None, exclude_self: bool = False):
+    """The k best rows of ``v`` for each row of ``q``: (query row, vec_id, score), ties to the smaller id."""
+    q, v = _prepare(q, metric), _prepare(v, metric)
+    some = np.isfinite(v).all(axis=1)
+    vids, v = vids[some], v[some]
+    order = _by_neighbourhood(v, -(-len(v) // _V_CHUNK))
+    vids, v = vids[order], v[order]
+    slack = 1e-9 + (10.0 ** -digits if digits is not None else 0.0)     # of rounding
+    out = []
+    for c0 in range(0, len(q), _Q_CHUNK):
+        rows = np.arange(c0, min(c0 + _Q_CHUNK, len(q)))
+        rows = rows[np.isfinite(q[rows]).all(axis=1)]
+        least = np.full(len(q), -np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for r0 in range(0, len(v), _V_CHUNK):
+            chunk, ids = v[r0:r0 + _V_CHUNK], vids[r0:r0 + _V_CHUNK]
+            reach = _reach(chunk, q[rows], metric)
+            live = rows[reach + slack * (1 + np.abs(reach)) >= least[rows]] if r0 else rows
+            if not len(live):
                 continue
-            ids = ids[valid]
-            vm = _prepare(vm, metric)
-            for r0 in range(0, len(ids), _V_CHUNK):
-                vblk, iblk = vm[r0:r0 + _V_CHUNK], ids[r0:r0 + _V_CHUNK]
-                for c0 in range(0, len(qids), _Q_CHUNK):
-                    qblk, qidblk = qmat[c0:c0 + _Q_CHUNK], qids[c0:c0 + _Q_CHUNK]
-                    s = _score(vblk, qblk, metric)
-                    if digits is not None:
-                        s = np.round(s, digits)
-                    s[np.isnan(s)] = -np.inf
-                    if exclude_self:
-                        s[iblk[:, None] == qidblk[None, :]] = -np.inf
-                    m = s.shape[0]
-                    if m > k:
-                        thr = np.partition(s, m - k, axis=0)[m - k]
-                        mask = s >= thr[None, :]
-                    else:
-                        mask = np.ones_like(s, dtype=bool)
-                    mask &= np.isfinite(s)
-                    rows, cols = np.nonzero(mask)
-                    acc_q.append(cols + c0)
-                    acc_v.append(iblk[rows])
-                    acc_s.append(s[rows, cols])
-                    acc_n += len(rows)
-                if acc_n > 4 * k * len(qids) + 100_000:
-                    q_, v_, s_ = _reduce_topk(np.concatenate(acc_q), np.concatenate(acc_v),
-                                              np.concatenate(acc_s), k)
-                    acc_q, acc_v, acc_s, acc_n = [q_], [v_], [s_], len(q_)
-        if acc_n:
-            q_, v_, s_ = _reduce_topk(np.concatenate(acc_q), np.concatenate(acc_v),
-                                      np.concatenate(acc_s), k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[q_], pa.int64()), pa.array(v_, pa.int64()), pa.array(s_, pa.float64())],
-                names=["query_id", "vec_id", "score"])
-    return run
-
-
-def _query_block(qdf: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    tbl = qdf.toArrow()
-    ids = np.asarray(tbl.column(0).to_numpy(), dtype=np.int64)
-    valid, m = _vectors_from_arrow(tbl.column(1), dim)
-    return ids[valid], m
+            s = _score(chunk, q[live], metric)
+            if digits is not None:
+                s = np.round(s, digits)
+            if exclude_self:
+                s[ids[:, None] == qids[live][None, :]] = -np.inf
+            cut = least[live]
+            if len(ids) > k:
+                cut = np.maximum(cut, np.partition(s, len(ids) - k, axis=0)[len(ids) - k])
+            at, col = np.nonzero((s >= cut[None, :]) & np.isfinite(s))
+            best = _reduce_topk(np.concatenate([best[0], live[col]]), np.concatenate([best[1], ids[at]]),
+                                np.concatenate([best[2], s[at, col]]), k)
+            last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True]) if len(best[0]) else np.zeros(0, np.int64)
+            full = last[np.diff(np.r_[-1, last]) == k]
+            least[best[0][full]] = best[2][full]
+        out.append(best)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _matrix(tbl: pa.Table, ids: str, vecs: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a group, all of one length."""
+    col = tbl.column(vecs).combine_chunks()
+    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    return np.asarray(tbl.column(ids).to_numpy(), dtype=np.int64), flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
 def unsearchable(vectors: DataFrame, dims: list[int], vec_id: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -139,44 +152,56 @@ def unsearchable(vectors: DataFrame, dims: list[int], vec_id: str = "vec_id", ve
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id",
         vec_col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding",
         metric: str = "cosine", exclude_self: bool = False, digits: int | None = None,
-        block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+        block_bytes: int = QUERY_BLOCK_BYTES, strip_bytes: int = VECTOR_STRIP_BYTES) -> DataFrame:
     """Exact top-k vectors per query -> (query_id, vec_id, score, rank).
 
     Ranking is by full double precision, ties by ``vec_id``; ``digits``, where given, rounds scores
     before ranking (so that two engines agree). ``metric`` is cosine, dot or l2 (score = -distance).
     Queries search the vectors of their own length; ``unsearchable`` lists what no query can meet.
-    ``exclude_self`` drops the pair whose ids are equal (a table searched against itself).
+    ``exclude_self`` drops the pair whose ids are equal (a table searched against itself). Rows of a null
+    id, and vectors that hold null or non-finite parts, are in no result. Blocks of queries and strips of
+    vectors hold about ``block_bytes`` and ``strip_bytes``, whatever the number of either.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    spark = vectors.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col).alias("qvec"))
-    v = vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(vec_col).alias("vvec"))
-    # Blocks of about block_bytes each, whatever the number and length of queries.
-    lengths = q.filter("qvec is not null").groupBy(F.size("qvec").alias("dim")).agg(F.count("*").alias("n")).collect()
-    blocks = []
-    for dim, n in sorted((r.dim, r.n) for r in lengths):
-        count = 1 + n * (dim + 1) * 8 // block_bytes
-        blk = F.pmod(F.xxhash64("qid"), F.lit(count))
-        blocks += [(q.filter((F.size("qvec") == dim) & (blk == b)), dim) for b in range(count)]
-    parts = []
-    for qb, dim in blocks:
-        ids, mat = _query_block(qb, dim)
-        if len(ids) == 0:
-            continue
-        bq = spark.sparkContext.broadcast((ids, mat))
-        fn = _make_partition_topk(bq, k, metric, digits, exclude_self)
-        parts.append(v.mapInArrow(fn, "query_id long, vec_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+
+    def usable(df, key, col, name, vec):
+        df = df.select(F.col(key).cast("long").alias(name), F.col(col).cast("array<double>").alias(vec))
+        return df.where(F.col(name).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull())).withColumn("dim", F.size(vec))
+    q, v = usable(queries, query_id, query_col, "qid", "qvec"), usable(vectors, vec_id, vec_col, "vid", "vvec")
+    count = lambda df: {r.dim: r.n for r in df.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # noqa: E731 - a row a length
+    nq, nv = count(q), count(v)
+    both = sorted(nq.keys() & nv.keys())
+    if not both:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    strips = {d: 1 + nv[d] * d * 8 // strip_bytes for d in both}
+    blocks = {d: max(1 + nq[d] * d * 8 // block_bytes, min(nq[d] // _MIN_BLOCK, -(-cores // strips[d]))) for d in both}
+    of = lambda m: F.element_at(F.create_map(*[F.lit(int(x)) for d in both for x in (d, m[d])]), F.col("dim"))
+    every = lambda m: F.explode(F.sequence(F.lit(0), (of(m) - 1).cast("int")))
+    dealt = lambda col, m: F.pmod(F.xxhash64(col), of(m)).cast("int")
+    q = q.where(F.col("dim").isin(both)).withColumn("block", dealt("qid", blocks)).withColumn("strip", every(strips))
+    v = v.where(F.col("dim").isin(both)).withColumn("strip", dealt("vid", strips)).withColumn("block", every(blocks))
+
+    def cell(key: tuple, qs: pa.Table, vs: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        if not (qs.num_rows and vs.num_rows):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        (qids, qm), (vids, vm) = _matrix(qs, "qid", "qvec"), _matrix(vs, "vid", "vvec")
+        row, vid, score = cell_topk(qids, qm, vids, vm, k, metric, digits, exclude_self)
+        return pa.table([pa.array(qids[row]), pa.array(vid), pa.array(score)], names=names)
+    keys = ["dim", "block", "strip"]
+    cand = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return (cand.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k))
 
 
+def closeness(distance: Column) -> Column:
+    """V3: a distance as a similarity in (0, 1], ``exp(-d^2)``."""
+    return F.exp(-distance * distance)
+
+
 def ann(vectors: DataFrame, queries: DataFrame, k: int, *, cells: int = 64, probes: int = 8, vec_id: str = "vec_id",
         vec_col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding", exclude_self: bool = False,
         split: int = 20_000) -> DataFrame:

@@ -74,3 +74,47 @@ def test_recall_of_registered_search(spark, sf):
     exact = {(r.query_id, r.vec_id) for r in of["knn_top8"](spark, sf).collect()}
     some = {(r.query_id, r.vec_id) for r in of["ann_top8"](spark, sf).collect()}
     assert len(some & exact) >= 0.9 * len(exact)
+
+
+def test_grid_of_blocks_and_strips(spark):
+    """Many blocks and strips, all metrics, clustered rows and bad vectors: as comparing every pair."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(6, 5)) * 8
+    vecs = [(i, (centre[i % 6] + rng.normal(size=5)).tolist()) for i in range(700)]
+    vecs += [(700, None), (701, [0.0] * 5), (702, [1.0, None, 0.0, 0.0, 1.0]), (703, [float("nan")] * 5), (704, []), (None, [1.0] * 5)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(3)
+    q = df.where("vec_id % 10 = 0 or vec_id > 699").withColumnRenamed("vec_id", "query_id")
+    good = {i: np.array(v) for i, v in vecs[:700]}
+    good[701] = np.zeros(5)
+    score = {"dot": lambda a, b: a @ b, "l2": lambda a, b: -np.linalg.norm(a - b),
+             "cosine": lambda a, b: a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) if a.any() and b.any() else -np.inf}
+    for metric, of in score.items():
+        got = {}
+        for r in V.knn(df, q, 4, metric=metric, exclude_self=True, digits=6, block_bytes=900, strip_bytes=4000).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = {}
+        for a in [i for i in good if i % 10 == 0 or i > 699]:
+            s = sorted((-round(float(of(good[a], b)), 6), i) for i, b in good.items() if i != a and np.isfinite(of(good[a], b)))
+            if s:
+                want[a] = [i for _, i in s[:4]]
+        assert got == want
+
+
+def test_threshold_prunes_chunks(monkeypatch):
+    """Far chunks are not scored for a query whose k-th score they cannot reach, and the answer stays exact."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(20, 16)) * 30
+    v = np.concatenate([c + rng.normal(size=(200, 16)) for c in centre])
+    ids, q = np.arange(len(v)), v[::97]
+    scored = []
+    monkeypatch.setattr(V, "_V_CHUNK", 200)
+    true = V._score
+    monkeypatch.setattr(V, "_score", lambda a, b, m: scored.append(len(a) * len(b)) or true(a, b, m))
+    row, vid, _ = V.cell_topk(ids[::97], q, ids, v, 3, "l2")
+    want = np.argsort(((q[:, None] - v[None]) ** 2).sum(2), axis=1, kind="stable")[:, :3]
+    assert (vid.reshape(-1, 3) == want).all() and sum(scored) < 0.7 * len(q) * len(v)
+
+
+def test_closeness(spark):
+    r = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "d double").select(V.closeness(F.col("d")).alias("s")).collect()
+    assert [round(x.s, 6) for x in r] == [1.0, 0.367879, 0.018316]
