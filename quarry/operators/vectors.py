@@ -149,6 +149,33 @@ def unsearchable(vectors: DataFrame, dims: list[int], vec_id: str = "vec_id", ve
     return vectors.select(vec_id, reason.alias("reason")).filter("reason is not null")
 
 
+GRID = ["dim", "block", "strip"]
+
+
+def usable(df: DataFrame, key: str, col: str, name: str, vec: str) -> DataFrame:
+    """(name, vec, dim): rows with an id and a vector without nulls."""
+    df = df.select(F.col(key).cast("long").alias(name), F.col(col).cast("array<double>").alias(vec))
+    return df.where(F.col(name).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull())).withColumn("dim", F.size(vec))
+
+
+def deal(q: DataFrame, v: DataFrame, block_bytes: int, strip_bytes: int, width: float = 8) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides (with dim) dealt onto the grid's cells (dim, block, strip): a query goes to every strip of its
+    length and a vector, of ``width`` bytes a part, to every block; None where no lengths meet."""
+    count = lambda df: {r.dim: r.n for r in df.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # noqa: E731 - a row a length
+    nq, nv = count(q), count(v)
+    both = sorted(nq.keys() & nv.keys())
+    if not both:
+        return None
+    cores = v.sparkSession.sparkContext.defaultParallelism
+    strips = {d: 1 + int(nv[d] * d * width // strip_bytes) for d in both}
+    blocks = {d: max(1 + nq[d] * d * 8 // block_bytes, min(nq[d] // _MIN_BLOCK, -(-cores // strips[d]))) for d in both}
+    of = lambda m: F.element_at(F.create_map(*[F.lit(int(x)) for d in both for x in (d, m[d])]), F.col("dim"))
+    every = lambda m: F.explode(F.sequence(F.lit(0), (of(m) - 1).cast("int")))
+    dealt = lambda col, m: F.pmod(F.xxhash64(col), of(m)).cast("int")
+    return (q.where(F.col("dim").isin(both)).withColumn("block", dealt("qid", blocks)).withColumn("strip", every(strips)),
+            v.where(F.col("dim").isin(both)).withColumn("strip", dealt("vid", strips)).withColumn("block", every(blocks)))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id",
         vec_col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding",
         metric: str = "cosine", exclude_self: bool = False, digits: int | None = None,
@@ -165,23 +192,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
 
-    def usable(df, key, col, name, vec):
-        df = df.select(F.col(key).cast("long").alias(name), F.col(col).cast("array<double>").alias(vec))
-        return df.where(F.col(name).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull())).withColumn("dim", F.size(vec))
-    q, v = usable(queries, query_id, query_col, "qid", "qvec"), usable(vectors, vec_id, vec_col, "vid", "vvec")
-    count = lambda df: {r.dim: r.n for r in df.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # noqa: E731 - a row a length
-    nq, nv = count(q), count(v)
-    both = sorted(nq.keys() & nv.keys())
-    if not both:
+    grid = deal(usable(queries, query_id, query_col, "qid", "qvec"), usable(vectors, vec_id, vec_col, "vid", "vvec"), block_bytes, strip_bytes)
+    if grid is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    strips = {d: 1 + nv[d] * d * 8 // strip_bytes for d in both}
-    blocks = {d: max(1 + nq[d] * d * 8 // block_bytes, min(nq[d] // _MIN_BLOCK, -(-cores // strips[d]))) for d in both}
-    of = lambda m: F.element_at(F.create_map(*[F.lit(int(x)) for d in both for x in (d, m[d])]), F.col("dim"))
-    every = lambda m: F.explode(F.sequence(F.lit(0), (of(m) - 1).cast("int")))
-    dealt = lambda col, m: F.pmod(F.xxhash64(col), of(m)).cast("int")
-    q = q.where(F.col("dim").isin(both)).withColumn("block", dealt("qid", blocks)).withColumn("strip", every(strips))
-    v = v.where(F.col("dim").isin(both)).withColumn("strip", dealt("vid", strips)).withColumn("block", every(blocks))
+    q, v = grid
 
     def cell(key: tuple, qs: pa.Table, vs: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -190,8 +204,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
         (qids, qm), (vids, vm) = _matrix(qs, "qid", "qvec"), _matrix(vs, "vid", "vvec")
         row, vid, score = cell_topk(qids, qm, vids, vm, k, metric, digits, exclude_self)
         return pa.table([pa.array(qids[row]), pa.array(vid), pa.array(score)], names=names)
-    keys = ["dim", "block", "strip"]
-    cand = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double")
+    cand = q.groupBy(*GRID).cogroup(v.groupBy(*GRID)).applyInArrow(cell, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return (cand.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import routing, vectors
+from quarry.operators import compressed, routing, vectors
 from quarry.sources.tables import table
 
 # ---- fixture parameters (measured on the test tables; operator defaults keep reference values)
@@ -43,6 +43,13 @@ def ann_top8(spark, sf):
     return got.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def compressed_top8(spark, sf):
+    """V6: all vectors as product-quantised codes, a short list by distance tables, ranked by full vectors."""
+    emb = table(spark, sf, "embeddings")
+    got = compressed.search(emb, emb.select(F.col("vec_id").alias("query_id"), "embedding"), TOP_K, exclude_self=True)
+    return got.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def parent_topk(spark, sf):
     emb = table(spark, sf, "embeddings")
     child = hits(spark, sf, CHILD_FETCH)
@@ -158,6 +165,7 @@ FROM (SELECT DISTINCT query_id FROM l) q LEFT JOIN y ON y.query_id = q.query_id"
 
 QUERIES = {
     "ann_top8": ann_top8,
+    "compressed_top8": compressed_top8,
     "knn_top8": knn_top8,
     "parent_topk": parent_topk,
     "parent_recall": parent_recall,
