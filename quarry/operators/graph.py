@@ -1,11 +1,13 @@
-"""Grouping over an arbitrary graph (C6): connected components by rounds of grouped minima and joins."""
+"""Grouping over an arbitrary graph (C6): connected components by rounds of grouped minima and joins, and the
+size-limited greedy by rounds of nodes that do not depend on each other."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.sources.tables import written
+from quarry.sources.tables import dense_position, written
 
 
 def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -29,18 +31,89 @@ def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def group_graph(nodes: DataFrame, edges: DataFrame, max_size: int | None = None, block: int = 1 << 16) -> DataFrame:
-    """(node, component, group_idx). Without a limit a component is one group; with one, its nodes
-    in order fill groups of ``max_size`` (no group spans components, none is larger). Numbering runs over
-    blocks of node ids, so a huge component is many tasks."""
-    from pyspark.sql import Window
-    c = connected(nodes, edges)
+def _one_after_another(degree_order: list, near: dict, max_size: int) -> dict:
+    """The greedy on one small component: {node: the node that formed its group last}."""
+    group, members = {}, {}
+    for d in degree_order:
+        touched = sorted({group[r] for r in near.get(d, ()) if r in group}, key=lambda g: (len(members[g]), -g))
+        mine = [d]
+        for g in touched:
+            if len(mine) + len(members[g]) <= max_size:
+                mine += members.pop(g)
+        members[d] = mine
+        group.update(dict.fromkeys(mine, d))
+    return group
+
+
+def _greedy_small(edges: DataFrame, nodes: DataFrame, max_size: int) -> DataFrame:
+    """(pos, grp) for components that one task may hold."""
+    def grouped(key, of, links):
+        near = {}
+        for a, b in zip(links["a"].tolist(), links["b"].tolist()):
+            near.setdefault(a, []).append(b)
+        return pd.DataFrame(list(_one_after_another(sorted(of["pos"].tolist()), near, max_size).items()), columns=["pos", "grp"])
+    return nodes.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(grouped, "pos long, grp long")
+
+
+def _greedy_rounds(edges: DataFrame, nodes: DataFrame, max_size: int) -> DataFrame:
+    """(pos, grp) by dependency rounds: in each, all nodes act whose turn no open node can change.
+
+    A node may act once it comes first among the open nodes of every group that it touches and before its open neighbours:
+    a group changes only through a node that touches it, so what the node sees is what it would see in the one-by-one
+    order. Two nodes of a round share no group.
+    """
+    done = nodes.sparkSession.createDataFrame([], "pos long, grp long")
+    open_ = written(nodes.select("pos"), "greedy-open")
+    while not open_.isEmpty():
+        mine = edges.join(open_.withColumnRenamed("pos", "a"), "a")
+        touched = written(mine.join(done.withColumnRenamed("pos", "b"), "b").select("a", "grp").distinct(), "greedy-touched")
+        first = touched.groupBy("grp").agg(F.min("a").alias("first"))
+        late = touched.join(first, "grp").where("a > first").select("a")
+        late = late.union(mine.join(open_.withColumnRenamed("pos", "b"), "b").where("b < a").select("a"))
+        ready = written(open_.join(late.select(F.col("a").alias("pos")).distinct(), "pos", "left_anti"), "greedy-ready")
+        size = done.groupBy("grp").agg(F.count("*").alias("n"))
+        smallest = Window.partitionBy("a").orderBy("n", F.desc("grp"))
+        some = (touched.join(ready.withColumnRenamed("pos", "a"), "a").join(size, "grp")
+                .withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") < max_size)     # a group has a member at least
+                .withColumn("sum", F.sum("n").over(smallest.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") < max_size))
+        done = written(done.join(some.select("grp", "a"), "grp", "left").select("pos", F.coalesce("a", "grp").alias("grp"))
+                       .union(ready.select("pos", F.col("pos").alias("grp"))), "greedy-groups")
+        open_ = written(open_.join(ready, "pos", "left_anti"), "greedy-open")
+    return done
+
+
+def greedy_groups(nodes: DataFrame, edges: DataFrame, max_size: int, *, whole: int = 1 << 16) -> DataFrame:
+    """C6 with a limit: (node, component, grp), grp being the group's smallest node.
+
+    Nodes act in the order of their number of neighbours, equals in the order of ``nodes.place`` if there is such a column, then of
+    the node. A node takes in the groups of its neighbours that have acted, the smallest first (of equals the one
+    formed last), while the limit holds. Components of at most ``whole`` nodes and links are one task each; a larger one is
+    never in one task and acts in rounds, as many as its longest chain of nodes that wait for each other.
+    Links to oneself and repeated links do not count; nodes that occur only in links take part.
+    """
+    both = edges.select("a", "b").where("a <> b")
+    both = written(both.union(both.select("b", "a")).distinct(), "greedy-links")
+    place = ["place"] if "place" in nodes.columns else []
+    known = nodes.select("node", *place).union(both.select(F.col("a").alias("node"), *[F.lit(None).alias(p) for p in place]))
+    known = known.groupBy("node").agg(F.min(place[0]).alias("place")) if place else known.distinct()
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    known = known.join(degree, "node", "left").join(connected(nodes, edges), "node").fillna(0, ["degree"])
+    at = written(dense_position(known, "degree", *place, "node"), "greedy-nodes")
+    of = lambda c: at.select(F.col("node").alias(c), F.col("pos").alias(f"p{c}"))
+    links = written(both.join(at.select(F.col("node").alias("a"), F.col("pos").alias("pa"), "component"), "a").join(of("b"), "b")
+                    .select("component", F.col("pa").alias("a"), F.col("pb").alias("b")), "greedy-links")
+    size = at.groupBy("component").agg(F.sum(F.col("degree") + 1).alias("n"))
+    large = written(size.where(F.col("n") > whole).select("component"), "greedy-large")
+    got = _greedy_small(links.join(large, "component", "left_anti"), at.join(large, "component", "left_anti").select("component", "pos"), max_size)
+    if not large.isEmpty():
+        got = got.union(_greedy_rounds(links.join(large, "component", "left_semi").select("a", "b"), at.join(large, "component", "left_semi"), max_size))
+    named = at.join(written(got, "greedy-groups"), "pos")
+    least = named.groupBy("grp").agg(F.min("node").alias("least"))
+    return named.join(least, "grp").select("node", "component", F.col("least").alias("grp"))
+
+
+def group_graph(nodes: DataFrame, edges: DataFrame, max_size: int | None = None) -> DataFrame:
+    """(node, component, grp): a component is one group without a limit; with one, the greedy of :func:`greedy_groups`."""
     if max_size is None:
-        return c.withColumn("group_idx", F.lit(0).cast("long"))
-    c = c.withColumn("_blk", F.floor(F.col("node") / block))
-    size = c.groupBy("component", "_blk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("component").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = size.select("component", "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    nth = F.row_number().over(Window.partitionBy("component", "_blk").orderBy("node")) - 1
-    return (c.join(offsets, ["component", "_blk"]).withColumn("group_idx", F.floor((nth + F.col("_o")) / max_size))
-            .select("node", "component", "group_idx"))
+        return connected(nodes, edges).withColumn("grp", F.col("component"))
+    return greedy_groups(nodes, edges, max_size)

@@ -73,6 +73,16 @@ def _supplied(lines):
     return graph.connected(edges.select(F.col("a").alias("node")), edges)
 
 
+def group_links(spark, sf):
+    """C6 with a limit over the links of all chunks to their next ones; on such chains it gives what ``group_chunks`` gives."""
+    c = _chunks(spark, sf).select("doc_id", "seq", "n_chunks")
+    name = lambda seq: F.struct("doc_id", seq.alias("seq"))
+    edges = c.where("seq < n_chunks - 1").select(name(F.col("seq")).alias("a"), name(F.col("seq") + 1).alias("b"))
+    g = graph.group_graph(c.select(name(F.col("seq")).alias("node")), edges, CAP)
+    size = F.count("*").over(Window.partitionBy("grp"))
+    return g.select("node.doc_id", "node.seq", F.col("grp.seq").alias("first_seq"), size.alias("group_size"))
+
+
 TOK = r"'[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'"
 
 
@@ -110,6 +120,8 @@ SELECT doc_id || '-' || seq AS chunk_id,
 FROM c""",
     "group_chunks": f"""WITH {_CH}, g AS (SELECT *, CAST({_GIDX} AS INTEGER) AS group_idx FROM c)
 SELECT doc_id, seq, group_idx, count(*) OVER (PARTITION BY doc_id, group_idx) AS group_size, 0 AS group_idx_unlimited FROM g""",
+    "group_links": f"""WITH {_CH}, g AS (SELECT *, CAST({_GIDX} AS INTEGER) AS group_idx FROM c)
+SELECT doc_id, seq, min(seq) OVER (PARTITION BY doc_id, group_idx) AS first_seq, count(*) OVER (PARTITION BY doc_id, group_idx) AS group_size FROM g""",
     "group_text": f"WITH {_GROUPS} SELECT group_id, doc_id, group_idx, n_members, text FROM gt",
     "child_chunks": f"""WITH {_GROUPS},
   k0 AS ({_chunk_sql('gt', 'group_id', SMALL, SMALL_OVERLAP, ', doc_id')})
@@ -124,6 +136,7 @@ QUERIES = {
     "chunk_window": chunk_window,
     "chunk_neighbors": chunk_neighbors,
     "group_chunks": group_chunks,
+    "group_links": group_links,
     "group_text": group_text,
     "child_chunks": child_chunks,
 }

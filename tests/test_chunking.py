@@ -81,4 +81,4 @@ def test_graph(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     assert {r.component for r in graph.connected(chain.select(F.col("a").alias("node")), chain).collect()} == {0}
     capped = graph.group_graph(nodes, edges, 3).where("component = 1").collect()
-    assert sorted((r.node, r.group_idx) for r in capped) == [(1, 0), (2, 0), (3, 0), (9, 1)]
+    assert sorted((r.node, r.grp) for r in capped) == [(1, 1), (2, 1), (3, 3), (9, 3)]     # ends 1, 9 act first, then 2, then 3
