@@ -38,7 +38,7 @@ END = 2
 #: Most queues: bounds the table of queue sizes that every task gets (16 bytes and a name each).
 MAX_QUEUES = 100_000
 #: Words, and parts of words, whose ids a worker keeps; beyond, it starts anew.
-KEPT, KNOWN = 400_000, 1_200_000
+KEPT, KNOWN = 800_000, 1_200_000
 
 
 @lru_cache(maxsize=2)
@@ -67,23 +67,23 @@ def _pieces(word: str) -> list[str]:
 
 
 def _encode(texts: list[str], spec: str) -> list[bytes]:
-    """Ids of each text and its end id, as 32-bit little-endian. Spaces and line ends never lie in a token
-    of this tokenizer, which drops white space, so the words between them, and the parts of words that it
-    splits from each other, are encoded once each."""
+    """Ids of each text and its end id, as little-endian numbers of 16 bits where the vocabulary allows (else 32). Spaces and line ends never
+    lie in a token of this tokenizer, which drops white space, so the words between them, and the parts of words
+    that it splits from each other, are encoded once each."""
     tokenizer, kept, known = _tokenizer(spec)
+    kind = "H" if _narrow(spec) else "I"
     words = [t.replace("\n", " ").split(" ") for t in texts]
-    new = {w for some in words for w in some}
     for cache, most in ((kept, KEPT), (known, KNOWN)):
         if len(cache) > most:
             cache.clear()
-    new = {w: _pieces(w) for w in new if w not in kept}
-    parts = list({p for some in new.values() for p in some if p not in known})
+    new = {w: _pieces(w) for w in set().union(*words).difference(kept)}
+    parts = list(set().union(*new.values()).difference(known))
     for p, e in zip(parts, tokenizer.encode_batch(parts, add_special_tokens=False)):
-        known[p] = array("I", e.ids).tobytes()
+        known[p] = array(kind, e.ids).tobytes()
     for w, some in new.items():
-        kept[w] = b"".join([known[p] for p in some])
-    end = np.array([END], "<u4").tobytes()
-    return [b"".join([kept[w] for w in some]) + end for some in words]
+        kept[w] = b"".join(map(known.__getitem__, some))
+    end = array(kind, [END]).tobytes()
+    return [b"".join(map(kept.__getitem__, some)) + end for some in words]
 
 
 def tokenized(docs: DataFrame, spec: str) -> DataFrame:
@@ -95,19 +95,19 @@ def tokenized(docs: DataFrame, spec: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        width = 2 if _narrow(spec) else 4
         ahead: dict[str, int] = {}
         for batch in batches:
             for rows in slices(batch, "text", 8 << 20):
                 ids = _encode(rows.column("text").to_pylist(), spec)
-                n = [len(x) // 4 for x in ids]
+                n = [len(x) // width for x in ids]
                 before = []
                 for q, k in zip(rows.column("queue").to_pylist(), n):
                     before.append(ahead.get(q, 0))
                     ahead[q] = before[-1] + k
-                small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if _narrow(spec) else ids
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(n), pa.int32()), rows.column("queue"), rows.column("doc_id"),
-                     pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(small, pa.binary())],
+                     pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     ["part", "queue", "doc_id", "before", "n", "ids"])
     rows = id_and_text(docs, "source").withColumn("queue", F.coalesce(F.col("source").cast("string"), F.lit("")))
     return rows.select("queue", "doc_id", "text").mapInArrow(run, "part int, queue string, doc_id long, before long, n long, ids binary")
