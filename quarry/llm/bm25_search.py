@@ -7,8 +7,13 @@ mean length, document frequencies of the queries' terms) come from one aggregati
 Queries go by in blocks of bounded size. For a query, each shard adds up its terms' block maxima (the
 best score of the term in a block of ``BLOCK`` documents) to an upper bound of every block, and visits
 blocks from the highest bound on. As in WAND, a block is entered only while its bound can beat the k-th
-score found so far; the others' postings are never read. Every shard gives its exact k best; their
-union, ranked, is exact.
+score found so far; the others' postings are never read. A shard gives its exact k best; their union, ranked,
+is exact.
+
+Shards are searched in rounds, each about four times as many as all before it: a shard's level is drawn from its
+hash, and the rarest level goes first. The k-th score that a query has after a round goes along as its bound in
+the next one, so blocks below it are skipped in every shard and rows below it are not returned: of a round about
+4 k rows a query come back however many shards it has.
 
 Scores are fixed-point: a term's part is rounded to 1e-6, so sums do not depend on their order and equal
 texts have equal scores. Ties go to the smaller id.
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, small_batches, stored, text_buffer
+from .common import forget, id_and_text, slices, small_batches, stored, text_buffer
 from .minhash_dedup import word_hashes
 
 K1, B = 1.2, 0.75
@@ -35,6 +40,8 @@ SHARD = 8 << 20
 QUERY_BLOCK = 1 << 21
 #: Blocks that are visited before the bound is compared again.
 _STEP = 4
+#: Rounds at most; level i has a 4^-i-th of the shards.
+_LEVELS = 16
 
 
 def _counted(part: pa.RecordBatch):
@@ -74,7 +81,10 @@ _KINDS = [np.int64, np.int8, np.int32, np.uint64, np.int64, np.int32, np.int32]
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index, one row a shard."""
     small_batches(docs.sparkSession)
-    return stored(id_and_text(docs).mapInArrow(_index, ", ".join(f"{b} binary" for b in _BLOBS) + ", rows long, words long"), "bm25-index")
+    shards = id_and_text(docs).mapInArrow(_index, ", ".join(f"{b} binary" for b in _BLOBS) + ", rows long, words long")
+    draw = F.xxhash64("ids", "rows", "words")
+    level = sum((F.pmod(draw, F.lit(4 ** i)) == 0).cast("int") for i in range(1, _LEVELS))
+    return stored(shards.withColumn("level", level), "bm25-index", "level")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +119,8 @@ class Shard:
         self.cell_max = np.maximum.reduceat(self.part, new) if len(new) else np.zeros(0)
         self.term_cell = np.searchsorted(new, self.begins)
 
-    def search(self, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and fixed-point scores of the k best documents that hold a term."""
+    def search(self, terms: np.ndarray, weight: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and fixed-point scores of the k best documents that hold a term and score ``floor`` or more."""
         at = np.searchsorted(self.terms, terms)
         some = at < len(self.terms)
         some[some] = self.terms[at[some]] == terms[some]
@@ -126,22 +136,23 @@ class Shard:
         cut = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         order = np.argsort(-bound, kind="stable")
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        least = 0.0
+        least = floor
         for s in range(0, len(order), _STEP):
             visit = order[s:s + _STEP]
-            if bound[visit[0]] <= 0 or len(rows) >= k and bound[visit[0]] < least:
+            if bound[visit[0]] <= 0 or bound[visit[0]] < least:
                 break
             pick, _ = _ranges(cut[visit], cut[visit + 1])
             c = cells[pick]
             post, which = _ranges(self.cell_begin[c], self.cell_begin[c + 1])
             part = np.rint(UNIT * (weight[of[pick]][which] * self.part[post]))
             total = np.bincount(self.docs[post], part)
-            new = np.flatnonzero(total)
+            new = np.flatnonzero(total >= max(least, 1.0))         # scores are whole numbers
             rows, scores = np.concatenate([rows, new]), np.concatenate([scores, total[new]])
             if len(rows) > k:
                 best = np.lexsort((self.ids[rows], ~self.known[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
-                least = scores[-1]
+            if len(rows) == k:
+                least = max(least, scores.min())
         return rows, scores
 
 
@@ -154,11 +165,15 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _search(queries, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, begins, terms, weights = queries.value
+        ids, begins, terms, weights, floors = queries.value
+        floors = floors.copy()                                    # and what this task's shards have raised them to
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard([batch.column(c)[i].as_buffer() for c in _BLOBS], mean)
-                found = [shard.search(terms[a:b], weights[a:b], k) for a, b in zip(begins[:-1], begins[1:])]
+                found = [shard.search(terms[a:b], weights[a:b], k, f) for a, b, f in zip(begins[:-1], begins[1:], floors)]
+                for q, (_, scores) in enumerate(found):
+                    if len(scores) == k:
+                        floors[q] = max(floors[q], scores.min())
                 rows = np.concatenate([r for r, _ in found]) if found else np.zeros(0, np.int64)
                 known = shard.known[rows]
                 yield pa.RecordBatch.from_arrays(
@@ -186,19 +201,29 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     weighted = stored(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")), "bm25-weights")
     blocks = 1 + weighted.count() // QUERY_BLOCK
     schema = "query_id long, doc_id long, points double"
-    out = None
+    best = Window.partitionBy("query_id").orderBy(F.desc("points"), F.col("doc_id").asc_nulls_last())
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    levels = sorted((r.level for r in index.select("level").distinct().collect()), reverse=True)
+    out = spark.createDataFrame([], schema)
     for i in range(blocks):                                        # bounded blocks, each a pass over the index
         mine = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id", "term").toArrow()
         q, t, w = (mine.column(c).to_numpy() for c in ("query_id", "term", "weight"))
         ids, begins = np.unique(q, return_index=True)
-        t = t.view(np.uint64)
-        sent = spark.sparkContext.broadcast((ids, np.append(begins, len(q)), t, w))
-        got = stored(index.mapInArrow(_search(sent, k, (words or 0) / max(n or 0, 1) or 1.0), schema), "bm25-found")
-        sent.unpersist()
-        out = got if out is None else out.union(got)
-    best = Window.partitionBy("query_id").orderBy(F.desc("points"), F.col("doc_id").asc_nulls_last())
-    return (out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", (F.col("points") / UNIT).alias("score")))
+        t, floors, top = t.view(np.uint64), np.zeros(len(ids)), None
+        for level in levels:
+            sent = spark.sparkContext.broadcast((ids, np.append(begins, len(q)), t, w, floors))
+            shards = index.where(F.col("level") == level).drop("level")
+            got = stored(shards.mapInArrow(_search(sent, k, (words or 0) / max(n or 0, 1) or 1.0), schema), "bm25-found")
+            sent.unpersist()
+            last, top = top, stored(ranked(got if top is None else top.drop("rank").union(got)), "bm25-top")
+            forget(got)
+            forget(last)
+            full = top.where(F.col("rank") == k).select("query_id", "points").toArrow()      # a row a query of the block
+            floors = floors.copy()
+            floors[np.searchsorted(ids, full.column(0).to_numpy())] = full.column(1).to_numpy()
+        if top is not None:
+            out = out.union(top.drop("rank"))
+    return ranked(out).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", (F.col("points") / UNIT).alias("score"))
 
 
 def search_hundredth(docs: DataFrame) -> DataFrame:

@@ -33,11 +33,12 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c) for c in more])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the cluster's shared checkpoint folder and read it again: lineage ends here."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the cluster's shared checkpoint folder (in a folder for each value of ``by``) and read it
+    again: lineage ends here."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

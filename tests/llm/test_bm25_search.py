@@ -93,3 +93,20 @@ def test_odd_rows(make_docs):
     compare(search_hundredth(docs), brute_force(rows, [r for r in rows if r[0] is not None and r[0] % 100 == 0]))
     assert search_hundredth(make_docs([])).count() == 0
     assert search_hundredth(make_docs([(100, None)])).count() == 0
+
+
+def test_bound_of_earlier_rounds():
+    """With another round's k-th score as its bound, a shard returns only rows that reach it, its ties included."""
+    import numpy as np
+    from quarry.llm.bm25_search import Shard
+    n = 64 * 20
+    tf = np.arange(n) % 97 + 1
+    blobs = [np.arange(n), np.ones(n, np.int8), np.full(n, 100, np.int32), np.array([7], np.uint64), np.array([0, n]), np.arange(n), tf]
+    kinds = [np.int64, np.int8, np.int32, np.uint64, np.int64, np.int32, np.int32]
+    shard = Shard([b.astype(k).tobytes() for b, k in zip(blobs, kinds)], 100.0)
+    term, weight = np.array([7], np.uint64), np.array([1.0])
+    rows, scores = shard.search(term, weight, 10)
+    floor = np.sort(scores)[-4]
+    some, high = shard.search(term, weight, 10, floor)
+    assert set(some) == set(rows[scores >= floor]) and (high >= floor).all() and len(some) >= 4
+    assert len(shard.search(term, weight, 10, scores.max() + 1)[0]) == 0
