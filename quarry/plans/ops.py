@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import prompts as PR
+from quarry.operators import documents as D
 from quarry.operators import search as S
 from quarry.operators import sessions as K
 from quarry.operators import vectors as V
@@ -127,6 +128,22 @@ def to_documents(spark, sf):
                                            ";").alias("metadata"))
 
 
+def document_maps(spark, sf):
+    """Documents with a metadata map of scalar, list, missing and null-valued fields, shown sorted."""
+    d = table(spark, sf, "documents").withColumn("tags", F.array("source", "lang", F.lit(None)))
+    got = D.to_documents(d, "text", ["lang", "n_chars", "tags", "text", "title"], keep=["doc_id"])
+    shown = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return got.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.array_join(shown, ";").alias("metadata"))
+
+
+def longform(spark, sf):
+    """All documents as questions, with the documents from the longest to the shortest as contexts, titles along."""
+    d = table(spark, sf, "documents")
+    contexts = d.select((-F.col("n_chars")).alias("size"), F.col("doc_id").alias("id"), F.col("text").alias("context"), F.array("source", "lang").alias("context_titles"))
+    got = D.reshape_longform(d.select("doc_id", F.col("text").alias("question")), ["doc_id"], contexts, ["size", "id"])
+    return got.select("query_id", F.md5("query").alias("query_md5"), F.md5("context").alias("context_md5"), F.array_join("context_titles", ",").alias("titles"))
+
+
 def positional_join(spark, sf):
     b = table(spark, sf, "benchmark")
     n = b.count()
@@ -234,6 +251,11 @@ SELECT req.conv_id, req.requested, coalesce(reg.collection, 'default') AS collec
        CASE WHEN reg.collection IS NULL THEN (SELECT count(*) FROM documents) ELSE sz.n_docs END AS n_docs
 FROM req LEFT JOIN reg ON reg.collection = req.requested LEFT JOIN sz ON sz.collection = reg.collection""",
     "to_documents": "SELECT doc_id, 'lang=' || lang || ';n_chars=' || n_chars || ';source=' || source AS metadata FROM documents",
+    "document_maps": """SELECT doc_id, md5(coalesce(text, '')) AS text_md5,
+       concat_ws(';', 'lang=' || lang, 'n_chars=' || n_chars, 'tags=' || coalesce(source, 'None') || ',' || coalesce(lang, 'None') || ',None') AS metadata FROM documents""",
+    "longform": """WITH q AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+  c AS (SELECT text, source, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents)
+SELECT 'eli5_' || q.pos AS query_id, md5(q.text) AS query_md5, md5(c.text) AS context_md5, concat_ws(',', c.source, c.lang) AS titles FROM q JOIN c ON c.pos = q.pos""",
     "positional_join": """WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark),
   c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
 SELECT 'eli5_' || b.pos AS query_id, b.text AS query, c.doc_id AS context_doc_id FROM b JOIN c ON c.pos = b.pos""",
@@ -277,6 +299,8 @@ QUERIES = {
     "index_roundtrip": index_roundtrip,
     "collection_fallback": collection_fallback,
     "to_documents": to_documents,
+    "document_maps": document_maps,
+    "longform": longform,
     "positional_join": positional_join,
     "first_n": first_n,
     "upload_checks": upload_checks,
