@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import search as S
+from quarry.operators import sparse as V
 from quarry.sources.tables import table
 
 TOP_N = 5
@@ -48,6 +49,13 @@ def format_hits(spark, sf):
     return S.format_hits(_page_hits(spark, sf), _queries(spark, sf))
 
 
+def tfidf_top5(spark, sf):
+    """V1: TF-IDF vectors of all documents, searched with those of all benchmark passages by posting lists."""
+    vectors, idf = V.tfidf(table(spark, sf, "documents"), "doc_id", "text")
+    asked = V.weights(V.term_counts(table(spark, sf, "benchmark"), "item_id", "text"), idf)
+    return V.search(vectors, asked, TOP_N).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 TERM = r"'[\p{L}\p{N}\p{M}]+'"
 
 
@@ -92,6 +100,17 @@ SQL = {
                                    chr(10) || chr(10) ORDER BY rank) AS formatted FROM hits GROUP BY query_id)
 SELECT b.item_id AS query_id, coalesce(f.formatted, 'No search results found.') AS formatted
 FROM benchmark b LEFT JOIN f ON f.query_id = b.item_id""",
+    "tfidf_top5": r"""WITH d AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]')) AS dim FROM documents),
+  dt AS (SELECT id, dim, count(*) AS tf FROM d GROUP BY ALL),
+  idf AS (SELECT dim, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM dt GROUP BY dim),
+  b AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]')) AS dim FROM benchmark),
+  bt AS (SELECT id, dim, count(*) AS tf FROM b GROUP BY ALL),
+  dr AS (SELECT id, dim, tf * idf AS w FROM dt JOIN idf USING (dim)), dn AS (SELECT id, sqrt(sum(w * w)) AS n FROM dr GROUP BY id),
+  br AS (SELECT id, dim, tf * idf AS w FROM bt JOIN idf USING (dim)), bn AS (SELECT id, sqrt(sum(w * w)) AS n FROM br GROUP BY id),
+  s AS (SELECT br.id AS query_id, dr.id AS doc_id, round(sum(br.w * dr.w / (bn.n * dn.n)), 9) AS score
+        FROM br JOIN dr ON dr.dim = br.dim JOIN bn ON bn.id = br.id JOIN dn ON dn.id = dr.id WHERE br.w <> 0 AND dr.w <> 0 GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
 }
 
 QUERIES = {
@@ -100,4 +119,5 @@ QUERIES = {
     "search_text": search_text,
     "format_hits": format_hits,
     "search_records": search_records,
+    "tfidf_top5": tfidf_top5,
 }
