@@ -49,8 +49,8 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """(id, dim, w) of length 1 from (id, dim, tf) and (dim, idf); dimensions without idf, or of idf 0, count for nothing."""
     raw = counts.join(idf, "dim").select("id", "dim", (F.col("tf") * F.col("idf")).alias("raw")).where("raw <> 0")
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "dim", (F.col("raw") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))     # the terms of one text
+    return raw.select("id", "dim", (F.col("raw") / norm).alias("w"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
