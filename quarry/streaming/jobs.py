@@ -62,14 +62,14 @@ def session_counts_stream(spark: SparkSession, src: str, schema, key: str = "con
 
 
 def source(spark: SparkSession, src: str, schema, files: int | None = None):
-    """File-stream source over a directory; ``dir/name.parquet`` reads only that file (glob
-    filter), so a single-file table can drive a stream. ``files``: most files a micro-batch."""
+    """File-stream source over a directory of files. A table ``dir/name.parquet`` may be one file or a folder of
+    files: it is given as a pattern, as the stream takes a plain path for a folder. ``files``: most files a micro-batch."""
     r = spark.readStream.schema(schema)
     if files:
         r = r.option("maxFilesPerTrigger", files)
     if src.endswith(".parquet"):
         d, f = src.rsplit("/", 1)
-        return r.option("pathGlobFilter", f).parquet(d)
+        return r.parquet(f"{d}/{{{f}}}")
     return r.parquet(src)
 
 
