@@ -101,15 +101,40 @@ def rouge1(pairs: DataFrame, key: str = "id", pred: str = "prediction", target:
                                            (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))))
 
 
-def rouge_multi(pairs: DataFrame, key: str = "id", pred: str = "prediction", targets: str = "targets", stemmer=None) -> DataFrame:
+def rouge_multi(pairs: DataFrame, key: str = "id", pred: str = "prediction", targets: str = "targets", stemmer=None, *,
+                references: DataFrame | None = None, group: str = "group", target: str = "target") -> DataFrame:
     """Several references a row; the best value of each figure over them. A row without
-    references has zeros."""
+    references has zeros.
+
+    The references are the row's array ``targets`` or, with ``references`` (group, target), all of the row's group,
+    equal ones once: token counts meet there, so that no text is copied to a pair and pairs without a common token,
+    whose figures are zero, are not made. Equal rows count once, and of a repeated key the best.
+    """
+    best = [F.max(c).alias(c) for c in ("precision", "recall", "fmeasure")]
+    if references is not None:
+        return _rouge_by_group(pairs, references, key, pred, group, target, stemmer).groupBy(F.col("_k").alias(key)).agg(*best)
     one = pairs.select(F.col(key).alias("_id"), pred, F.posexplode_outer(targets).alias("_n", "_t"))
     one = one.select(F.struct("_id", "_n").alias("_id_n"), pred, F.coalesce("_t", F.lit("")).alias("_t"))
-    best = [F.max(c).alias(c) for c in ("precision", "recall", "fmeasure")]
     return rouge1(one, "_id_n", pred, "_t", stemmer).groupBy(F.col("_id_n._id").alias(key)).agg(*best)
 
 
+def _rouge_by_group(pairs: DataFrame, references: DataFrame, key: str, pred: str, group: str, target: str, stemmer) -> DataFrame:
+    """(_k, precision, recall, fmeasure): of each row and each reference of its group with a common token, and a zero for each row."""
+    p = pairs.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.coalesce(pred, F.lit("")).alias("_x")).distinct().withColumn("_p", F.md5("_x"))
+    t = references.select(F.col(group).alias("_g"), F.coalesce(target, F.lit("")).alias("_x")).distinct().withColumn("_t", F.md5("_x"))
+
+    def counts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        toks = df.select(*keys, F.size(T.rouge_tokens(F.col("_x"))).alias(f"n{name}"), F.explode(T.rouge_tokens(F.col("_x"))).alias("tok"))
+        if stemmer is not None:
+            toks = toks.join(stemmer(toks.select("tok").distinct()), "tok").drop("tok").withColumnRenamed("stem", "tok")
+        return toks.groupBy(*keys, f"n{name}", "tok").agg(F.count("*").alias(f"c{name}"))
+    both = counts(p, ["_g", "_k", "_p"], "p").join(counts(t, ["_g", "_t"], "t"), ["_g", "tok"])
+    per = both.groupBy("_g", "_k", "_p", "_t", "np", "nt").agg(F.sum(F.least("cp", "ct")).alias("ov"))
+    per = per.select("_k", (F.col("ov") / F.col("np")).alias("precision"), (F.col("ov") / F.col("nt")).alias("recall"))
+    per = per.withColumn("fmeasure", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+    return per.union(p.select("_k", *[F.lit(0.0)] * 3))
+
+
 def rouge_avg(scores: DataFrame) -> DataFrame:
     """Mean of each ROUGE figure; no rows -> no row."""
     return (scores.agg(F.count("*").alias("n"), F.avg("precision").alias("precision"),

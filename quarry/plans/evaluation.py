@@ -213,13 +213,11 @@ def rouge1_stemmed(spark, sf):
 
 
 def rouge_multi(spark, sf):
-    """Each answer against two references, the question that it answers and its conversation's next one; the
-    references of an answer are so bounded, however long the conversation."""
+    """Each answer against all questions of its conversation."""
     from quarry.operators.sessions import pair_turns
-    p = pair_turns(table(spark, sf, "conversations"))
-    after = F.lead("question").over(Window.partitionBy("conv_id").orderBy("turn"))
-    targets = F.array_compact(F.array("question", after))
-    r = M.rouge_multi(p.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("answer").alias("prediction"), targets.alias("targets")))
+    p = pair_turns(table(spark, sf, "conversations")).where("conv_id is not null")
+    answers = p.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("answer").alias("prediction"))
+    r = M.rouge_multi(answers, references=p.select("conv_id", F.col("question").alias("target")), group="conv_id")
     return r.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fmeasure")])
 
 
@@ -334,8 +332,7 @@ _WORDS = "list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+',
 
 SQL = {
     "rouge_multi": f"""WITH {_PAIR_TURNS.split('rp AS')[0]}
-  tk AS (SELECT conv_id, turn, {{w}} AS p, q FROM (SELECT *, question AS q FROM pt
-         UNION ALL SELECT * FROM (SELECT *, lead(question) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM pt) WHERE q IS NOT NULL)),
+  tk AS (SELECT conv_id, turn, {{w}} AS p, q FROM pt JOIN (SELECT conv_id AS c2, question AS q FROM pt) ON c2 = conv_id),
   u AS (SELECT conv_id, turn, q, unnest(list_distinct(p || t)) AS tok, p, t FROM (SELECT *, {{wq}} AS t FROM tk)),
   o AS (SELECT conv_id, turn, q, sum(least(len(list_filter(p, lambda x: x = tok)), len(list_filter(t, lambda x: x = tok)))) AS ov, any_value(len(p)) AS np, any_value(len(t)) AS nt
         FROM u GROUP BY 1, 2, 3),
