@@ -106,8 +106,8 @@ def label_sequence(spark, sf):
 def training_rows(spark, sf):
     """The tasks' rows as one union in the order cac, sc, cs, each split 80 / 20."""
     s = _sequences(spark, sf).select("row_id", "task", F.concat(F.array_join("input", " "), F.lit(" " + D.EOS)).alias("text"))
-    n = s.groupBy("task").agg(F.count("*").alias("n_task"))
-    s = s.withColumn("task_pos", D.task_position(F.col("row_id"))).join(n, "task")
+    n = _with_task(uns(spark, sf).select("row_id")).groupBy("task").agg(F.count("*").alias("n_task"))
+    s = s.withColumn("task_pos", D.task_position(F.col("row_id"))).join(F.broadcast(n), "task")  # three rows
     parts = [s.filter(F.col("task") == t).withColumn("part", F.lit(i)) for i, t in enumerate(D.DATA_ORDER)]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return u.select("part", "task_pos", D.split(F.col("task_pos"), F.col("n_task")).alias("split"), F.md5("text").alias("text_md5"))
