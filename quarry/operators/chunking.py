@@ -109,25 +109,25 @@ def chunk_sentences(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVER
 
     A chunk takes sentences while they fit; the next one starts with the last sentences of the one
     before that fit into ``overlap`` tokens, but always moves on by a sentence. A sentence longer than
-    ``size`` is cut into pieces of ``size`` tokens. Sentences are split and counted by built-in
-    functions; only their lengths go through Python, a document at a time. A text without a sentence
+    ``size`` is cut into pieces of ``size`` tokens. Sentences are split and tokenised once, by built-in
+    functions, and chunks are made before they are exploded; only their lengths go through Python, a document at a time. A text without a sentence
     has no chunk.
     """
-    sentence = F.col("_s")
-    pieces = F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(_SENTENCE), F.lit(0)), lambda s: F.when(
-        F.size(T.tokenize(s)) <= size, F.array(F.trim(s))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((F.size(T.tokenize(s)) - 1) / size).cast("int")),
-                    lambda i: F.array_join(F.slice(T.tokenize(s), i * size + 1, size), " ")))))
-    s = docs.select(F.col(key).alias("_k"), F.filter(pieces, lambda p: F.size(T.tokenize(p)) > 0).alias("_s"))
-    s = s.withColumn("_n", F.transform(sentence, lambda p: F.size(T.tokenize(p)))).where(F.size("_n") > 0)
+    piece = lambda text, n: F.struct(text.alias("p"), n.cast("int").alias("n"))
+    cut = lambda tok, i: T.let(F.slice(tok, i * size + 1, size), lambda part: piece(F.array_join(part, " "), F.size(part)))
+    pieces = F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(_SENTENCE), F.lit(0)), lambda s: T.let(T.tokenize(s), lambda tok: F.when(
+        F.size(tok) <= size, F.array(piece(F.trim(s), F.size(tok)))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(tok) - 1) / size).cast("int")), lambda i: cut(tok, i))))))
+    s = docs.select(F.col(key).alias("_k"), F.filter(pieces, lambda x: x["n"] > 0).alias("_s"))
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def packed(lengths: pd.Series) -> pd.Series:
-        return lengths.map(lambda n: [{"a": a, "b": b} for a, b in pack_lengths([int(x) for x in n], size, overlap)])
-    s = s.select("_k", "_s", "_n", F.posexplode(packed("_n")).alias("seq", "_r"))
-    part = F.slice("_s", F.col("_r.a") + 1, F.col("_r.b") - F.col("_r.a"))
-    n = F.aggregate(F.slice("_n", F.col("_r.a") + 1, F.col("_r.b") - F.col("_r.a")), F.lit(0), lambda x, y: x + y)
-    return s.select(F.col("_k").alias(key), "seq", n.alias("n_tokens"), F.array_join(part, " ").alias("text"))
+        return lengths.map(lambda n: [{"a": a, "b": b} for a, b in pack_lengths([int(x) for x in n], size, overlap)] if n is not None and len(n) else [])
+    s = s.select("_k", "_s", packed(F.col("_s.n")).alias("_r"))
+    chunk_of = lambda r: T.let(F.slice("_s", r["a"] + 1, r["b"] - r["a"]), lambda part: F.struct(
+        F.aggregate(part, F.lit(0), lambda total, x: total + x["n"]).alias("n"), F.array_join(F.transform(part, lambda x: x["p"]), " ").alias("t")))
+    s = s.select("_k", F.posexplode(F.transform("_r", chunk_of)).alias("seq", "_c"))
+    return s.select(F.col("_k").alias(key), "seq", F.col("_c.n").alias("n_tokens"), F.col("_c.t").alias("text"))
 
 
 def pack_lengths(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
