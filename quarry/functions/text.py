@@ -103,6 +103,19 @@ def white_space_fix(s) -> Column:
     return F.trim(F.regexp_replace(_c(s), r"(?U)\s+", " "))
 
 
+def ascii_rows(src: str) -> Column:
+    """Whether a text (null counts) has ASCII characters only."""
+    return F.col(src).isNull() | F.col(src).rlike(r"^[\x00-\x7F]*$")
+
+
+def with_normalized(df, src: str, out: str):
+    """Add ``out`` = normalize_answer(``src``). ASCII rows stay in the JVM and take the same patterns without Unicode
+    classes, which are equal on ASCII."""
+    spaced = F.regexp_replace(remove_punc(F.lower(F.col(src))), ARTICLE_PATTERN.removeprefix("(?U)"), " ")
+    a = df.filter(ascii_rows(src)).withColumn(out, F.trim(F.regexp_replace(spaced, r"\s+", " ")))
+    return a.unionByName(df.filter(~ascii_rows(src)).withColumn(out, normalize_answer(F.col(src))))
+
+
 def normalize_answer(s, decompose: bool = True) -> Column:
     """M6: NFD -> lower -> remove punctuation -> remove articles -> fix whitespace."""
     x = nfd(_c(s)) if decompose else _c(s)
@@ -128,7 +141,7 @@ def single_ans_em(pred, gold, decompose: bool = True) -> Column:
 def nfd_rows(df, src: str, out: str):
     """Add ``out`` = NFD(``src``) sending only non-ASCII rows through Python: ASCII rows are
     unchanged by NFD, so they take a JVM-only branch and the two branches are unioned."""
-    ascii_ = F.col(src).isNull() | F.col(src).rlike(r"^[\x00-\x7F]*$")
+    ascii_ = ascii_rows(src)
     a = df.filter(ascii_).withColumn(out, F.col(src))
     b = df.filter(~ascii_).withColumn(out, nfd(F.col(src)))
     return a.unionByName(b)

@@ -23,7 +23,7 @@ from quarry.operators.containment import contained
 from quarry.operators import metrics as M
 from quarry.operators import routing
 from quarry.operators.results import merge_rerun, retried_ids, retry_stats, still_failing
-from quarry.sources.tables import row_position, table
+from quarry.sources.tables import row_position, table, written
 
 TOP_K = 8
 
@@ -112,7 +112,8 @@ def exact_match(spark, sf):
     """M7/M8 in table form: (document, other document) whose whole texts are equal answers after
     normalisation, each with the smallest such document. Grouped minimum and an equi-join on the
     normalised key, never all pairs."""
-    d = table(spark, sf, "documents").select("doc_id", F.md5(T.normalize_answer(F.col("text"))).alias("k"))
+    d = T.with_normalized(table(spark, sf, "documents").select("doc_id", "text"), "text", "n").select("doc_id", F.md5("n").alias("k"))
+    d = written(d, "normalized")                                # both sides of the join read the keys, no text
     low = d.groupBy("k").agg(F.min("doc_id").alias("item_id"))
     return d.join(low, "k").where("doc_id <> item_id").select("doc_id", "item_id")
 
