@@ -2,8 +2,8 @@
 
 A unit vector is cut into sections of ``SECTION`` parts, and each section is stored as the number of its nearest
 word in that section's code book (at most 256 words, one byte). Every vector is encoded; only the code
-books are learned from a bounded sample. A query makes a table of its products with all words of all sections, so
-its approximate cosine with a vector is a sum of one entry a section. Codes meet queries on the grid of
+books are learned from a bounded sample. A query has a product with every word of every section, so
+its approximate cosine with a vector is a sum of one entry a section (taken in blocks, as one matrix product with the words). Codes meet queries on the grid of
 ``vectors.knn``; the best ``shortlist`` of each query are then ranked by their full vectors, which are
 joined by id: only ids and codes travel before that.
 """
@@ -23,7 +23,7 @@ WORDS = 256
 #: Vectors of the sample that the code books of a length are learned from.
 SAMPLE = 16384
 _ROUNDS = 12
-_CHUNK = 2048
+_CHUNK = 4096
 
 
 def _sections(m: np.ndarray) -> np.ndarray:
@@ -61,12 +61,9 @@ def encode(m: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def approximate(q: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Approximate cosines, queries x codes, by the queries' tables."""
-    tables = np.einsum("qsp,swp->sqw", _sections(q), books).astype(np.float32)
-    out = np.zeros((len(q), len(codes)), np.float32)
-    for s, table in enumerate(tables):
-        out += table[:, codes[:, s]]
-    return out
+    """Approximate cosines, queries x codes: the queries' products with the words that the codes stand for."""
+    words = books.astype(np.float32)[np.arange(codes.shape[1]), codes].reshape(len(codes), codes.shape[1] * SECTION)
+    return _sections(q).reshape(len(q), codes.shape[1] * SECTION).astype(np.float32) @ words.T
 
 
 def _learn(v: DataFrame) -> dict[int, np.ndarray]:
@@ -115,14 +112,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, shortlist: int | N
             for c0 in range(0, len(qids), V._Q_CHUNK):
                 best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
                 some = qids[c0:c0 + V._Q_CHUNK]
+                least = np.full(len(some), -np.inf, np.float32)
                 for r0 in range(0, len(vids), _CHUNK):
-                    s = approximate(qm[c0:c0 + V._Q_CHUNK], code[r0:r0 + _CHUNK], book).T
                     mine = vids[r0:r0 + _CHUNK]
-                    if exclude_self:
-                        s[mine[:, None] == some[None, :]] = -np.inf
-                    cut = np.partition(s, len(mine) - few, axis=0)[len(mine) - few] if len(mine) > few else np.full(len(some), -np.inf)
-                    at, col = np.nonzero((s >= cut[None, :]) & np.isfinite(s))
-                    best = V._reduce_topk(np.concatenate([best[0], col]), np.concatenate([best[1], mine[at]]), np.concatenate([best[2], s[at, col]]), few)
+                    s = approximate(qm[c0:c0 + V._Q_CHUNK], code[r0:r0 + _CHUNK], book)
+                    row, at, sc = V.reaching(s, least, few, mine, some if exclude_self else None)
+                    best, least = V.merged(best, row, mine[at], sc, few, least)
                 ids.append(some[best[0]])
                 rows.append(best[1])
                 near.append(best[2])
