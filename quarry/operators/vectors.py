@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import written
+
 # Bytes (as doubles) of a block of queries and of a strip of vectors that meet in one task.
-QUERY_BLOCK_BYTES = 32 << 20
-VECTOR_STRIP_BYTES = 64 << 20
+QUERY_BLOCK_BYTES = 16 << 20
+VECTOR_STRIP_BYTES = 32 << 20
 # Queries of a block at least, where blocks are made only to have work for all cores.
 _MIN_BLOCK = 512
 # Query columns scored per matmul (bounds the score matrix to 4096 x 1024 doubles = 32 MB).
@@ -115,24 +117,41 @@ def cell_topk(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.ndarray,
             live = rows[reach + slack * (1 + np.abs(reach)) >= least[rows]] if r0 else rows
             if not len(live):
                 continue
-            s = _score(chunk, q[live], metric)
+            row, at, sc = reaching(_score(q[live], chunk, metric), least[live], k, ids, qids[live] if exclude_self else None, slack)
             if digits is not None:
-                s = np.round(s, digits)
-            if exclude_self:
-                s[ids[:, None] == qids[live][None, :]] = -np.inf
-            cut = least[live]
-            if len(ids) > k:
-                cut = np.maximum(cut, np.partition(s, len(ids) - k, axis=0)[len(ids) - k])
-            at, col = np.nonzero((s >= cut[None, :]) & np.isfinite(s))
-            best = _reduce_topk(np.concatenate([best[0], live[col]]), np.concatenate([best[1], ids[at]]),
-                                np.concatenate([best[2], s[at, col]]), k)
-            last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True]) if len(best[0]) else np.zeros(0, np.int64)
-            full = last[np.diff(np.r_[-1, last]) == k]
-            least[best[0][full]] = best[2][full]
+                sc = np.round(sc, digits)
+            best, least = merged(best, live[row], ids[at], sc, k, least)
         out.append(best)
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def reaching(s: np.ndarray, least: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray | None, slack: float = 0.0):
+    """(row, column, score) of the scores (queries x vectors) that may be among the k best: those that reach the k-th score so far
+    or, where there is none, the k-th of these; without the queries' ``own`` ids. Only these are looked at one by one."""
+    cut = least - slack * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+    fresh = np.flatnonzero(~np.isfinite(least))
+    most = k if own is None or not len(ids) else k + int(np.unique(ids, return_counts=True)[1].max())
+    if len(fresh) and most < len(ids):
+        part = s if len(fresh) == len(s) else s[fresh]
+        cut[fresh] = np.partition(part, len(ids) - most, axis=1)[:, len(ids) - most]
+        cut[fresh] -= slack * (1 + np.abs(cut[fresh]))
+    row, at = np.divmod(np.flatnonzero(s >= cut[:, None].astype(s.dtype)), max(len(ids), 1))
+    sc = s[row, at]
+    some = np.isfinite(sc) if own is None else np.isfinite(sc) & (ids[at] != own[row])
+    return row[some], at[some], sc[some]
+
+
+def merged(best: tuple, row: np.ndarray, ids: np.ndarray, sc: np.ndarray, k: int, least: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """The k best of each query with more of its scores, and the k-th scores where there are k."""
+    if not len(row):
+        return best, least
+    best = _reduce_topk(np.concatenate([best[0], row]), np.concatenate([best[1], ids]), np.concatenate([best[2], sc]), k)
+    last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True])
+    full = last[np.diff(np.r_[-1, last]) == k]
+    least[best[0][full]] = best[2][full]
+    return best, least
+
+
 def _matrix(tbl: pa.Table, ids: str, vecs: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a group, all of one length."""
     col = tbl.column(vecs).combine_chunks()
@@ -310,6 +329,26 @@ def top_parents(hits: DataFrame, child_parent: DataFrame, k: int, *, child_id: s
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def search_parents(vectors: DataFrame, queries: DataFrame, child_parent: DataFrame, k: int, fetch: int, *, first: int | None = None,
+                   child_id: str = "vec_id", parent_id: str = "parent_id", query_id: str = "query_id", **options) -> DataFrame:
+    """V4 over the ``fetch`` nearest children of every query, as :func:`top_parents` of :func:`knn`, with the same rows.
+
+    The walk stops at the k-th parent, which for most queries comes early: the ``first`` (8 k) children are ranked for all
+    queries, all ``fetch`` only for those that have more children and met fewer than k parents. ``options`` go to ``knn``.
+    """
+    few = min(fetch, first or 8 * k)
+    near = knn(vectors, queries, few, query_id=query_id, **options)
+    if few == fetch:
+        return top_parents(near, child_parent, k, child_id=child_id, parent_id=parent_id)
+    near = written(near, "near-children")
+    done = written(top_parents(near, child_parent, k, child_id=child_id, parent_id=parent_id), "near-parents")
+    short = near.where(F.col("rank") == few).select("query_id").distinct().join(done.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    short = written(short, "short-queries")
+    again = queries.join(short.withColumnRenamed("query_id", query_id), query_id, "left_semi")
+    rest = top_parents(knn(vectors, again, fetch, query_id=query_id, **options), child_parent, k, child_id=child_id, parent_id=parent_id)
+    return done.join(short, "query_id", "left_anti").unionByName(rest)
+
+
 def parent_recall(parents: DataFrame, n_groups: Column | int, k: int) -> DataFrame:
     """V5: per query, number of parents returned versus min(k, number of groups)."""
     expected = F.least(F.lit(k), n_groups if isinstance(n_groups, Column) else F.lit(n_groups))

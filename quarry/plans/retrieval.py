@@ -52,9 +52,9 @@ def compressed_top8(spark, sf):
 
 def parent_topk(spark, sf):
     emb = table(spark, sf, "embeddings")
-    child = hits(spark, sf, CHILD_FETCH)
     cp = emb.select("vec_id", F.expr(f"vec_id div {PARENT_DIV}").alias("parent_id"))
-    p = vectors.top_parents(child, cp, TOP_K)
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    p = vectors.search_parents(emb, q, cp, TOP_K, CHILD_FETCH, exclude_self=True, digits=6)
     return p.select("query_id", "parent_id", "score", F.col("first_rank").cast("long").alias("first_rank"),
                     F.col("rank").cast("long").alias("rank"))
 

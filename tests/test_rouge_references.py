@@ -14,7 +14,7 @@ def test_references_of_a_group(spark):
 
 def test_query_takes_all_questions(spark, tmp_path):
     """The third question from the answer counts, too."""
-    turns = [(1, 2 * i, "user", q) for i, q in enumerate(["one", "two", "three", "blue sky"])] + [(1, 1, "assistant", "blue sky"), (1, 3, "assistant", "none")]
+    turns = [(1, 2 * i, "user", q) for i, q in enumerate(["one", "two", "three", "blue sky"])] + [(1, 2 * i + 1, "assistant", a) for i, a in enumerate(["blue sky", "none", "none", "none"])]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.id: r.fmeasure for r in E.rouge_multi(spark, str(tmp_path)).collect()}
-    assert got == {"1:0": 1.0, "1:2": 0.0}
+    assert got == {"1:0": 1.0, "1:2": 0.0, "1:4": 0.0, "1:6": 0.0}
