@@ -51,3 +51,16 @@ def test_clients_share_a_state_value():
     assert len(first) == 103 and handle.value.calls == 2 and handle.timers == [60_000]
     assert run(frame(("=1", 11, 1), ("=1", 4, 7), ("=2", 12, 2))) == [("=1", 2, False), ("=1", 7, True)]     # one replayed, one pushed out
     assert len(handle.timers) == 1 and len(handle.value.held[0]) == 101
+
+
+def test_memory_whatever_the_batches():
+    """A message that does not fit keeps older ones out, also where they come later."""
+    import random
+    rng = random.Random(3)
+    for _ in range(300):
+        messages = [(t, rng.choice([0, 1, 4, 9, 12])) for t in range(8)]
+        rng.shuffle(messages)
+        held = []
+        for m in messages:
+            held = ST.reaching([*held, m], 10)
+        assert ST.within(held, 10) == ST.within(messages, 10)
