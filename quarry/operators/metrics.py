@@ -2,9 +2,9 @@
 
 * ``answer_join`` (M11) finds every (document, answer) pair where the answer's token list is a
   contiguous run of the document's, without a cross join: the answer side (small, size-checked)
-  is broadcast as a shingle -> answer map; each document emits its token shingles and probes
-  that map in the scan stage (no shuffle of exploded rows); only candidate pairs are shuffled
-  and verified by exact padded-string containment.
+  is broadcast as a shingle -> answer map; each document emits hashes of its token shingles and
+  probes that map in the scan stage (no shuffle of exploded rows); only candidate pairs are shuffled
+  and verified by exact padded-string containment, for which only their documents are tokenised again.
 * ``rouge1`` (M12) counts unigram multisets with one ``groupBy(id, token)``: work is linear in
   tokens and spread over (id, token) keys, so a long text is never one task's whole input.
 * ``running_mean`` (M18) is a blocked prefix sum: block totals (one row per block) are summed
@@ -17,15 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.sources.tables import written
 
 SHINGLE = 4
 
 
 def _shingles(tokens: Column, n: int) -> Column:
-    """Array of space-joined n-token windows (empty when there are fewer than n tokens)."""
-    win = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1),
-                      lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, win).otherwise(F.array().cast("array<string>"))
+    """Array of 64-bit hashes of the n-token windows (empty when there are fewer than n tokens)."""
+    at = F.sequence(F.lit(0), F.size(tokens) - n)
+    return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))).otherwise(
+        F.array().cast("array<bigint>"))
 
 
 def answer_join(docs: DataFrame, answers: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text",
@@ -34,31 +35,29 @@ def answer_join(docs: DataFrame, answers: DataFrame, *, doc_key: str = "doc_id",
     """(doc_key, ans_key) pairs where the answer's uncased tokens are a contiguous run of
     the document's (NFD first). Answers with no tokens match every document by definition; they
     are not expanded into pairs: :func:`empty_answers` lists them."""
-    d0 = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_t"))
-    a0 = answers.select(F.col(ans_key).alias("_a"), F.col(ans_text).alias("_at"))
+    raw = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_t"))
+    d0, a0 = raw, answers.select(F.col(ans_key).alias("_a"), F.col(ans_text).alias("_at"))
     if decompose:
         d0 = T.nfd_rows(d0, "_t", "_tn").select("_d", F.col("_tn").alias("_t"))
         a0 = T.nfd_rows(a0, "_at", "_an").select("_a", F.col("_an").alias("_at"))
-    dtext, atext = F.col("_t"), F.col("_at")
-    a = (a0.withColumn("_atok", T.tokenize(atext, uncased=True))
+    a = (a0.withColumn("_atok", T.tokenize(F.col("_at"), uncased=True))
          .filter(F.size("_atok") > 0)
          .withColumn("_len", F.least(F.size("_atok"), F.lit(shingle)))
-         .withColumn("_key", F.array_join(F.slice("_atok", 1, shingle), " "))
+         .withColumn("_key", F.coalesce(*[F.when(F.col("_len") == n, F.get(_shingles(F.slice("_atok", 1, n), n), F.lit(0))) for n in range(1, shingle + 1)]))
          .withColumn("_astr", T.token_string(F.col("_atok")))
          .select("_a", "_len", "_key", "_astr"))
+    a = written(a, "answer-keys")                                              # read for its lengths, keys and answers
     keys = a.select("_len", "_key").distinct()
     lengths = sorted(r[0] for r in a.select("_len").distinct().collect())  # at most `shingle` values
-    dtok = d0.select("_d", T.tokenize(dtext, uncased=True).alias("_dtok"))
-    cands = None
-    for n in lengths:
-        sh = (dtok.select("_d", F.explode(F.array_distinct(_shingles(F.col("_dtok"), n))).alias("_key"))
-              .join(keys.filter(F.col("_len") == n), "_key")
-              .select("_d", "_key", "_len"))
-        cands = sh if cands is None else cands.unionByName(sh)
-    if cands is None:
+    if not lengths:
         return docs.sparkSession.createDataFrame([], f"{doc_key} long, {ans_key} long")
-    pairs = cands.join(a, ["_key", "_len"]).select("_d", "_a", "_astr").distinct()
-    full = d0.select("_d", T.token_string(T.tokenize(dtext, uncased=True)).alias("_dstr"))
+    dtok = d0.select("_d", T.tokenize(F.col("_t"), uncased=True).alias("_dtok"))
+    windows = F.concat(*[F.transform(_shingles(F.col("_dtok"), n), lambda h: F.struct(F.lit(n).alias("_len"), h.alias("_key"))) for n in lengths])
+    cands = dtok.select("_d", F.explode(windows).alias("_w")).select("_d", "_w._len", "_w._key").join(keys, ["_key", "_len"])
+    # Written: the scan of all documents runs once, and the texts of the few that are left meet ids of a known size.
+    pairs = written(cands.join(a, ["_key", "_len"]).select("_d", "_a", "_astr").distinct(), "answer-candidates")
+    full = raw.join(pairs.select("_d").distinct(), "_d", "left_semi")
+    full = full.select("_d", T.token_string(T.tokenize(T.nfd(F.col("_t")) if decompose else F.col("_t"), uncased=True)).alias("_dstr"))
     ok = pairs.join(full, "_d").filter(F.contains(F.col("_dstr"), F.col("_astr")))
     return ok.select(F.col("_d").alias(doc_key), F.col("_a").alias(ans_key))
 

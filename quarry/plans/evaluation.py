@@ -188,8 +188,9 @@ def still_failing_ids(spark, sf):
 
 def keyword_judge(spark, sf):
     """R3 between every item and the documents that contain it (its first-pass hits)."""
-    pairs = containing(spark, sf)
-    d = table(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text"), True).alias("dt"))
+    pairs = written(containing(spark, sf), "judge-pairs")                       # small beside the texts, and known to be
+    hits = table(spark, sf, "documents").select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    d = hits.select("doc_id", T.tokenize(F.col("text"), True).alias("dt"))      # of the documents in pairs only
     b = table(spark, sf, "benchmark").select("item_id", T.tokenize(F.col("text"), True).alias("qt"))
     j = pairs.join(d, "doc_id").join(F.broadcast(b), "item_id")
     return j.select("doc_id", "item_id", routing.keyword_judge(F.col("qt"), F.col("dt")).alias("label"))

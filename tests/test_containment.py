@@ -26,3 +26,13 @@ def test_empty_tables(spark):
     docs, none = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert contained(docs, none).count() == 0
     assert contained(docs.limit(0), spark.createDataFrame(ANSWERS, "item_id long, text string")).count() == 0
+
+
+def test_only_documents_with_candidates_are_tokenised_again(spark):
+    docs = spark.createDataFrame([(1, "A b c d e f"), (1, "A b c d e f"), (2, "b c x"), (3, "a b c d x"), (None, "a b c d e"), (4, None), (5, "c")], "doc_id long, text string")
+    answers = spark.createDataFrame([(10, "a b c d e"), (11, "b C"), (12, "c"), (13, "!"), (14, ""), (11, "x")], "item_id long, text string")
+    got = answer_join(docs, answers)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "LeftSemi" in plan                 # windows of all documents were made once, before
+    want = [(1, 10), (1, 10), (1, 11), (1, 11), (1, 12), (1, 12), (2, 11), (2, 11), (2, 12), (3, 11), (3, 11), (3, 12), (5, 12)]
+    assert sorted(map(tuple, got.collect())) == want
