@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.sources.tables import dense_position
+from quarry.sources.tables import dense_position, written
 
 # ---- fixed values (reference constants) --------------------------------------------------------
 MASK_P = 0.3
@@ -38,6 +38,7 @@ TRACE_CS = "This content is generated according to my knowledge"
 TRACE_SC = "This content is generated according to [REFERENCE] number "
 TASKS = ("cac", "cs", "sc")                 # batch mod 10: 0-3, 4-7, 8-9
 DATA_ORDER = ("cac", "sc", "cs")            # order of tasks in the combined outputs
+COMMON = 1 << 18                            # tokens whose ids are sent to all tasks (not a reference constant)
 # -----------------------------------------------------------------------------------------------
 
 
@@ -153,10 +154,18 @@ def token_ids(frequencies: DataFrame) -> DataFrame:
         "token", (F.col("id") + VOCAB_LO).alias("id"))
 
 
-def encode(texts: DataFrame, ids: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, position, id) of every token of every text; an unknown token has id 0."""
+def encode(texts: DataFrame, ids: DataFrame, key: str, text: str = "text", common: int = COMMON) -> DataFrame:
+    """(key, position, id) of every token of every text; an unknown token has id 0.
+
+    Ids rise as tokens get rarer, so those of the ``common`` most frequent tokens are broadcast and most tokens never leave
+    their task; only the other tokens are shuffled to meet the other ids. Texts are tokenised once: what the broadcast
+    gives is written to the shared folder.
+    """
     toks = texts.select(key, F.posexplode(T.tokenize(F.col(text))).alias("position", "token"))
-    return toks.join(ids, "token", "left").select(key, "position", F.coalesce("id", F.lit(0)).alias("id"))
+    first = F.broadcast(ids.where(F.col("id") < VOCAB_LO + common))            # a bounded part of the vocabulary
+    met = written(toks.join(first, "token", "left").select(key, "position", "id", F.when(F.col("id").isNull(), F.col("token")).alias("token")), "token-ids")
+    far = met.where("id is null").drop("id").join(ids.where(F.col("id") >= VOCAB_LO + common), "token", "left")
+    return met.where("id is not null").select(key, "position", "id").union(far.select(key, "position", F.coalesce("id", F.lit(0)).alias("id")))
 
 
 def labels(n_input: Column, n_ignored: Column, ids: Column) -> Column:

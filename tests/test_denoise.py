@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quarry.operators import denoise as D
 
@@ -44,3 +45,14 @@ def test_every_token_has_an_id(spark):
     assert ids == {"a": 3, "b": 4, "c": 5, "d": 6}
     got = {(r.doc_id, r.position): r.id for r in D.encode(docs, D.token_ids(D.token_frequencies(docs)), "doc_id").collect()}
     assert got == {(1, 0): 4, (1, 1): 3, (1, 2): 3, (1, 3): 5, (2, 0): 3, (2, 1): 6}
+
+
+@pytest.mark.parametrize("common", [0, 2, 100])
+def test_only_rare_tokens_are_shuffled(spark, common):
+    docs = spark.createDataFrame([(1, "b a a c"), (2, "a d x"), (2, "a d x"), (None, "c"), (3, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5), ("d", 6)], "token string, id long")
+    got = D.encode(docs, ids, "doc_id", common=common)
+    twice = [(2, 0, 3), (2, 1, 6), (2, 2, 0)] * 2
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0, 4), (1, 1, 3), (1, 2, 3), (1, 3, 5), (None, 0, 5), *twice], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1             # tokenised once; what is known joins nothing
