@@ -56,3 +56,23 @@ def test_chain_as_closed_form(spark):
     for r in want:
         by.setdefault(r.g, []).append(r.id)
     assert groups(spark, [], [(i, i + 1) for i in range(n - 1)], 5) == sorted(map(sorted, by.values()))
+
+
+def test_many_small_components_share_a_call(spark, monkeypatch):
+    # calls of Python are counted by what they get: 300 chains of five in few bundles, each grouped as it is alone
+    monkeypatch.setattr(graph, "BUNDLE", 1 << 10)
+    links = [(10 * c + i, 10 * c + i + 1) for c in range(300) for i in range(4)]
+    seen = []
+    whole = graph._greedy_small
+    monkeypatch.setattr(graph, "_greedy_small", lambda e, n, m, bundles=None: seen.append(bundles) or whole(e, n, m, bundles))
+    got = groups(spark, [], links, 3)
+    assert 1 < seen[0] < 20
+    assert got == sorted(sorted(10 * c + x for x in g) for c in range(300) for g in one_by_one(list(range(5)), links[:4], 3))
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    links = [(i * 7919 % n, (i + 1) * 7919 % n) for i in range(n - 1)] + [(1000, 1001), (1001, 1000), (5000, 5000), (None, 3)]
+    nodes = spark.createDataFrame([(x,) for x in [*range(n), 2000, None]], "node long")
+    got = graph.connected(nodes, spark.createDataFrame(links, "a long, b long"), rounds=30).collect()
+    assert sorted(map(tuple, got)) == sorted([(i, 0) for i in range(n)] + [(1000, 1000), (1001, 1000), (2000, 2000)])
