@@ -1,13 +1,13 @@
 """Fallback search re-aimed as a table job (R10, R11, P7, P8): BM25 over a term table, HTML
 title/content extraction, hit normalisation and formatting.
 
-Plan shape of ``bm25``: the corpus is tokenised and exploded once and each token row meets the
+Plan shape of ``bm25``: the corpus is tokenised and exploded and each token row meets the
 distinct query terms (Catalyst broadcasts them where they are small), so only tokens that occur in
-some query go on, and a map-side partial count turns them into (doc, term, tf) before the exchange.
-A stop word that sits in a third of all documents therefore
-costs one partial-count row per partition per document, never a hot reduce key. Document
-frequencies are computed for query terms only; N and the mean length come from one global
-aggregate.
+some query go on, and a partial count turns them into (doc, term, tf) before any exchange. Two passes: the first
+counts document frequencies, of query terms only; N and the mean length come from one global
+aggregate. For the second, texts are dealt by document once, so a document's terms, its part of every query's
+score and the first cut of the ranking are made in one task: rows for (query, term, document) or
+(query, document), many times the corpus where queries share words, are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.vectors import ordered_join
+from quarry.sources.tables import written
 
 # ---- fixed values ----------------------------------------------------------------------------
 K1, B = 1.2, 0.75          # BM25 parameters (common defaults)
@@ -68,17 +69,21 @@ def bm25(corpus: DataFrame, queries: DataFrame, n: int = 5, *, doc_key: str = "d
     """
     qt = (queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query_text))))
                          .alias("term")))
+    qt = written(qt, "bm25-queries")                                            # its size is known to the planner then
     qterms = qt.select("term").distinct()
-    docs = corpus.select(F.col(doc_key).alias("doc_id"), terms(F.col(text)).alias("_tok"))
-    stats = docs.agg(F.count("*").alias("N"), F.avg(F.size("_tok")).alias("avgdl"))
-    hit = (docs.select("doc_id", F.size("_tok").alias("dl"), F.explode("_tok").alias("term"))
-           .join(qterms, "term"))
-    tf = hit.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df_t = tf.groupBy("term").agg(F.count("*").alias("df"))
+    docs = corpus.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("_text"))
+    stats = docs.agg(F.count("*").alias("N"), F.avg(F.size(terms(F.col("_text")))).alias("avgdl"))
+
+    def frequencies(some: DataFrame) -> DataFrame:
+        toks = some.select("doc_id", terms(F.col("_text")).alias("_tok"))
+        hit = toks.select("doc_id", F.size("_tok").alias("dl"), F.explode("_tok").alias("term")).join(qterms, "term")
+        return hit.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df_t = frequencies(docs).groupBy("term").agg(F.count("*").alias("df"))
     idf = (df_t.crossJoin(F.broadcast(stats))  # one-row stats
            .select("term", "N", "avgdl",
                    F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-    scored = (tf.join(idf, "term").join(qt, "term")
+    weights = written(qt.join(idf, "term").select("query_id", "term", "avgdl", "idf"), "bm25-weights")     # the queries' terms
+    scored = (frequencies(docs.repartition("doc_id")).join(weights, "term")
               .withColumn("c", F.col("idf") * F.col("tf") * (k1 + 1) /
                           (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
     parts = F.array_sort(F.collect_list(F.struct("term", "c")))                # a query's terms at most

@@ -15,7 +15,7 @@ from quarry.operators import routing as R
 from quarry.session import scratch_path
 from quarry.sources import commit_log as CL
 from quarry.sources import index_store as IX
-from quarry.sources.tables import attach_by_position, table, take_first
+from quarry.sources.tables import attach_by_position, table, take_first, written
 from quarry.streaming import jobs as X
 from quarry.streaming import stateful as ST
 
@@ -184,9 +184,10 @@ def _bm25_docs(spark, sf):
 
 def context_blocks(spark, sf):
     q, docs, hits = _bm25_docs(spark, sf)
+    hits = written(hits, "block-hits")                  # a few rows a query: texts need no shuffle to meet them
     rel = V.concat_context(hits.join(docs.select("doc_id", "text"), "doc_id"), out="relevant")
     corpus = S.pages_corpus(table(spark, sf, "pages"))
-    ph = S.bm25(corpus, q, 5, digits=6).join(corpus.select("doc_id", "content"), "doc_id")
+    ph = written(S.bm25(corpus, q, 5, digits=6), "block-pages").join(corpus.select("doc_id", "content"), "doc_id")
     st = S.search_text(ph)
     j = rel.join(st, "query_id", "full").fillna("", ["relevant", "search_text"])
     return j.select("query_id", F.md5(R.attributed_context(F.col("relevant"), F.col("search_text"))).alias("attributed_md5"),

@@ -51,3 +51,15 @@ def test_bm25_ranks_by_full_scores(spark):
     q = spark.createDataFrame([(9, "rare")], "query_id long, query string")
     assert [r.doc_id for r in S.bm25(docs, q, 2).orderBy("rank").collect()] == [2, 1]
     assert [r.doc_id for r in S.bm25(docs, q, 2, digits=6).orderBy("rank").collect()] == [1, 2]
+
+
+def test_bm25_sums_a_document_in_one_task(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a a c"), (2, "a a c"), (3, "d"), (None, "b"), (4, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "a b"), (8, "c a"), (8, "a"), (9, "x")], "query_id long, query string")
+    got = S.bm25(docs, q, 2, digits=6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("hashpartitioning(")[1:]:
+        keys = line.split(", ENSURE")[0].split(", REPARTITION")[0]
+        assert not ("query_id" in keys and "doc_id" in keys)            # (query, document) rows cross no exchange
+    rows = [(r.query_id, r.doc_id, r["rank"]) for r in got.orderBy("query_id", "rank").collect()]
+    assert rows == [(7, 1, 1), (7, 2, 2), (8, 2, 1), (8, 1, 2)]      # rows of one id and length count together
