@@ -70,7 +70,9 @@ def test_many_small_components_share_a_call(spark, monkeypatch):
     assert got == sorted(sorted(10 * c + x for x in g) for c in range(300) for g in one_by_one(list(range(5)), links[:4], 3))
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_of_a_long_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     n = 300
     links = [(i * 7919 % n, (i + 1) * 7919 % n) for i in range(n - 1)] + [(1000, 1001), (1001, 1000), (5000, 5000), (None, 3)]
     nodes = spark.createDataFrame([(x,) for x in [*range(n), 2000, None]], "node long")
