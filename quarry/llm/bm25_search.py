@@ -4,11 +4,14 @@ Rows are cut into shards of bounded size. A shard's index is one row of a stored
 hashes of lower-case words), postings in document order, and document lengths. Global statistics (rows,
 mean length, document frequencies of the queries' terms) come from one aggregation over all rows.
 
-Queries go by in blocks of bounded size. For a query, each shard adds up its terms' block maxima (the
-best score of the term in a block of ``BLOCK`` documents) to an upper bound of every block, and visits
+Queries go by in blocks of bounded size. For a query of few words, each shard adds up its terms' block maxima
+(the best score of the term in a block of ``BLOCK`` documents) to an upper bound of every block, and visits
 blocks from the highest bound on. As in WAND, a block is entered only while its bound can beat the k-th
-score found so far; the others' postings are never read. A shard gives its exact k best; their union, ranked,
-is exact.
+score found so far; the others' postings are never read. Such bounds add up to more than any document's score
+where a query is a long text (its common words are in every block), so a shard takes its long queries together:
+the terms that many of its documents and many queries hold are a product of two small dense matrices, all other
+terms' postings are added to it, and only documents whose sum, with the most that rounding can have taken from
+it, reaches the k-th score are scored in fixed point. A shard gives its exact k best; their union, ranked, is exact.
 
 Shards are searched in rounds, each about four times as many as all before it: a shard's level is drawn from its
 hash, and the rarest level goes first. The k-th score that a query has after a round goes along as its bound in
@@ -40,6 +43,12 @@ SHARD = 8 << 20
 QUERY_BLOCK = 1 << 21
 #: Blocks that are visited before the bound is compared again.
 _STEP = 4
+#: Terms in a shard up to which a query visits blocks by their bounds; longer ones are taken together.
+FEW = 8
+#: Sums of (query, document) that are held at once.
+_SUMS = 1 << 18
+#: A term is dense if so many (query, document) pairs of a shard, on average, have one that holds it on both sides.
+_DENSE = 512
 #: Rounds at most; level i has a 4^-i-th of the shards.
 _LEVELS = 16
 
@@ -118,6 +127,7 @@ class Shard:
         self.cell_block = of[new] % max(self.blocks, 1)
         self.cell_max = np.maximum.reduceat(self.part, new) if len(new) else np.zeros(0)
         self.term_cell = np.searchsorted(new, self.begins)
+        self.by_doc = None
 
     def search(self, terms: np.ndarray, weight: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Rows and fixed-point scores of the k best documents that hold a term and score ``floor`` or more."""
@@ -156,6 +166,71 @@ class Shard:
         return rows, scores
 
 
+    def search_all(self, begins: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`search` for many queries: query q has the terms (places in ``self.terms``, -1: not there) and weights from begins[q] on."""
+        n, docs = len(floors), len(self.ids)
+        of = np.repeat(np.arange(n), np.diff(begins))[terms >= 0]
+        weight, terms = weight[terms >= 0], terms[terms >= 0]
+        size = np.bincount(of, minlength=n)
+        at = np.concatenate([[0], np.cumsum(size)])
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * n
+        for q in np.flatnonzero((size > 0) & (size <= FEW)):
+            found[q] = self.search(self.terms[terms[at[q]:at[q + 1]]], weight[at[q]:at[q + 1]], k, floors[q])
+        many = np.flatnonzero(size > FEW)
+        if not len(many):
+            return found
+        df = np.diff(self.begins)
+        asked = np.bincount(terms[size[of] > FEW], minlength=len(df))
+        dense = np.flatnonzero(asked * df * float(_DENSE) >= len(many) * docs)
+        place = np.full(len(df), -1)
+        place[dense] = np.arange(len(dense))
+        held = np.zeros((len(dense), docs), np.float32)
+        post, row = _ranges(self.begins[dense], self.begins[dense + 1])
+        held[row, self.docs[post]] = self.part[post]
+        slack = (len(dense) + 8) * 2.0 ** -23                      # of a sum in single precision
+        step = max(1, _SUMS // docs)
+        for s in range(0, len(many), step):
+            some = many[s:s + step]
+            pick, q = _ranges(at[some], at[some + 1])
+            t, w = terms[pick], weight[pick]
+            column = place[t]
+            common = column >= 0
+            asks = np.zeros((len(some), len(dense)), np.float32)
+            asks[q[common], column[common]] = w[common]
+            t, w, q = t[~common], w[~common], q[~common]
+            post, which = _ranges(self.begins[t], self.begins[t + 1])
+            sums = np.bincount((q * docs)[which] + self.docs[post], w[which] * self.part[post], len(some) * docs).reshape(len(some), docs)
+            sums = (sums + asks @ held) * UNIT
+            lost = 0.5 * size[some] + 1                            # a fixed-point score is at most so far from the sum of its parts
+            least = np.maximum(floors[some], 1.0)
+            fit = (sums > 0) & (sums >= ((least - lost) * (1 - slack))[:, None])
+            full = np.flatnonzero(fit.sum(1) > k)
+            if len(full):
+                kth = np.partition(sums[full], docs - k, axis=1)[:, docs - k]
+                least[full] = np.maximum(least[full], kth * (1 - slack) - lost[full])
+                fit[full] &= sums[full] >= ((least - lost) * (1 - slack))[full, None]
+            for i in np.flatnonzero(fit.any(1)):
+                rows = np.flatnonzero(fit[i])
+                scores = self.scores(rows, terms[at[some[i]]:at[some[i] + 1]], weight[at[some[i]]:at[some[i] + 1]])
+                rows, scores = rows[scores >= max(floors[some[i]], 1.0)], scores[scores >= max(floors[some[i]], 1.0)]
+                best = np.lexsort((self.ids[rows], ~self.known[rows], -scores))[:k]
+                found[some[i]] = rows[best], scores[best]
+        return found
+
+    def scores(self, rows: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Fixed-point scores of some documents, from their own postings."""
+        if self.by_doc is None:
+            order = np.argsort(self.docs.astype(np.uint16) if len(self.ids) < 1 << 16 else self.docs, kind="stable")
+            of = np.repeat(np.arange(len(self.terms)), np.diff(self.begins))
+            self.by_doc = np.searchsorted(self.docs[order], np.arange(len(self.ids) + 1)), of[order], self.part[order], np.zeros(len(self.terms))
+        begins, term, part, asked = self.by_doc
+        asked[terms] = weight
+        post, of = _ranges(begins[rows], begins[rows + 1])
+        got = np.bincount(of, np.rint(UNIT * (asked[term[post]] * part[post])), len(rows))
+        asked[terms] = 0
+        return got
+
+
 def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges [a, b), and the range of each."""
     n = b - a
@@ -165,12 +240,17 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _search(queries, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, begins, terms, weights, floors = queries.value
+        ids, begins, words, terms, weights, floors = queries.value    # a query's terms are places in the sorted words
         floors = floors.copy()                                    # and what this task's shards have raised them to
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard([batch.column(c)[i].as_buffer() for c in _BLOBS], mean)
-                found = [shard.search(terms[a:b], weights[a:b], k, f) for a, b, f in zip(begins[:-1], begins[1:], floors)]
+                at = np.searchsorted(words, shard.terms)
+                here = at < len(words)
+                here[here] = words[at[here]] == shard.terms[here]
+                place = np.full(len(words), -1)
+                place[at[here]] = np.flatnonzero(here)
+                found = shard.search_all(begins, place[terms], weights, k, floors)
                 for q, (_, scores) in enumerate(found):
                     if len(scores) == k:
                         floors[q] = max(floors[q], scores.min())
@@ -209,9 +289,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         mine = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id", "term").toArrow()
         q, t, w = (mine.column(c).to_numpy() for c in ("query_id", "term", "weight"))
         ids, begins = np.unique(q, return_index=True)
-        t, floors, top = t.view(np.uint64), np.zeros(len(ids)), None
+        asked_words, t = np.unique(t.view(np.uint64), return_inverse=True)
+        t, floors, top = t.astype(np.int32), np.zeros(len(ids)), None
         for level in levels:
-            sent = spark.sparkContext.broadcast((ids, np.append(begins, len(q)), t, w, floors))
+            sent = spark.sparkContext.broadcast((ids, np.append(begins, len(q)), asked_words, t, w, floors))
             shards = index.where(F.col("level") == level).drop("level")
             got = stored(shards.mapInArrow(_search(sent, k, (words or 0) / max(n or 0, 1) or 1.0), schema), "bm25-found")
             sent.unpersist()

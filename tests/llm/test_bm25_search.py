@@ -110,3 +110,33 @@ def test_bound_of_earlier_rounds():
     some, high = shard.search(term, weight, 10, floor)
     assert set(some) == set(rows[scores >= floor]) and (high >= floor).all() and len(some) >= 4
     assert len(shard.search(term, weight, 10, scores.max() + 1)[0]) == 0
+
+
+def test_long_queries_are_taken_together(make_docs):
+    """Many long queries of one shard: the rows and scores of the visits by bounds, from far fewer postings."""
+    import numpy as np
+    import pyarrow as pa
+    from quarry.llm.bm25_search import Shard
+    rng = np.random.default_rng(4)
+    chance = 1 / np.arange(1, 2001)
+    texts = [" ".join(f"w{j}" for j in rng.choice(2000, 120, p=chance / chance.sum())) for _ in range(640)]
+    (blobs,) = bm25_search._index(iter([pa.RecordBatch.from_arrays([pa.array(range(640)), pa.array(texts)], ["doc_id", "text"])]))
+    row, term, tf, _ = bm25_search._counted(pa.RecordBatch.from_arrays([pa.array(texts[:64] + ["w1999 w5"])], ["text"]))
+    begins, weight = np.searchsorted(row, np.arange(66)), tf * rng.uniform(0.1, 9, len(tf))
+    shard = Shard([blobs.column(c)[0].as_buffer() for c in bm25_search._BLOBS], 120.0)
+    place = np.searchsorted(shard.terms, term)
+    floors, products = np.zeros(65), np.diff(shard.begins)[place].sum()
+    for _ in range(2):
+        want = [shard.search(term[a:b], weight[a:b], 10, f) for a, b, f in zip(begins[:-1], begins[1:], floors)]
+        read = []
+
+        class Spy(np.ndarray):
+            def __getitem__(self, at):
+                read.append(np.size(at))
+                return np.asarray(self).__getitem__(at)
+        part, shard.part = shard.part, shard.part.view(Spy)
+        got = shard.search_all(begins, place, weight, 10, floors)
+        shard.part = part
+        assert all(dict(zip(*g)) == dict(zip(*w)) for g, w in zip(got, want, strict=True))
+        assert sum(read) < products / 4
+        floors = np.array([s.min() if len(s) == 10 else 0.0 for _, s in got])
