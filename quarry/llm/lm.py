@@ -6,15 +6,15 @@ or 5 classes, and the word so far), hold the log odds of every decision, learned
 documents: every (context, class) cell that occurs is counted by itself, under the whole context (the
 last classes, 9 bits each) or a 52-bit hash of the word so far. So the model grows with the training text.
 
-The model is nowhere in one place. Texts are dealt into parts of about ``LOOP`` bytes. A part gives its
+The model is nowhere in one place. Texts are dealt into parts of about ``DEAL`` bytes. A part gives its
 distinct cells with their training counts; the cells meet by context in as many buckets as there are
-parts, where the counts are added up and become odds; and each part gets back the odds of its own cells.
+parts, where the counts are added up and become odds; and each part gets back the odds of its own cells,
+without the cells: it finds them again, in the same order.
 
 Scoring is online: the predictors' odds are mixed by weights that a gate (the depth in the tree) selects,
 the mix is refined by an adaptive probability map, and weights and map learn from every bit as it is
 coded. Weights and maps start afresh with every text, so its score does not depend on the rows beside it,
-and go on to its end. The texts of a part are the lanes of one vectorised loop; they are of like length, so
-long texts run beside long ones. All of every text is coded; the sum is the log probability of the text
+and go on to its end. Texts of a part of like length, about ``LOOP`` bytes, are the lanes of one vectorised loop. All of every text is coded; the sum is the log probability of the text
 under a proper distribution.
 
 Beside it stands the unigram base score: words by 64-bit hash, training counts by a grouped sum. The
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, forget, id_and_text, mix64, slices, small_batches, stored, text_buffer
+from .common import crc_mod, id_and_text, mix64, slices, small_batches, stored, text_buffer
 from .minhash_dedup import word_hashes
 
 #: The end and all bytes.
@@ -44,6 +44,8 @@ CLASSES = 257
 CONTEXTS = [2, 3, 5, 0]
 #: Symbols after which weights and maps start afresh: more than any text has.
 SEGMENT = 1 << 62
+#: Bytes of text of a part, about: its distinct cells cross the network twice.
+DEAL = 16 << 20
 #: Bytes of text that a worker codes in one loop (one text at least), about.
 LOOP = 6 << 20
 #: Bytes of text whose decisions are looked up together.
@@ -79,8 +81,12 @@ _END = np.uint64(0x656E64)    # the end token's place among the word hashes
 
 
 def _added(got):
-    words, at = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
-    return words, np.bincount(at, np.concatenate([n for _, n in got]), len(words)).astype(np.int64)
+    words = np.concatenate([w for w, _ in got])
+    order = np.argsort(words)
+    words = words[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(words), 1), bool), words[1:] != words[:-1]]))
+    n = np.concatenate([n for _, n in got])[order]
+    return words[new], np.add.reduceat(n, new).astype(np.int64) if len(new) else np.zeros(0, np.int64)
 
 
 # ---------------------------------------------------------------- symbols and contexts
@@ -272,7 +278,8 @@ def _decisions(model: Model, table: Found, buf: np.ndarray, offsets: np.ndarray)
     odds = np.empty((past[-1], len(CONTEXTS)), np.int8)
     leaf = a.leaf[sym]
     for k, row in enumerate(_rows(sym, begin, model.white)):
-        at = np.repeat(table.begin[np.searchsorted(table.cells, row << _LEAF | leaf)] - past[:-1], count)
+        some, which = np.unique(row << _LEAF | leaf, return_inverse=True)      # sorted, so that the search goes through memory once
+        at = np.repeat(table.begin[np.searchsorted(table.cells, some)][which] - past[:-1], count)
         at += np.arange(past[-1])
         odds[:, k] = table.flat.take(at)
     at = past[begin]
@@ -346,6 +353,32 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1))
 
 
+def _packed_counts(n: np.ndarray) -> bytes:
+    """Counts as a byte each, those of 255 and more whole behind them, deflated."""
+    return zlib.compress(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes(), 1)
+
+
+def _unpacked_counts(data: bytes, many: int) -> np.ndarray:
+    data = zlib.decompress(data)
+    n = np.frombuffer(data, np.uint8, many).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, np.int64, offset=many)
+    return n
+
+
+def _bucket_order(cells: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each cell's context, and the order by bucket."""
+    of = (mix64((cells >> _LEAF).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    return of, np.argsort(of, kind="stable")
+
+
+def _sides(alphabet: Alphabet, cells: np.ndarray) -> np.ndarray:
+    """1 or -1 for all decisions of each of the cells: with it, odds speak for what follows, and are alike within a cell."""
+    symbol = alphabet.symbol[cells & (1 << _LEAF) - 1]
+    n = alphabet.length[symbol]
+    path = np.repeat(alphabet.begin[symbol] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return ((alphabet.meta[path] & 1).astype(np.int8) << 1) - np.int8(1)
+
+
 def _part_cells(alphabet: Alphabet, white: np.ndarray, buckets: int):
     """A part's distinct cells and how often each occurs in its training rows, a row a bucket of contexts."""
     def run(key: tuple, texts: pa.Table) -> pa.Table:
@@ -353,12 +386,11 @@ def _part_cells(alphabet: Alphabet, white: np.ndarray, buckets: int):
         learned, n = _cells(alphabet, white, *text_buffer(texts.column("text").filter(pc.invert(held))))
         asked, _ = _cells(alphabet, white, *text_buffer(texts.column("text").filter(held)))
         cells, n = _added([(learned, n), (asked, np.zeros(len(asked), np.int64))])
-        of = (mix64((cells >> _LEAF).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(of, kind="stable")
+        of, order = _bucket_order(cells, buckets)
         some, first = np.unique(of[order], return_index=True)
         pieces = np.split(order, first[1:])
         return pa.table({"part": pa.array([key[0].as_py()] * len(some), pa.int32()), "bucket": some,
-                         "cells": pa.array([_packed(cells[x]) for x in pieces], pa.binary()), "n": pa.array([_packed(n[x]) for x in pieces], pa.binary())})
+                         "cells": pa.array([_packed(cells[x]) for x in pieces], pa.binary()), "n": pa.array([_packed_counts(n[x]) for x in pieces], pa.binary())})
     return run
 
 
@@ -367,26 +399,32 @@ def _bucket_odds(alphabet: Alphabet):
     def run(rows: pa.Table) -> pa.Table:
         given = [_unpacked(x) for x in rows.column("cells").to_pylist()]
         cells, at = np.unique(np.concatenate(given), return_inverse=True)
-        n = np.bincount(at, np.concatenate([_unpacked(x) for x in rows.column("n").to_pylist()]), len(cells)).astype(np.int64)
+        n = np.bincount(at, np.concatenate([_unpacked_counts(x, len(g)) for x, g in zip(rows.column("n").to_pylist(), given)]), len(cells)).astype(np.int64)
         f = Counts(alphabet, cells[n > 0], n[n > 0]).found(cells)
-        odds = []
+        flat, odds = f.flat * _sides(alphabet, cells), []
         for x in np.split(at, np.cumsum([len(g) for g in given])[:-1]):
             count = np.diff(f.begin)[x]
-            odds.append(zlib.compress(f.flat[np.repeat(f.begin[x] - np.cumsum(count) + count, count) + np.arange(count.sum())].tobytes(), 1))
-        return pa.table({"part": rows.column("part"), "cells": rows.column("cells"), "odds": pa.array(odds, pa.binary())})
+            odds.append(zlib.compress(flat[np.repeat(f.begin[x] - np.cumsum(count) + count, count) + np.arange(count.sum())].tobytes(), 1))
+        return pa.table({"part": rows.column("part"), "bucket": rows.column("bucket"), "odds": pa.array(odds, pa.binary())})
     return run
 
 
-def _score(alphabet: Alphabet, white: np.ndarray, common):
+def _score(alphabet: Alphabet, white: np.ndarray, common, buckets: int):
     def run(key: tuple, t: pa.Table, odds: pa.Table) -> pa.Table:
         words, counts = common.value
-        cells = np.concatenate([_unpacked(x) for x in odds.column("cells").to_pylist()])
-        flat = np.frombuffer(b"".join(zlib.decompress(x) for x in odds.column("odds").to_pylist()), np.int8)
-        count = alphabet.length[alphabet.symbol[cells & (1 << _LEAF) - 1]]
-        order = np.argsort(cells)
-        table = Found(cells[order], (np.cumsum(count) - count)[order], flat)
+        t = t.take(pc.sort_indices(pc.binary_length(t.column("text"))))
         buf, offsets = text_buffer(t.column("text"))
-        score = _code(Model(alphabet, white, table), buf, offsets)
+        cells, _ = _cells(alphabet, white, buf, offsets)
+        _, order = _bucket_order(cells, buckets)
+        flat = np.frombuffer(b"".join(zlib.decompress(x) for x in odds.sort_by("bucket").column("odds").to_pylist()), np.int8)
+        count = alphabet.length[alphabet.symbol[cells[order] & (1 << _LEAF) - 1]]
+        if len(flat) != count.sum():
+            raise RuntimeError("the odds are not those of this part's texts: the rows were dealt anew")
+        begin = np.empty(len(cells), np.int64)
+        begin[order] = np.cumsum(count) - count
+        model = Model(alphabet, white, Found(cells, begin, flat * _sides(alphabet, cells[order])))
+        score = np.concatenate([_code(model, buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]) for i, j in _stretches(offsets, LOOP)])
+        del model, cells, flat, begin, order
         h, at = word_hashes(buf, offsets)
         n = np.diff(at)
         doc = np.repeat(np.arange(len(n)), n)
@@ -404,25 +442,28 @@ def _score(alphabet: Alphabet, white: np.ndarray, common):
 
 
 def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows, stored, with the part of each: texts of like length, about LOOP bytes a part; and the number of parts."""
+    """The rows with the part of each: texts of like length, about DEAL bytes a part; and the number of parts.
+
+    Not stored: one exchange by part serves both passes over the texts.
+    """
     size = F.octet_length("text") + 1
     kind = F.floor(F.log2(size) * 4).cast("int")
     sizes = rows.groupBy(kind.alias("kind")).agg(F.sum(size).alias("n")).orderBy(F.desc("kind")).collect()
     first, many, parts, i = [], [], 0, 0
     while i < len(sizes):
         j, n = i, 0
-        while j < len(sizes) and n < LOOP:
+        while j < len(sizes) and n < DEAL:
             n += sizes[j].n
             j += 1
         for r in sizes[i:j]:
             first += [F.lit(r.kind), F.lit(parts)]
-            many += [F.lit(r.kind), F.lit(-(-n // LOOP))]
-        parts += -(-n // LOOP)
+            many += [F.lit(r.kind), F.lit(-(-n // DEAL))]
+        parts += -(-n // DEAL)
         i = j
     if not parts:
-        return stored(rows.withColumn("part", F.lit(0)), "lm-texts"), 1
+        return rows.withColumn("part", F.lit(0)), 1
     nth = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(F.create_map(*many), kind))
-    return stored(rows.withColumn("part", (F.element_at(F.create_map(*first), kind) + nth).cast("int")), "lm-texts"), parts
+    return rows.withColumn("part", (F.element_at(F.create_map(*first), kind) + nth).cast("int")), parts
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -448,10 +489,9 @@ def score(docs: DataFrame) -> DataFrame:
     alphabet, white = _alphabet(learned.select("text"))
     texts, parts = _dealt(rows.select("doc_id", "held_out", "text"))
     cells = texts.groupBy("part").applyInArrow(_part_cells(alphabet, white, parts), "part int, bucket long, cells binary, n binary")
-    odds = cells.groupBy("bucket").applyInArrow(_bucket_odds(alphabet), "part int, cells binary, odds binary")
+    odds = cells.groupBy("bucket").applyInArrow(_bucket_odds(alphabet), "part int, bucket long, odds binary")
     done = stored(texts.groupBy("part").cogroup(odds.groupBy("part")).applyInArrow(
-        _score(alphabet, white, common), "key long, doc_id long, held_out boolean, n_tokens long, bytes long, known long, logs double, score double, rare array<long>"), "lm-scores")
-    forget(texts)
+        _score(alphabet, white, common, parts), "key long, doc_id long, held_out boolean, n_tokens long, bytes long, known long, logs double, score double, rare array<long>"), "lm-scores")
     common.unpersist()
     rest = (done.select("key", F.explode("rare").alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
             .join(counts, "word").groupBy("key").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more_logs")))

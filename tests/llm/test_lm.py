@@ -156,3 +156,28 @@ def test_one_adaptive_pass_a_text(spark, sf):
             w[g] = [p0 + lm._RATE * (bit - p) * x0 for p0, x0 in zip(w[g], x)]
     got = lm._code(model, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
     assert abs(got - total) < 2e-4 * abs(total)
+
+
+def test_what_crosses_the_network_is_small(spark, make_docs, monkeypatch):
+    """Two parts in four buckets: under 5 bytes a cell to the buckets, under 4 back, and the odds of the model of one place."""
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 900)) for _ in range(24)] + ["", "a" * 4000]
+    model = train(make_docs(list(enumerate(texts))))
+    parts = [pa.table({"text": texts[i::2], "held_out": [False] * 13}) for i in range(2)]
+    sent = [lm._part_cells(model.alphabet, model.white, 4)((pa.scalar(i),), t) for i, t in enumerate(parts)]
+    n = sum(len(lm._cells(model.alphabet, model.white, *lm.text_buffer(t.column("text")))[0]) for t in parts)
+    assert sum(len(x) for t in sent for c in ("cells", "n") for x in t.column(c).to_pylist()) < 5 * n
+    rows = pa.concat_tables(sent)
+    back = pa.concat_tables([lm._bucket_odds(model.alphabet)(rows.filter(pa.compute.equal(rows.column("bucket"), b))) for b in range(4)])
+    assert "cells" not in back.column_names and sum(map(len, back.column("odds").to_pylist())) < 4 * n
+
+    class Common:
+        value = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    monkeypatch.setattr(lm, "LOOP", 20_000)
+    for i, t in enumerate(parts):
+        t = t.append_column("doc_id", pa.array(range(i, 26, 2)))
+        got = lm._score(model.alphabet, model.white, Common, 4)((pa.scalar(i),), t, back.filter(pa.compute.equal(back.column("part"), i)))
+        want = lm._code(model, *lm.text_buffer(t.column("text")))
+        assert np.allclose([s for _, s in sorted(zip(got.column("doc_id").to_pylist(), got.column("score").to_pylist()))], want, rtol=1e-6)
