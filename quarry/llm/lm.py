@@ -53,7 +53,7 @@ LANES = 2000
 #: Bytes of text whose contexts are made together.
 PART = 1 << 17
 #: Decisions of all lanes that are laid out together, about.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 #: Words whose counts every worker gets: 16 bytes each.
 COMMON = 1 << 18
 _SCALE = 12.0            # table steps of the log odds
@@ -330,10 +330,12 @@ class _Lanes:
         """As :func:`_row`, for the next ``many`` symbols of each of the first ``k`` lanes, at ``at``."""
         sym = self.sym[at]
         place = at - np.repeat(self.begin[:k], many)
+        early = bool((place < max(CONTEXTS)).any())                                            # some text's first symbols are here
         out, ctx = {}, np.zeros(len(at), np.int64)
         for b in range(1, max(CONTEXTS) + 1):
             back = self.sym.take(at - b, mode="clip").astype(np.int64)
-            back[place < b] = 0
+            if early:
+                back[place < b] = 0
             back <<= _LEAF * (b - 1)
             ctx |= back
             if b in CONTEXTS:

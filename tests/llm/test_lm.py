@@ -181,3 +181,31 @@ def test_what_crosses_the_network_is_small(spark, make_docs, monkeypatch):
         got = lm._score(model.alphabet, model.white, Common, 4)((pa.scalar(i),), t, back.filter(pa.compute.equal(back.column("part"), i)))
         want = lm._code(model, *lm.text_buffer(t.column("text")))
         assert np.allclose([s for _, s in sorted(zip(got.column("doc_id").to_pylist(), got.column("score").to_pylist()))], want, rtol=1e-6)
+
+
+def test_a_part_takes_little_memory(spark, make_docs):
+    """A worker holds less than 30 bytes for each byte of its part's texts at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, rng.integers(100, 500))) for _ in range(2500)]
+    n = sum(map(len, texts))
+    model = train(make_docs(list(enumerate(texts[:50]))))
+    part = pa.table({"doc_id": range(len(texts)), "text": texts, "held_out": [i % 7 == 2 for i in range(len(texts))]})
+
+    class Common:
+        value = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1] / n
+        finally:
+            tracemalloc.stop()
+    sent, most = peak(lambda: lm._part_cells(model.alphabet, model.white, 1)((pa.scalar(0),), part))
+    assert most < 30
+    back = lm._bucket_odds(model.alphabet)(sent)
+    got, most = peak(lambda: lm._score(model.alphabet, model.white, Common, 1)((pa.scalar(0),), part, back))
+    assert most < 30 and got.num_rows == len(texts)
