@@ -78,3 +78,12 @@ def test_components_of_a_long_chain(spark, monkeypatch, few):
     nodes = spark.createDataFrame([(x,) for x in [*range(n), 2000, None]], "node long")
     got = graph.connected(nodes, spark.createDataFrame(links, "a long, b long"), rounds=30).collect()
     assert sorted(map(tuple, got)) == sorted([(i, 0) for i in range(n)] + [(1000, 1000), (1001, 1000), (2000, 2000)])
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    # a hub comes before all of its leaves in few rounds only; it must not lose one leaf a round
+    monkeypatch.setattr(graph, "FEW", 0)
+    links = [(1000 * h + i, 1000 * h) for h in (1, 2) for i in range(1, 400)] + [(None, 2000), (7, 7)]
+    nodes = spark.createDataFrame([(a,) for a, _ in links], "node long")
+    got = graph.connected(nodes, spark.createDataFrame(links, "a long, b long"), rounds=9).collect()
+    assert sorted(map(tuple, got)) == [(7, 7), *[(1000 * h + i, 1000 * h) for h in (1, 2) for i in range(400)]]
