@@ -87,3 +87,13 @@ def test_components_of_hubs(spark, monkeypatch):
     nodes = spark.createDataFrame([(a,) for a, _ in links], "node long")
     got = graph.connected(nodes, spark.createDataFrame(links, "a long, b long"), rounds=9).collect()
     assert sorted(map(tuple, got)) == [(7, 7), *[(1000 * h + i, 1000 * h) for h in (1, 2) for i in range(400)]]
+
+
+def test_components_of_a_large_supplier(spark, monkeypatch, tmp_path):
+    from quarry.plans import corpus
+    monkeypatch.setattr(graph, "FEW", 0)
+    monkeypatch.setattr(graph, "connected", lambda n, e, f=graph.connected: f(n, e, rounds=9))
+    rows = [(i, 1, 50.0) for i in range(400)] + [(400, 1, 49.0), (500, 2, 50.0), (500, 2, 50.0), (None, 2, 50.0), (3, None, 50.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = corpus.components(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [*[(i, 0) for i in range(400)], (500, 500), (10**9 + 1, 0), (10**9 + 2, 500)]
