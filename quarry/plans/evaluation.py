@@ -227,12 +227,12 @@ def final_summary(spark, sf):
     """The summary of the end-to-end run beside its configuration and mean stemmed ROUGE-1, each answer against its
     best gold."""
     from quarry.functions.stem import stem_tokens
-    from quarry.plans.pipeline import evaluate, rag_eval
+    from quarry.plans.pipeline import evaluate, scored
     from quarry.plans.retrieval import THRESHOLD, TOP_K as k
-    results = rag_eval(spark, sf)
+    results = written(scored(evaluate(spark, sf), F.col("answer").alias("targets")), "rag-results")      # of one run, with its golds
     n = table(spark, sf, "benchmark").count()
-    golds = evaluate(spark, sf).select(F.col("query_id").alias("id"), F.col("answer").alias("targets"))
-    pairs = results.where("status <> 'error'").join(golds, "id").select("id", F.col("long_answer").alias("prediction"), "targets")
+    golds = results.select("id", "targets")
+    pairs = results.where("status <> 'error'").drop("targets").join(golds, "id").select("id", F.col("long_answer").alias("prediction"), "targets")
     r = M.rouge_avg(M.rouge_multi(pairs, stemmer=stem_tokens)).select(*[F.round(c, 6).alias(f"rouge1_{c}") for c in ("precision", "recall", "fmeasure")])
     s = M.summary(results, n)
     return s.crossJoin(r).select(F.lit(f"top_k={k};threshold={THRESHOLD}").alias("configuration"), "dataset_size", "processed_items", "n_failed",

@@ -24,7 +24,7 @@ PAGE_HITS = 10
 
 
 def items(spark, sf):
-    first = F.element_at(A.sentences(F.col("text")), 1)
+    first = F.try_element_at(A.sentences(F.col("text")), F.lit(1))             # null where a text has no sentence
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), first.alias("query")).where("query is not null")
     b = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") * 7).alias("vec_id"), F.col("text").alias("passage"))
     gold = F.when(F.col("item_id") % 3 == 0, F.array("passage", "query")).otherwise(F.array("passage"))
@@ -32,8 +32,8 @@ def items(spark, sf):
 
 
 def evaluate(spark, sf):
-    """One row an item: status, answers and matches, from one plan."""
-    q = items(spark, sf)
+    """One row an item: status, answers and matches."""
+    q = written(items(spark, sf), "rag-items")                                 # read by many branches; the documents are cut once
     emb = table(spark, sf, "embeddings")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     asked = q.where("query_id % 10 <> 9").select("query_id", "vec_id").join(emb.select("vec_id", "embedding"), "vec_id")
@@ -52,14 +52,19 @@ def evaluate(spark, sf):
 
 
 def rag_eval(spark, sf):
-    e = T.with_nfd(evaluate(spark, sf), {"_nfd_long": "long_answer", "_nfd_gold": "answer"})
+    return scored(evaluate(spark, sf))
+
+
+def scored(e, *more):
+    """The result rows of :func:`evaluate`, with ``more`` of its columns."""
+    e = T.with_nfd(e, {"_nfd_long": "long_answer", "_nfd_gold": "answer"})
     ok = F.col("n_hits") > 0
     return e.select(
         F.col("query_id").alias("id"), F.when(ok, R.status(F.col("relevancy_score"))).otherwise("error").alias("status"),
         F.when(ok, F.lower(T.strip(F.col("long_answer")))).alias("long_answer"), F.when(ok, F.lower(T.strip(F.col("short_answer")))).alias("short_answer"),
         F.when(ok, T.single_ans_em(F.col("short_answer"), F.col("answer"))).alias("is_exact_match"),
         F.when(ok, T.has_correct_answer(F.col("_nfd_long"), F.col("_nfd_gold"))).alias("is_substring_match"),
-        F.md5(R.attributed_context(F.col("relevant_text"), F.col("search_text"))).alias("context_md5"))
+        F.md5(R.attributed_context(F.col("relevant_text"), F.col("search_text"))).alias("context_md5"), *more)
 
 
 def _sql():
