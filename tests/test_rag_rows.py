@@ -22,3 +22,9 @@ def made(spark, tmp_path_factory):
 def test_final_summary_of_texts_without_sentences(spark, made):
     r = evaluation.final_summary(spark, made).collect()[0]
     assert (r.dataset_size, r.processed_items, r.n_failed) == (10, 2, 1) and 0 < r.rouge1_fmeasure <= 1
+
+
+def test_rag_eval_of_texts_without_sentences(spark, made):
+    got = {r.id: r for r in pipeline.rag_eval(spark, made).collect()}
+    assert {i: r.status for i, r in got.items()} == {0: "correct", 1: "correct", 9: "error"}
+    assert got[0].long_answer == "the red fox runs." and got[0].is_exact_match == 1 and got[9].long_answer is None
