@@ -14,10 +14,10 @@ whose ball (centre and radius) cannot reach it is not scored for that query. A c
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from quarry.sources.tables import written
 
@@ -31,6 +31,8 @@ _Q_CHUNK = 1024
 _V_CHUNK = 4096
 # Vectors of the sample that a cell's centre is the mean of, on average.
 _SAMPLE = 64
+# Bytes, as they travel, of a block of queries and of a strip of vectors that meet in one task of ``ann``.
+ANN_BYTES = 32 << 20
 
 METRICS = ("cosine", "dot", "l2")
 
@@ -236,20 +238,24 @@ def closeness(distance: Column) -> Column:
 
 def ann(vectors: DataFrame, queries: DataFrame, k: int, *, cells: int = 64, probes: int = 8, vec_id: str = "vec_id",
         vec_col: str = "embedding", query_id: str = "query_id", query_col: str = "embedding", exclude_self: bool = False,
-        split: int = 20_000) -> DataFrame:
+        split: int | None = None, block_bytes: int = ANN_BYTES, strip_bytes: int = ANN_BYTES) -> DataFrame:
     """V6: approximate top-k by cosine -> (query_id, vec_id, score, rank).
 
     ``cells`` centres (means of a bounded sample, the vectors of the lowest hash) cut the table into cells by the
     nearest centre; every vector is indexed. A query is compared exactly with all vectors of its
-    ``probes`` nearest cells; with ``probes = cells`` the result is exact. Cells are dealt into parts of
-    about ``split`` vectors, and vectors meet queries in a shuffle: neither side is broadcast or collected.
+    ``probes`` nearest cells; with ``probes = cells`` the result is exact. Vectors are dealt into strips and queries into
+    blocks of about ``strip_bytes`` (or ``split`` vectors) and ``block_bytes``, whatever their cells, and each pair of them meets in one task: a query is
+    sent once a strip with the numbers of its cells, not once a cell. Neither side is broadcast or collected.
     Queries search the vectors of their own length, which have centres of their own.
     """
-    v = vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(vec_col).cast("array<double>").alias("vec")).where("vec is not null")
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col).cast("array<double>").alias("qvec")).where("qvec is not null")
+    kind = lambda df, col: "float" if df.schema[col].dataType.elementType == FloatType() else "double"  # noqa: E731 - floats travel as they are
+    vk, qk = kind(vectors, vec_col), kind(queries, query_col)
+    v = vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(vec_col).cast(f"array<{vk}>").alias("vec")).where("vec is not null")
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_col).cast(f"array<{qk}>").alias("qvec")).where("qvec is not null")
     out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     for dim in sorted(r.dim for r in q.select(F.size("qvec").alias("dim")).distinct().collect() if r.dim):
-        out = out.union(_ann_of_length(v.where(F.size("vec") == dim), q.where(F.size("qvec") == dim), dim, k, cells, probes, exclude_self, split))
+        out = out.union(_ann_of_length(v.where(F.size("vec") == dim), q.where(F.size("qvec") == dim), dim, k, cells, probes, exclude_self,
+                                       split, block_bytes, strip_bytes))
     return out
 
 
@@ -265,52 +271,78 @@ def _centres(m: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def _ann_of_length(v: DataFrame, q: DataFrame, dim: int, k: int, cells: int, probes: int, exclude_self: bool, split: int) -> DataFrame:
+def _ann_of_length(v: DataFrame, q: DataFrame, dim: int, k: int, cells: int, probes: int, exclude_self: bool,
+                   split: int | None, block_bytes: int, strip_bytes: int) -> DataFrame:
     """:func:`ann` for vectors (vid, vec) and queries (qid, qvec) of one length."""
     sample = [r.vec for r in v.orderBy(F.xxhash64("vid"), "vid").select("vec").limit(cells * _SAMPLE).collect()]
     if not sample:
         return v.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    c = _centres(np.nan_to_num(_prepare(np.array(sample), "cosine")), cells)
+    c = _centres(np.nan_to_num(_prepare(np.array(sample, dtype=np.float64), "cosine")), cells)
 
-    def nearest(m: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-(np.nan_to_num(_prepare(m, "cosine")) @ c.T), axis=1, kind="stable")[:, :n]
-
-    def assign(n, name):
+    def assign(n):
         def run(batches):
             for b in batches:
                 valid, m = _vectors_from_arrow(b.column(1), dim)
                 if len(m):
-                    cell = nearest(m, n)
+                    cell = np.argsort(-(np.nan_to_num(_prepare(m, "cosine")) @ c.T), axis=1, kind="stable")[:, :n].astype(np.int32)
                     part = b.filter(pa.array(valid))
-                    row = np.repeat(np.arange(len(m)), cell.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1).astype(np.int32)), part.column(0).take(pa.array(row)),
-                                                      part.column(1).take(pa.array(row))], ["cell", name, "vec" if name == "vid" else "qvec"])
+                    ends = pa.array(np.arange(len(cell) + 1, dtype=np.int32) * cell.shape[1])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(cell.reshape(-1)))], [*part.schema.names, "cells"])
         return run
-    vc = v.mapInArrow(assign(1, "vid"), "cell int, vid long, vec array<double>")
-    qc = q.mapInArrow(assign(probes, "qid"), "cell int, qid long, qvec array<double>")
-    parts = 1 + v.count() // split                             # a cell has its share of a third at most split so
-    vc = vc.withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts)).cast("int"))
-    qc = qc.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def search(key: tuple, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(qs) and len(vs):
-            vm, vid = _prepare(np.array(vs["vec"].tolist()), "cosine"), vs["vid"].to_numpy()
-            for s in range(0, len(qs), _Q_CHUNK):
-                some = qs.iloc[s:s + _Q_CHUNK]
-                sc = np.nan_to_num(_prepare(np.array(some["qvec"].tolist()), "cosine") @ vm.T, nan=-np.inf)
-                if exclude_self:
-                    sc[some["qid"].to_numpy()[:, None] == vid[None]] = -np.inf
-                for row, one in zip(some["qid"], sc):
-                    best = np.lexsort((vid, -one))[:k]
-                    best = best[np.isfinite(one[best])]
-                    out.append(pd.DataFrame({"query_id": row, "vec_id": vid[best], "score": one[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    got = qc.groupBy("cell", "part").cogroup(vc.groupBy("cell", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
+
+    def assigned(df, n, names):
+        return df.mapInArrow(assign(n), f"{names[0]} long, {names[1]} {df.schema[names[1]].dataType.simpleString()}, cells array<int>")
+    nv, nq = v.count(), q.count()
+    wide = lambda df, col: dim * (4 if df.schema[col].dataType.elementType == FloatType() else 8)
+    strips = 1 + (nv // split if split else nv * wide(v, "vec") // strip_bytes)
+    blocks = max(1 + nq * wide(q, "qvec") // block_bytes, min(nq // _MIN_BLOCK, -(-v.sparkSession.sparkContext.defaultParallelism // strips)))
+    dealt = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    vc = assigned(v, 1, ("vid", "vec")).withColumn("strip", dealt("vid", strips)).withColumn("block", every(blocks))
+    qc = assigned(q, probes, ("qid", "qvec")).withColumn("block", dealt("qid", blocks)).withColumn("strip", every(strips))
+
+    def search(key: tuple, qs: pa.Table, vs: pa.Table) -> pa.Table:
+        row, vid, score = _search_cells(qs, vs, dim, k, len(c), exclude_self)
+        return pa.table([qs.column("qid").combine_chunks().take(pa.array(row)), vid, pa.array(score)], names=["query_id", "vec_id", "score"])
+    got = qc.groupBy("block", "strip").cogroup(vc.groupBy("block", "strip")).applyInArrow(search, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _search_cells(qs: pa.Table, vs: pa.Table, dim: int, k: int, cells: int, exclude_self: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(query row, vec_id, score): of each query (qid, qvec, cells) the k best vectors (vid, vec, cells) of its cells, ties to the smaller id, null last."""
+    flat = lambda t, col: np.asarray(t.column(col).combine_chunks().flatten().to_numpy(zero_copy_only=False))
+    unit = lambda t, col: _prepare(flat(t, col).astype(np.float64).reshape(len(t), dim), "cosine")
+    if not (len(qs) and len(vs)):
+        return np.zeros(0, np.int64), pa.array([], pa.int64()), np.zeros(0)
+    ids = lambda t, col: (np.asarray(t.column(col).combine_chunks().fill_null(0).to_numpy()), np.asarray(t.column(col).combine_chunks().is_valid()))
+    (vid, known), (qid, named) = ids(vs, "vid"), ids(qs, "qid")
+    names = np.unique(vid[known])                                              # ids by their place, a null id comes after all
+    place = np.where(known, np.searchsorted(names, vid), len(names))
+    own = np.searchsorted(names, qid)
+    own = np.where(named & np.isin(qid, names), own, -1)
+    v, cell = unit(vs, "vec"), flat(vs, "cells")
+    some = np.flatnonzero(np.isfinite(v).all(axis=1))
+    some = some[np.argsort(cell[some], kind="stable")]
+    v, place, cell = v[some], place[some], cell[some]
+    starts = np.searchsorted(cell, np.arange(cells + 1))
+    asks = flat(qs, "cells").reshape(len(qs), -1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for c0 in range(0, len(qs), _Q_CHUNK):
+        q = unit(qs.slice(c0, _Q_CHUNK), "qvec")
+        fine = np.isfinite(q).all(axis=1)
+        least, best = np.full(len(q), -np.inf), out[0]
+        for at in np.flatnonzero(np.diff(starts)):
+            live = np.flatnonzero(fine & (asks[c0:c0 + _Q_CHUNK] == at).any(axis=1))
+            for r0 in range(starts[at], starts[at + 1], _V_CHUNK) if len(live) else ():
+                chunk = slice(r0, min(r0 + _V_CHUNK, starts[at + 1]))
+                row, col, sc = reaching(q[live] @ v[chunk].T, least[live], k, place[chunk], own[c0:c0 + _Q_CHUNK][live] if exclude_self else None)
+                best, least = merged(best, live[row], place[chunk][col], sc, k, least)
+        out.append((best[0] + c0, best[1], best[2]))
+    row, at, score = (np.concatenate([o[i] for o in out]) for i in range(3))
+    return row, pa.array(names, pa.int64()).take(pa.array(at, pa.int64(), mask=at == len(names))), score
+
+
 def top_parents(hits: DataFrame, child_parent: DataFrame, k: int, *, child_id: str = "vec_id",
                 parent_id: str = "parent_id") -> DataFrame:
     """Walk each query's ranked children, keep the first hit per parent with that

@@ -118,3 +118,43 @@ def test_threshold_prunes_chunks(monkeypatch):
 def test_closeness(spark):
     r = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "d double").select(V.closeness(F.col("d")).alias("s")).collect()
     assert [round(x.s, 6) for x in r] == [1.0, 0.367879, 0.018316]
+
+
+def shuffled_rows(df):
+    """Rows that a frame's exchanges wrote, after it was collected."""
+    def of(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return of(p.executedPlan())
+        own = p.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        below = [p.plan()] if name.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        return own + sum(map(of, below))
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_ann_sends_a_query_once_a_strip(spark):
+    """Not once a probed cell: what is shuffled does not grow with the probes."""
+    rng = np.random.default_rng(2)
+    n = 1500
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(n)], "vec_id long, embedding array<float>")
+    got = V.ann(df, df.withColumnRenamed("vec_id", "query_id"), 4, cells=16, probes=12)
+    assert len(got.collect()) == 4 * n
+    assert n < shuffled_rows(got) < 10 * n
+
+
+def test_ann_of_odd_rows(spark):
+    """Null and repeated ids, vectors without direction, blocks and strips of few bytes: as the k best of all pairs, where all cells are probed."""
+    rng = np.random.default_rng(9)
+    vecs = [(i, rng.normal(size=4).tolist()) for i in range(200)] + [(5, [1.0, 0.0, 0.0, 0.0]), (None, [1.0, 0.1, 0.0, 0.0]), (300, [0.0] * 4),
+                                                                     (301, [1.0, None, 0.0, 0.0]), (302, None), (303, [float("inf"), 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    got = V.ann(df, df.withColumnRenamed("vec_id", "query_id"), 3, cells=6, probes=6, exclude_self=True, block_bytes=1500, strip_bytes=2000).collect()
+    good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in vecs[:202]]
+    want = {}
+    for a, x in good:
+        want.setdefault(a, []).extend((-round(float(x @ y), 9), b if b is not None else -1) for b, y in good if a is None or a != b)
+    want = {a: sorted(s)[:3] for a, s in want.items()}
+    have = {}
+    for r in got:
+        have.setdefault(r.query_id, []).append((-round(r.score, 9), r.vec_id if r.vec_id is not None else -1))
+    assert {a: sorted(s) for a, s in have.items()} == want
