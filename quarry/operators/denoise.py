@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,29 +90,22 @@ def mark(codes: str) -> str:
 
 def _passage(row: int, pidx: int, toks: list[str], vocab: list[str], seed: int):
     """T3-T5 of one passage: codes, marks, corrupted tokens. One md5 a token gives its three draws."""
-    low, n, draws = len(toks) // 3, len(toks), [None] * len(toks)
-    codes = []
+    low, key = len(toks) // 3, f"{seed}:{row}:{pidx}:".encode()
+    draws = np.frombuffer(b"".join([md5(key + b"%d" % i).digest() for i in range(low, len(toks))]), ">u4").reshape(-1, 4)
+    codes = bytearray(b"0" * low + np.where(draws[:, 0] < MASK_P * 2**32, b"1", b"0").tobytes())
     for i, t in enumerate(toks):
         if t in SPECIALS:
-            codes.append("2")
-            continue
-        if i >= low:
-            d = draws[i] = md5(f"{seed}:{row}:{pidx}:{i}".encode()).digest()
-            codes.append("1" if int.from_bytes(d[:4], "big") < MASK_P * 2**32 else "0")
-        else:
-            codes.append("0")
-    codes = "".join(codes)
+            codes[i] = 50                                                       # '2'
+    codes = codes.decode()
     marks = mark(codes)
     out = list(toks)
-    for i in range(n):
-        if marks[i] not in "SC":
-            continue
-        u = int.from_bytes(draws[i][4:8], "big") / 2**32
-        if u < MASK_FRAC:
-            out[i] = MASK
-        elif u >= KEEP_FRAC:
-            at = int.from_bytes(draws[i][8:12], "big") % (VOCAB_HI - VOCAB_LO + 1)
-            out[i] = vocab[at] if at < len(vocab) else "<unk>"
+    kind = draws[:, 1] / 2**32
+    for i in np.flatnonzero(np.isin(np.frombuffer(marks.encode(), np.uint8)[low:], (67, 83))).tolist():         # 'C', 'S'
+        if kind[i] < MASK_FRAC:
+            out[low + i] = MASK
+        elif kind[i] >= KEEP_FRAC:
+            at = int(draws[i, 2]) % (VOCAB_HI - VOCAB_LO + 1)
+            out[low + i] = vocab[at] if at < len(vocab) else "<unk>"
     return codes, marks, out
 
 

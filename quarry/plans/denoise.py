@@ -69,6 +69,11 @@ def mask_pairs(spark, sf):
                     F.md5(F.array_join("corrupted", " ")).alias("corrupted_md5"))
 
 
+def _trace(task):
+    s_idx = D.source_index(F.col("scores")).cast("string")
+    return F.lit(D.TRACE_CS) if task == "cs" else F.concat(F.lit(D.TRACE_CAC if task == "cac" else D.TRACE_SC), s_idx)
+
+
 def _sequences(spark, sf):
     """Per row: task, input tokens (prompt, query, trace) and the number of ignored label positions."""
     u = _with_task(uns(spark, sf))
@@ -81,9 +86,7 @@ def _sequences(spark, sf):
     kept_cs = D.drop_target(F.col("passages"), F.col("target"))
     part = (F.when(F.col("task") == "cac", F.coalesce(F.col("cac_part"), F.array().cast("array<string>")))
             .when(F.col("task") == "cs", plain(kept_cs)).otherwise(plain(F.col("passages"))))
-    s_idx = D.source_index(F.col("scores")).cast("string")
-    trace = (F.when(F.col("task") == "cac", F.concat(F.lit(D.TRACE_CAC), s_idx))
-             .when(F.col("task") == "cs", F.lit(D.TRACE_CS)).otherwise(F.concat(F.lit(D.TRACE_SC), s_idx)))
+    trace = F.when(F.col("task") == "cac", _trace("cac")).when(F.col("task") == "cs", _trace("cs")).otherwise(_trace("sc"))
     q = Tx.tokenize(F.concat(F.lit(D.QUERY_TEMPLATE), F.col("target")))
     u = u.select("row_id", "task", F.concat(F.array(F.lit(D.BOS)), part).alias("prompt"), q.alias("q"),
                  Tx.tokenize(trace).alias("trace"))
@@ -105,14 +108,32 @@ def label_sequence(spark, sf):
 
 def training_rows(spark, sf):
     """The tasks' rows as one union in the order cac, sc, cs, each split 80 / 20."""
-    s = _sequences(spark, sf).select("row_id", "task", F.concat(F.array_join("input", " "), F.lit(" " + D.EOS)).alias("text"))
     n = _with_task(uns(spark, sf).select("row_id")).groupBy("task").agg(F.count("*").alias("n_task"))
-    s = s.withColumn("task_pos", D.task_position(F.col("row_id"))).join(F.broadcast(n), "task")  # three rows
-    parts = [s.filter(F.col("task") == t).withColumn("part", F.lit(i)) for i, t in enumerate(D.DATA_ORDER)]
+    parts = [_task_texts(spark, sf, t).withColumn("part", F.lit(i)) for i, t in enumerate(D.DATA_ORDER)]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    u = u.withColumn("task_pos", D.task_position(F.col("row_id"))).join(F.broadcast(n), "task")  # three rows
     return u.select("part", "task_pos", D.split(F.col("task_pos"), F.col("n_task")).alias("split"), F.md5("text").alias("text_md5"))
 
 
+def _task_texts(spark, sf, task):
+    """(row_id, task, text) of one task: the input tokens of :func:`_sequences` and the end mark, joined by blanks.
+
+    Only rows of the task are read into it, only those of the first are masked, and passages leave the masking as texts: they
+    are joined before they meet, never being empty, and sort as their tokens do, a blank coming before any character of a token.
+    """
+    u = _with_task(uns(spark, sf)).where(F.col("task") == task)
+    if task == "cac":
+        m = _masked(u, _vocab(spark, sf)).select("row_id", "pidx", F.array_join(F.slice("corrupted", 2, 1 << 30), " ").alias("piece"))
+        m = m.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pidx", "piece"))), lambda x: x["piece"]).alias("pieces"))
+        u = u.join(m, "row_id", "left").withColumn("pieces", F.coalesce("pieces", F.array().cast("array<string>")))
+    else:
+        kept = D.drop_target(F.col("passages"), F.col("target")) if task == "cs" else F.col("passages")
+        u = u.withColumn("pieces", F.transform(kept, lambda p: F.array_join(F.slice(D.passage_tokens(p), 2, 1 << 30), " ")))
+    query = Tx.tokenize(F.concat(F.lit(D.QUERY_TEMPLATE), F.col("target")))
+    tokens = F.concat(F.array(F.lit(D.BOS)), F.col("pieces"), query, Tx.tokenize(_trace(task)))
+    return u.select("row_id", "task", F.concat(F.array_join(tokens, " "), F.lit(" " + D.EOS)).alias("text"))
+
+
 def token_encoding(spark, sf):
     """Every token of every document as its vocabulary id; per document a checksum."""
     d = table(spark, sf, "documents")

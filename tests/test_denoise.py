@@ -56,3 +56,16 @@ def test_only_rare_tokens_are_shuffled(spark, common):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0, 4), (1, 1, 3), (1, 2, 3), (1, 3, 5), (None, 0, 5), *twice], key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Join") == 1             # tokenised once; what is known joins nothing
+
+
+def test_rows_of_a_task_are_masked_once(spark, tmp_path):
+    """Three branches, one of them masked; ids that repeat, a null id and empty and null texts as the label texts of the same rows."""
+    from quarry.plans import denoise as P
+    texts = ["a b c d e f g, h", "", "x y z", None, "the red fox ran. far", "é 1 2 3"] * 8
+    rows = [*enumerate(texts), (2, "x y z again"), (17, "q r s"), (17, "q r s"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = P.training_rows(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    want = [(D.DATA_ORDER.index(r.task), r.text_md5) for r in P.label_sequence(spark, str(tmp_path)).collect()]
+    assert sorted(((r.part, r.text_md5) for r in got.collect()), key=str) == sorted(want, key=str)
